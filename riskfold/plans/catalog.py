@@ -109,3 +109,154 @@ ORACLE_SQL = {
     "encoded_application": so.encoded_app_sql(),
     "client_features": so.client_features_sql(),
 }
+
+
+# --- profiles, sampling, evaluation, selection ------------------------------------
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from riskfold.functions.names import numeric_columns  # noqa: E402
+from riskfold.operators import evaluate as ev  # noqa: E402
+from riskfold.operators import profile as pr  # noqa: E402
+from riskfold.operators import sample as sa  # noqa: E402
+from riskfold.operators.select import spearman_with_target  # noqa: E402
+
+RELATION_SAMPLE_FRACTION = 0.05
+
+
+def client_scores(t: dict[str, DataFrame]) -> DataFrame:
+    """A transparent score in [0, 1] for evaluation queries: the share of a
+    client's loans in the delinquent status (0 for clients without loans)."""
+    share = (t["bureau"].groupBy("SK_ID_CURR")
+             .agg(F.avg(F.when(F.col("CREDIT_ACTIVE") == "P", F.lit(1.0)).otherwise(F.lit(0.0))).alias("bad_share")))
+    return (t["client_labels"].join(share, "SK_ID_CURR", "left")
+            .select("SK_ID_CURR", "TARGET", F.coalesce(F.col("bad_share"), F.lit(0.0)).alias("score")))
+
+
+def missing_values_client_features(spark, sf_dir):
+    """D16 over the client feature table."""
+    return pr.missing_values(client_features(spark, sf_dir))
+
+
+def numeric_profile_bureau(spark, sf_dir):
+    """D17 (exact median) over the loans table."""
+    b = _tables(spark, sf_dir)["bureau"]
+    return pr.numeric_profile(b, [c for c in numeric_columns(b) if not c.startswith("SK_ID")])
+
+
+def distinct_counts_application(spark, sf_dir):
+    """D14."""
+    return pr.distinct_counts(_tables(spark, sf_dir)["current_app"])
+
+
+def top_values_credit_type(spark, sf_dir):
+    """Top five loan types."""
+    return pr.top_values(_tables(spark, sf_dir)["bureau"], "CREDIT_TYPE", 5)
+
+
+def label_balance(spark, sf_dir):
+    """Label balance."""
+    return _tables(spark, sf_dir)["client_labels"].groupBy("TARGET").agg(F.count(F.lit(1)).alias("count"))
+
+
+def _relation_sample(spark, sf_dir):
+    return sa.relation_sample(_tables(spark, sf_dir), RELATION_SAMPLE_FRACTION)
+
+
+def sample_clients(spark, sf_dir):
+    """L1."""
+    return _relation_sample(spark, sf_dir)["current_app"]
+
+
+def sample_bureau_balance(spark, sf_dir):
+    """C8 cascade: clients -> loans -> monthly history."""
+    return _relation_sample(spark, sf_dir)["bureau_balance"]
+
+
+def sample_installments(spark, sf_dir):
+    """Client in sample OR previous application in sample."""
+    return _relation_sample(spark, sf_dir)["installments_payments"]
+
+
+def stratified_split(spark, sf_dir):
+    """L2."""
+    return sa.stratified_split(_tables(spark, sf_dir)["client_labels"], "SK_ID_CURR", "TARGET")
+
+
+def kfold_assignment(spark, sf_dir):
+    """L3."""
+    return sa.kfold(_tables(spark, sf_dir)["client_labels"], "SK_ID_CURR", "TARGET")
+
+
+def spearman_target(spark, sf_dir):
+    """K1: Spearman correlation of every bureau feature with the label."""
+    t = _tables(spark, sf_dir)
+    feats = fp.bureau_client(t["bureau"], default_plan())
+    cols = [c for c in numeric_columns(feats) if c != "SK_ID_CURR"]
+    return spearman_with_target(feats.join(t["client_labels"], "SK_ID_CURR"), cols, "TARGET")
+
+
+def threshold_sweep(spark, sf_dir):
+    """M12 sweep table."""
+    return ev.threshold_sweep(client_scores(_tables(spark, sf_dir)), "TARGET", "score")
+
+
+def best_threshold(spark, sf_dir):
+    """M12 decision."""
+    return ev.best_threshold(threshold_sweep(spark, sf_dir))
+
+
+def classification_report(spark, sf_dir):
+    """M13 at the cost-optimal threshold."""
+    return ev.classification_metrics(best_threshold(spark, sf_dir))
+
+
+def roc_auc(spark, sf_dir):
+    """M14."""
+    return ev.roc_auc(client_scores(_tables(spark, sf_dir)), "TARGET", "score")
+
+
+def business_cost_default(spark, sf_dir):
+    """M11 + D19 at the default 0.5 threshold."""
+    scored = ev.predict_at(client_scores(_tables(spark, sf_dir)), "score", 0.5)
+    return ev.business_cost(scored, "TARGET", "prediction")
+
+
+QUERIES.update({
+    "missing_values_client_features": missing_values_client_features,
+    "numeric_profile_bureau": numeric_profile_bureau,
+    "distinct_counts_application": distinct_counts_application,
+    "top_values_credit_type": top_values_credit_type,
+    "label_balance": label_balance,
+    "sample_clients": sample_clients,
+    "sample_bureau_balance": sample_bureau_balance,
+    "sample_installments": sample_installments,
+    "stratified_split": stratified_split,
+    "kfold_assignment": kfold_assignment,
+    "spearman_target": spearman_target,
+    "threshold_sweep": threshold_sweep,
+    "best_threshold": best_threshold,
+    "classification_report": classification_report,
+    "roc_auc": roc_auc,
+    "business_cost_default": business_cost_default,
+})
+
+ORACLE_SQL.update({
+    "missing_values_client_features": so.missing_values_sql(),
+    "numeric_profile_bureau": so.numeric_profile_sql("bureau"),
+    "distinct_counts_application": so.distinct_counts_sql("current_app", ["NAME_SEGMENT", "NAME_NATION",
+                                                                          "FLAG_HOUSEHOLD"]),
+    "top_values_credit_type": so.top_values_sql("bureau", "CREDIT_TYPE", 5),
+    "label_balance": so.label_balance_sql(),
+    "sample_clients": so.sample_sql("current_app", RELATION_SAMPLE_FRACTION),
+    "sample_bureau_balance": so.sample_sql("bureau_balance", RELATION_SAMPLE_FRACTION),
+    "sample_installments": so.sample_sql("installments_payments", RELATION_SAMPLE_FRACTION),
+    "stratified_split": so.split_sql("split"),
+    "kfold_assignment": so.split_sql("fold"),
+    "spearman_target": so.spearman_target_sql(),
+    "threshold_sweep": so.threshold_sweep_sql(),
+    "best_threshold": so.best_threshold_sql(),
+    "classification_report": so.classification_report_sql(),
+    "roc_auc": so.roc_auc_sql(),
+    "business_cost_default": so.business_cost_sql(0.5),
+})

@@ -248,3 +248,174 @@ def client_features_sql() -> str:
     return (binding_sql(ALL_BOUND) + "," + encoded_app_cte() + "," + bureau_block_cte() + ","
             + history_block_cte()
             + "\nSELECT * FROM app LEFT JOIN bureau_block USING (SK_ID_CURR) LEFT JOIN history_block USING (SK_ID_CURR)")
+
+
+# --- profiles --------------------------------------------------------------------
+
+def _client_features_body() -> str:
+    return (binding_sql(ALL_BOUND) + "," + encoded_app_cte() + "," + bureau_block_cte() + ","
+            + history_block_cte()
+            + ",\n    cf AS (SELECT * FROM app LEFT JOIN bureau_block USING (SK_ID_CURR) "
+              "LEFT JOIN history_block USING (SK_ID_CURR))")
+
+
+def missing_values_sql() -> str:
+    return (_client_features_body() + """,
+    m AS (SELECT count(*) AS __rows, COLUMNS(*) FROM (SELECT 1))""").replace(
+        "m AS (SELECT count(*) AS __rows, COLUMNS(*) FROM (SELECT 1))",
+        "m AS (SELECT count(*) AS __rows, count(*) - count(COLUMNS(*)) FROM cf)") + """
+    SELECT feature, missing_values, round_even(missing_values * 100.0::DOUBLE / __rows, 2) AS percentage
+    FROM (UNPIVOT m ON COLUMNS(* EXCLUDE (__rows)) INTO NAME feature VALUE missing_values)
+    WHERE missing_values > 0"""
+
+
+def numeric_profile_sql(table: str) -> str:
+    cols = list(NUMERIC[table])
+    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in cols)
+    return (binding_sql(ALL_BOUND) + f"""
+    SELECT feature, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS std, min(v) AS min, max(v) AS max
+    FROM (UNPIVOT (SELECT {casts} FROM {table}) ON {', '.join(q(c) for c in cols)} INTO NAME feature VALUE v)
+    GROUP BY feature""")
+
+
+def distinct_counts_sql(table: str, columns: list[str]) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT {lit(c)} AS feature, count(DISTINCT {q(c)})::BIGINT AS n_unique FROM {table}" for c in columns)
+    return binding_sql(ALL_BOUND) + "\n" + parts
+
+
+def top_values_sql(table: str, column: str, n: int) -> str:
+    return (binding_sql(ALL_BOUND) + f"\nSELECT {q(column)}, count(*)::BIGINT AS count FROM {table} "
+            f"WHERE {q(column)} IS NOT NULL GROUP BY {q(column)} ORDER BY count DESC, {q(column)} LIMIT {n}")
+
+
+def label_balance_sql() -> str:
+    return binding_sql(ALL_BOUND) + "\nSELECT TARGET, count(*)::BIGINT AS count FROM client_labels GROUP BY TARGET"
+
+
+# --- sampling ----------------------------------------------------------------------
+
+def sample_sql(table: str, fraction: float, seed: int = 42) -> str:
+    from riskfold.operators.sample import hash_uniform_sql
+    ctes = f""",
+    s_clients AS (SELECT * FROM current_app WHERE {hash_uniform_sql(['SK_ID_CURR'], seed)} < {fraction!r}),
+    s_bureau AS (SELECT * FROM bureau WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM s_clients)),
+    s_prev AS (SELECT * FROM previous_application WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM s_clients))"""
+    body = {
+        "current_app": "SELECT * FROM s_clients",
+        "bureau_balance": "SELECT * FROM bureau_balance WHERE SK_ID_BUREAU IN (SELECT SK_ID_BUREAU FROM s_bureau)",
+        "installments_payments": """SELECT t.*, b.SK_ID_CURR FROM installments_payments t
+            JOIN prev_to_client b USING (SK_ID_PREV)
+            WHERE b.SK_ID_CURR IN (SELECT SK_ID_CURR FROM s_clients)
+               OR t.SK_ID_PREV IN (SELECT SK_ID_PREV FROM s_prev)""",
+    }[table]
+    return binding_sql(ALL_BOUND) + ctes + "\n" + body
+
+
+def split_sql(kind: str, seed: int = 42) -> str:
+    from riskfold.constants import CV_FOLDS, TEST_FRACTION
+    from riskfold.operators.sample import hash_uniform_sql
+    u = hash_uniform_sql(["SK_ID_CURR", "TARGET"], seed)
+    if kind == "split":
+        expr = f"CASE WHEN {u} < {TEST_FRACTION!r} THEN 'test' ELSE 'train' END AS split"
+    else:
+        expr = f"CAST(least(floor({u} * {CV_FOLDS}), {CV_FOLDS - 1}) AS INTEGER) AS fold"
+    return binding_sql(ALL_BOUND) + f"\nSELECT SK_ID_CURR, TARGET, {expr} FROM client_labels"
+
+
+# --- selection -----------------------------------------------------------------------
+
+def bureau_client_feature_names() -> list[str]:
+    from riskfold.operators.credit import bureau_manual_columns
+    vocab = binding_vocabulary()["bureau"]
+    names = [f"bureau_{c}_{s}" for c in NUMERIC["bureau"] for s in ("count", "mean", "max", "min", "sum")]
+    for c, values in vocab.items():
+        for v in values:
+            names += [f"bureau_{c}_{v}_count", f"bureau_{c}_{v}_count_norm"]
+    return names + bureau_manual_columns(vocab["CREDIT_ACTIVE"], vocab["CREDIT_TYPE"])
+
+
+def spearman_target_sql() -> str:
+    feats = bureau_client_feature_names()
+    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
+    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + f""",
+    d AS (SELECT CAST(TARGET AS DOUBLE) AS y, {casts} FROM bureau_client JOIN client_labels USING (SK_ID_CURR)),
+    long AS (UNPIVOT d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
+    ranked AS (SELECT feature,
+        rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
+        rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry
+        FROM long)
+    SELECT feature, rho, abs(rho) AS abs_rho FROM (
+        SELECT feature, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho
+        FROM ranked GROUP BY feature)""")
+
+
+# --- evaluation ------------------------------------------------------------------------
+
+def _scores_cte() -> str:
+    return """,
+    scores AS (SELECT l.SK_ID_CURR, l.TARGET, coalesce(b.bad_share, 0.0) AS score
+               FROM client_labels l LEFT JOIN (
+                   SELECT SK_ID_CURR, avg(CASE WHEN CREDIT_ACTIVE = 'P' THEN 1.0 ELSE 0.0 END)::DOUBLE AS bad_share
+                   FROM bureau GROUP BY SK_ID_CURR) b USING (SK_ID_CURR))"""
+
+
+def _sweep_cte() -> str:
+    from riskfold.constants import COST_FN, COST_FP, COST_TN
+    from riskfold.operators.evaluate import threshold_grid
+    values = ", ".join(f"({i}, {t!r})" for i, t in enumerate(threshold_grid()))
+    return _scores_cte() + f""",
+    grid AS (SELECT CAST(i AS INTEGER) AS threshold_index, CAST(t AS DOUBLE) AS threshold FROM (VALUES {values}) g(i, t)),
+    sweep_counts AS (
+        SELECT threshold_index, threshold,
+               count(*) FILTER (WHERE TARGET = 0 AND NOT coalesce(score >= threshold, false))::BIGINT AS tn,
+               count(*) FILTER (WHERE TARGET = 0 AND coalesce(score >= threshold, false))::BIGINT AS fp,
+               count(*) FILTER (WHERE TARGET = 1 AND NOT coalesce(score >= threshold, false))::BIGINT AS fn,
+               count(*) FILTER (WHERE TARGET = 1 AND coalesce(score >= threshold, false))::BIGINT AS tp
+        FROM grid, scores GROUP BY threshold_index, threshold),
+    sweep AS (SELECT *, (fn * {COST_FN} + fp * {COST_FP} + tn * {COST_TN})::BIGINT AS business_cost FROM sweep_counts),
+    best AS (SELECT * FROM sweep ORDER BY business_cost, threshold_index LIMIT 1)"""
+
+
+def threshold_sweep_sql() -> str:
+    return binding_sql(ALL_BOUND) + _sweep_cte() + "\nSELECT * FROM sweep"
+
+
+def best_threshold_sql() -> str:
+    return binding_sql(ALL_BOUND) + _sweep_cte() + "\nSELECT * FROM best"
+
+
+def classification_report_sql() -> str:
+    def div(a, b):
+        return f"CASE WHEN ({b}) > 0 THEN ({a})::DOUBLE / ({b}) ELSE 0.0 END"
+
+    p1, r1, p0, r0 = div("tp", "tp + fp"), div("tp", "tp + fn"), div("tn", "tn + fn"), div("tn", "tn + fp")
+
+    def f1(p, r):
+        return f"CASE WHEN ({p}) + ({r}) > 0 THEN 2 * ({p}) * ({r}) / (({p}) + ({r})) ELSE 0.0 END"
+
+    return binding_sql(ALL_BOUND) + _sweep_cte() + f"""
+    SELECT {div('tp + tn', 'tp + tn + fp + fn')} AS accuracy, {f1(p1, r1)} AS f1_score,
+           {p0} AS precision_0, {r0} AS recall_0, {f1(p0, r0)} AS f1_0,
+           {p1} AS precision_1, {r1} AS recall_1, {f1(p1, r1)} AS f1_1
+    FROM best"""
+
+
+def roc_auc_sql() -> str:
+    return binding_sql(ALL_BOUND) + _scores_cte() + """,
+    r AS (SELECT TARGET, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk
+          FROM scores WHERE score IS NOT NULL)
+    SELECT CASE WHEN n1 > 0 AND n0 > 0 THEN (s1 - n1 * (n1 + 1) / 2.0) / (n1 * n0) END::DOUBLE AS roc_auc
+    FROM (SELECT sum(rk) FILTER (WHERE TARGET = 1) AS s1, count(*) FILTER (WHERE TARGET = 1)::DOUBLE AS n1,
+                 count(*) FILTER (WHERE TARGET = 0)::DOUBLE AS n0 FROM r)"""
+
+
+def business_cost_sql(threshold: float) -> str:
+    from riskfold.constants import COST_FN, COST_FP, COST_TN
+    pred = f"coalesce(score >= {threshold!r}, false)"
+    return binding_sql(ALL_BOUND) + _scores_cte() + f"""
+    SELECT tn, fp, fn, tp, (fn * {COST_FN} + fp * {COST_FP} + tn * {COST_TN})::BIGINT AS business_cost FROM (
+        SELECT count(*) FILTER (WHERE TARGET = 0 AND NOT {pred})::BIGINT AS tn,
+               count(*) FILTER (WHERE TARGET = 0 AND {pred})::BIGINT AS fp,
+               count(*) FILTER (WHERE TARGET = 1 AND NOT {pred})::BIGINT AS fn,
+               count(*) FILTER (WHERE TARGET = 1 AND {pred})::BIGINT AS tp FROM scores)"""

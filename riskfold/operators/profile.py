@@ -25,14 +25,18 @@ def _long(df: DataFrame, columns: list[str], value_type: str = "double") -> Data
 
 
 def missing_values(df: DataFrame, digits: int = 2, nonzero_only: bool = True) -> DataFrame:
-    """column, missing_values, percentage (of all rows), sorted by percentage desc."""
+    """feature, missing_values, percentage (of all rows), sorted by percentage desc.
+
+    Long form (one null flag per row and column) aggregated per column, so
+    the plan stays narrow for tables with hundreds of columns."""
     cols = df.columns
-    wide = df.agg(F.count(F.lit(1)).alias("__rows"),
-                  *[F.count_if(F.col(c).isNull()).alias(f"m{i}") for i, c in enumerate(cols)])
-    stacked = wide.select("__rows", F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"m{i}").alias("missing_values")) for i, c in enumerate(cols)
-    ])).alias("s")).select("s.feature", "s.missing_values",
-                           F.bround(F.col("s.missing_values") * 100.0 / F.col("__rows"), digits).alias("percentage"))
+    flags = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).isNull().alias("null"))
+                                for c in cols]))
+    stacked = (df.select(flags.alias("p"))
+               .groupBy(F.col("p.feature").alias("feature"))
+               .agg(F.count_if(F.col("p.null")).alias("missing_values"), F.count(F.lit(1)).alias("_rows"))
+               .select("feature", "missing_values",
+                       F.bround(F.col("missing_values") * 100.0 / F.col("_rows"), digits).alias("percentage")))
     if nonzero_only:
         stacked = stacked.where(F.col("missing_values") > 0)
     return stacked.orderBy(F.desc("percentage"), F.asc("feature"))
@@ -130,20 +134,16 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, grid: int
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, mean, median (exact, interpolated), std (sample), min, max."""
+    """feature, mean, median (exact, interpolated), std (sample), min, max."""
     cols = columns if columns is not None else numeric_columns(df)
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"),
-                 F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    stacked = wide.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),
-                 F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max")) for i, c in enumerate(cols)
-    ])).alias("s")).select("s.*")
+    spark = df.sparkSession
+    moments = (_long(df, cols).groupBy("feature")
+               .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+                    F.min("value").alias("min"), F.max("value").alias("max")))
+    names = spark.createDataFrame([(c,) for c in cols], "feature string")
     medians = exact_quantiles(df, cols, 0.5).withColumnRenamed("quantile", "median")
-    return stacked.join(medians, "feature", "left").select("feature", "mean", "median", "std", "min", "max")
+    return (names.join(moments, "feature", "left").join(medians, "feature", "left")
+            .select("feature", "mean", "median", "std", "min", "max"))
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -260,3 +260,68 @@ ORACLE_SQL.update({
     "roc_auc": so.roc_auc_sql(),
     "business_cost_default": so.business_cost_sql(0.5),
 })
+
+
+# --- model training, scoring and explanation (no SQL oracle) ---------------------
+
+from riskfold.plans import model as md  # noqa: E402
+
+_MODELS: dict[tuple, md.ScoringModel] = {}
+
+
+def _labelled(spark, sf_dir) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    feats = fp.client_features(t, default_plan())
+    split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "split")
+    return feats.join(t["client_labels"], "SK_ID_CURR").join(split, "SK_ID_CURR")
+
+
+def trained_model(spark, sf_dir, kind: str = "logistic") -> md.ScoringModel:
+    """Fit once per session and input folder (training split only)."""
+    key = (id(spark), sf_dir, kind)
+    if key not in _MODELS:
+        data = _labelled(spark, sf_dir)
+        manifest = md.feature_manifest(data.drop("split"))
+        _MODELS[key] = md.fit(data.where(F.col("split") == "train"), manifest, kind=kind)
+    return _MODELS[key]
+
+
+def model_scores(spark, sf_dir):
+    """M10 + M17 + M18: score and route every client."""
+    t = _tables(spark, sf_dir)
+    return trained_model(spark, sf_dir).score(fp.client_features(t, default_plan()))
+
+
+def model_validation_sweep(spark, sf_dir):
+    """M12 on the validation split with model probabilities."""
+    data = _labelled(spark, sf_dir).where(F.col("split") == "test")
+    scored = trained_model(spark, sf_dir).score(data, keep=("SK_ID_CURR", "TARGET"))
+    return ev.threshold_sweep(scored, "TARGET", "probability")
+
+
+def model_validation_auc(spark, sf_dir):
+    """M14 on the validation split."""
+    data = _labelled(spark, sf_dir).where(F.col("split") == "test")
+    scored = trained_model(spark, sf_dir).score(data, keep=("SK_ID_CURR", "TARGET"))
+    return ev.roc_auc(scored, "TARGET", "probability")
+
+
+def model_global_explanation(spark, sf_dir):
+    """M15."""
+    t = _tables(spark, sf_dir)
+    return md.global_explanation(trained_model(spark, sf_dir), fp.client_features(t, default_plan()))
+
+
+def model_local_explanation(spark, sf_dir):
+    """M16."""
+    t = _tables(spark, sf_dir)
+    return md.local_explanation(trained_model(spark, sf_dir), fp.client_features(t, default_plan()))
+
+
+QUERIES.update({
+    "model_scores": model_scores,
+    "model_validation_sweep": model_validation_sweep,
+    "model_validation_auc": model_validation_auc,
+    "model_global_explanation": model_global_explanation,
+    "model_local_explanation": model_local_explanation,
+})

@@ -25,7 +25,8 @@ def _long(df: DataFrame, features: list[str], extra: list[str]) -> DataFrame:
 
 def _pearson(x: str, y: str):
     """Pearson correlation; null when either side is constant (no ranks spread)."""
-    return F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    sx, sy = F.stddev_pop(x), F.stddev_pop(y)
+    return F.when((sx > 0) & (sy > 0), F.covar_pop(x, y) / (sx * sy))
 
 
 def spearman_with_target(df: DataFrame, features: list[str], target: str) -> DataFrame:

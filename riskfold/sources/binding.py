@@ -118,7 +118,7 @@ def pos_cash_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("SK_ID_PREV"),
                     F.col("user_id").alias("SK_ID_CURR"),
                     _months("ts").alias("MONTHS_BALANCE"),
-                    F.regexp_extract("props", r'"k": (\d+)', 1).cast("int").alias("CNT_INSTALMENT"),
+                    F.regexp_extract("props", r'"k": (\d+)', 1).try_cast("int").alias("CNT_INSTALMENT"),
                     F.col("value").alias("AMT_POS_VALUE"),
                     F.col("event_type").alias("NAME_CONTRACT_STATUS"))
 
@@ -217,7 +217,7 @@ _BINDING_SQL = {
         FROM orders""",
     "POS_CASH_balance": f"""
         SELECT event_id AS SK_ID_PREV, user_id AS SK_ID_CURR, {_sql_months('ts')} AS MONTHS_BALANCE,
-               CAST(regexp_extract(props, '"k": (\\d+)', 1) AS INTEGER) AS CNT_INSTALMENT,
+               TRY_CAST(regexp_extract(props, '"k": (\\d+)', 1) AS INTEGER) AS CNT_INSTALMENT,
                value AS AMT_POS_VALUE, event_type AS NAME_CONTRACT_STATUS
         FROM events""",
     "installments_payments": f"""

@@ -42,9 +42,22 @@ def missing_values(df: DataFrame, digits: int = 2, nonzero_only: bool = True) ->
     return stacked.orderBy(F.desc("percentage"), F.asc("feature"))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, grid: int = 1000,
-                    accuracy: int = 20000, final_size: int = 200_000, max_rounds: int = 8) -> DataFrame:
-    """Exact interpolated ``q``-quantile of every column: (column, quantile).
+def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, **kw) -> DataFrame:
+    """Exact interpolated ``q``-quantile of every column: (feature, quantile)."""
+    values = _quantile_values(df, columns, [q], **kw)
+    return df.sparkSession.createDataFrame([(c, values[(c, q)]) for c in columns], "feature string, quantile double")
+
+
+def exact_quantile_table(df: DataFrame, columns: list[str], qs: list[float], **kw) -> DataFrame:
+    """Exact interpolated quantiles: (feature, q, quantile), one selection run for all."""
+    values = _quantile_values(df, columns, list(qs), **kw)
+    return df.sparkSession.createDataFrame([(c, float(q), values[(c, q)]) for c in columns for q in qs],
+                                           "feature string, q double, quantile double")
+
+
+def _quantile_values(df: DataFrame, columns: list[str], qs: list[float], grid: int = 1000,
+                     accuracy: int = 20000, final_size: int = 200_000, max_rounds: int = 8) -> dict:
+    """Exact interpolated quantiles of every column, keyed (column, q).
 
     Distributed selection.  Each needed order statistic keeps an open value
     bracket (lo, hi) and the number of values <= lo.  A round takes a grid of
@@ -64,10 +77,11 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, grid: int
         targets: dict[tuple[str, int], list] = {}   # -> [lo, hi, below, size, value]
         for c in columns:
             n = counts.get(c, 0)
-            if n:
-                k = q * (n - 1)
-                for r in {int(k), min(int(k) + 1, n - 1)}:
-                    targets[(c, r)] = [None, None, 0, n, None]
+            for q in qs:
+                if n:
+                    k = q * (n - 1)
+                    for r in {int(k), min(int(k) + 1, n - 1)}:
+                        targets[(c, r)] = [None, None, 0, n, None]
 
         def in_bracket(keys) -> DataFrame:
             b = spark.createDataFrame([(c, r, *targets[(c, r)][:3]) for c, r in keys], schema)
@@ -113,24 +127,37 @@ def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, grid: int
                     t[0], t[2], t[3] = s["c2"], t[2] + s["d"], s["m"] - s["d"]
         rest = [k for k, t in targets.items() if t[4] is None]
         if rest:
-            w = Window.partitionBy("feature", "rank").orderBy("value")
-            picked = (in_bracket(rest).withColumn("_pos", F.row_number().over(w) - 1 + F.col("below"))
-                      .where(F.col("_pos") == F.col("rank")).select("feature", "rank", "value").collect())
+            # targets that share a bracket (e.g. every target of a small
+            # column) share one window partition instead of copying it
+            brackets: dict[tuple, int] = {}
+            for k in rest:
+                brackets.setdefault((k[0], *targets[k][:3]), len(brackets))
+            bdf = spark.createDataFrame([(c, lo, hi, below, i) for (c, lo, hi, below), i in brackets.items()],
+                                        "feature string, lo double, hi double, below long, bracket int")
+            want = spark.createDataFrame([(brackets[(k[0], *targets[k][:3])], k[1]) for k in rest],
+                                         "bracket int, rank long")
+            inside = (long.join(F.broadcast(bdf), "feature")
+                      .where((F.col("lo").isNull() | (F.col("value") > F.col("lo")))
+                             & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))))
+            w = Window.partitionBy("bracket").orderBy("value")
+            picked = (inside.withColumn("rank", F.row_number().over(w) - 1 + F.col("below"))
+                      .join(F.broadcast(want), ["bracket", "rank"]).select("feature", "rank", "value").collect())
             for p in picked:
                 targets[(p["feature"], p["rank"])][4] = p["value"]
     finally:
         long.unpersist()
-    out = []
+    out = {}
     for c in columns:
         n = counts.get(c, 0)
-        if not n:
-            out.append((c, None))
-            continue
-        k = q * (n - 1)
-        lo_r, hi_r = int(k), min(int(k) + 1, n - 1)
-        lo_v, hi_v = targets[(c, lo_r)][4], targets[(c, hi_r)][4]
-        out.append((c, float(lo_v + (hi_v - lo_v) * (k - lo_r))))
-    return spark.createDataFrame(out, "feature string, quantile double")
+        for q in qs:
+            if not n:
+                out[(c, q)] = None
+                continue
+            k = q * (n - 1)
+            lo_r, hi_r = int(k), min(int(k) + 1, n - 1)
+            lo_v, hi_v = targets[(c, lo_r)][4], targets[(c, hi_r)][4]
+            out[(c, q)] = float(lo_v + (hi_v - lo_v) * (k - lo_r))
+    return out
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

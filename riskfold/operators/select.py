@@ -93,3 +93,79 @@ def prune_greedy(pairs: list[tuple[str, str]], features: list[str], target_corr:
             else:
                 drop.add(fi)
     return drop
+
+
+def null_pattern_groups(df: DataFrame, features: list[str], key: str) -> list[list[str]]:
+    """Partition ``features`` into groups with identical null rows.
+
+    A signature (null count, sum of a 64-bit row hash over null rows) is
+    taken per feature in one narrow pass; candidates sharing a signature are
+    then verified exactly (no row may be null in one member and not in
+    another); a group failing verification is split into singletons."""
+    h = F.xxhash64(F.col(key)).cast("decimal(38,0)")
+    flags = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).isNull().alias("isnull"))
+                                for c in features]))
+    sig = (df.select(h.alias("h"), flags.alias("p"))
+           .groupBy(F.col("p.feature").alias("feature"))
+           .agg(F.count_if("p.isnull").alias("n"), F.sum(F.when(F.col("p.isnull"), F.col("h"))).alias("s"))
+           .collect())
+    by_sig: dict[tuple, list[str]] = {}
+    for r in sig:
+        by_sig.setdefault((r["n"], str(r["s"])), []).append(r["feature"])
+    groups = [sorted(g, key=features.index) for g in by_sig.values()]
+    multi = [g for g in groups if len(g) > 1]
+    if multi:
+        checks = [F.count_if(F.greatest(*[F.col(c).isNull() for c in g]) != F.least(*[F.col(c).isNull() for c in g]))
+                  .alias(f"g{i}") for i, g in enumerate(multi)]
+        bad = df.agg(*checks).first()
+        out = [g for g in groups if len(g) == 1]
+        for i, g in enumerate(multi):
+            out += [[c] for c in g] if bad[f"g{i}"] else [g]
+        groups = out
+    return sorted(groups, key=lambda g: features.index(g[0]))
+
+
+def _rank_wide(df: DataFrame, features: list[str], key: str) -> DataFrame:
+    """Rows of ``df`` (already restricted to complete rows) with every
+    feature replaced by its average rank among those rows."""
+    long = _long(df, features, [key])
+    ranks = average_ranks(long, ["feature"], "x")
+    ranked = long.join(ranks, ["feature", "x"])
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c)
+                                     for c in features])
+
+
+def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
+    """feature_i, feature_j, i, j, rho for every pair i < j (K2).
+
+    Exact pairwise-complete Spearman: features are grouped by null pattern,
+    and for each pair of groups the rows complete in both are ranked once
+    and correlated with a distributed Gram matrix (``Correlation.corr``), so
+    ranks are recomputed per distinct complete-row set, never per pair."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+
+    spark = df.sparkSession
+    groups = null_pattern_groups(df, features, key)
+    index = {c: i for i, c in enumerate(features)}
+    rows = []
+    for a in range(len(groups)):
+        for b in range(a, len(groups)):
+            members = groups[a] + (groups[b] if b != a else [])
+            if len(members) < 2:
+                continue
+            complete = df.where(F.col(groups[a][0]).isNotNull() & F.col(groups[b][0]).isNotNull())
+            wide = _rank_wide(complete.select(key, *members), members, key)
+            vec = VectorAssembler(inputCols=members, outputCol="v").transform(wide).select("v")
+            if vec.isEmpty():
+                continue
+            mat = Correlation.corr(vec, "v", "pearson").first()[0].toArray()
+            for p, ci in enumerate(members):
+                for q, cj in enumerate(members):
+                    if index[ci] >= index[cj]:
+                        continue
+                    if b != a and not (ci in groups[a]) ^ (cj in groups[a]):
+                        continue
+                    rho = float(mat[p][q])
+                    rows.append((ci, cj, index[ci], index[cj], None if rho != rho else rho))
+    return spark.createDataFrame(rows, "feature_i string, feature_j string, i int, j int, rho double")

@@ -325,3 +325,82 @@ QUERIES.update({
     "model_global_explanation": model_global_explanation,
     "model_local_explanation": model_local_explanation,
 })
+
+
+# --- more selection / drift operators ---------------------------------------------
+
+from riskfold.constants import CORRELATION_THRESHOLD  # noqa: E402
+from riskfold.operators.drift import psi_drift  # noqa: E402
+from riskfold.operators.select import correlated_pairs, prune_greedy, spearman_matrix  # noqa: E402
+
+
+def loan_prefixed_rollup(spark, sf_dir):
+    """D13."""
+    t = _tables(spark, sf_dir)
+    return fp.prefixed_loan_rollup(t["bureau_balance"], t["bureau"], default_plan())
+
+
+def top_bottom_correlated(spark, sf_dir, n: int = 10):
+    """K6: the n most positively and n most negatively target-correlated features."""
+    sp = spearman_target(spark, sf_dir).where(F.col("rho").isNotNull())
+    top = sp.orderBy(F.desc("rho"), "feature").limit(n).withColumn("side", F.lit("top"))
+    bottom = sp.orderBy(F.asc("rho"), "feature").limit(n).withColumn("side", F.lit("bottom"))
+    return top.unionByName(bottom)
+
+
+def _bureau_features(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    feats = fp.bureau_client(t["bureau"], default_plan())
+    return feats, sorted(c for c in numeric_columns(feats) if c != "SK_ID_CURR")
+
+
+def correlated_feature_pairs(spark, sf_dir):
+    """K2 + K3: pairs of bureau features with |Spearman| above the threshold."""
+    feats, cols = _bureau_features(spark, sf_dir)
+    return correlated_pairs(spearman_matrix(feats, cols, "SK_ID_CURR"), CORRELATION_THRESHOLD)
+
+
+def selected_features(spark, sf_dir):
+    """K5: the greedy pruning decision for every bureau feature."""
+    feats, cols = _bureau_features(spark, sf_dir)
+    pairs = [(r["feature_i"], r["feature_j"]) for r in correlated_feature_pairs(spark, sf_dir).collect()]
+    target = {r["feature"]: r["abs_rho"] for r in spearman_target(spark, sf_dir).collect()}
+    dropped = prune_greedy(pairs, cols, target)
+    return spark.createDataFrame([(c, c not in dropped) for c in cols], "feature string, kept boolean")
+
+
+def drift_train_vs_test(spark, sf_dir):
+    """K9: PSI and null-rate change of the bureau features, train vs test split."""
+    t = _tables(spark, sf_dir)
+    feats, cols = _bureau_features(spark, sf_dir)
+    split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "split")
+    d = feats.join(split, "SK_ID_CURR")
+    return psi_drift(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), cols)
+
+
+def model_feature_importance(spark, sf_dir):
+    """K7: tree-model importances (gradient-boosted trees on the train split)."""
+    key = (id(spark), sf_dir, "gbt")
+    if key not in _MODELS:
+        data = _labelled(spark, sf_dir)
+        manifest = md.feature_manifest(data.drop("split"))
+        _MODELS[key] = md.fit(data.where(F.col("split") == "train"), manifest, kind="gbt",
+                              gbt_params={"maxIter": 20, "maxDepth": 4})
+    return md.feature_importances(_MODELS[key])
+
+
+QUERIES.update({
+    "loan_prefixed_rollup": loan_prefixed_rollup,
+    "top_bottom_correlated": top_bottom_correlated,
+    "correlated_feature_pairs": correlated_feature_pairs,
+    "selected_features": selected_features,
+    "drift_train_vs_test": drift_train_vs_test,
+    "model_feature_importance": model_feature_importance,
+})
+
+ORACLE_SQL.update({
+    "loan_prefixed_rollup": so.prefixed_loan_rollup_sql(),
+    "top_bottom_correlated": so.top_bottom_correlated_sql(10),
+    "correlated_feature_pairs": so.correlated_pairs_sql(CORRELATION_THRESHOLD),
+    "drift_train_vs_test": so.drift_sql(),
+})

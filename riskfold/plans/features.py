@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from riskfold.constants import STATUS_CODES
 from riskfold.operators.aggregate import (aggregate_through, agg_numeric_exprs, count_categorical_exprs,
                                           numeric_feature_columns)
-from riskfold.operators.credit import (AggBlock, BureauRoles, bureau_manual_block, loan_block,
+from riskfold.operators.credit import (LOAN_TYPE_COLUMNS, AggBlock, BureauRoles, bureau_manual_block, loan_block,
                                        loan_rollup_inputs, loan_rollup_numeric_columns, run_block)
 from riskfold.operators.encode import CategoryEncoding
 
@@ -175,3 +175,18 @@ def client_features(tables: dict[str, DataFrame], plan: FeaturePlan) -> DataFram
     app = encode_application(tables["current_app"], plan)
     return (app.join(bureau_block(tables, plan), CLIENT, "left")
                .join(history_block(tables, plan), CLIENT, "left"))
+
+
+def prefixed_loan_rollup(bureau_balance: DataFrame, bureau: DataFrame, plan: FeaturePlan) -> DataFrame:
+    """Per client, ``MEAN_*`` of the loan durations / delays and
+    ``SUM_*`` of the status and loan-type counts, over loans with a status.
+    (Computed but not used by the original's final table.)"""
+    codes = plan.status_codes
+    loans = loan_rollup_inputs(loan_features(bureau_balance, plan).join(bureau.select(CLIENT, LOAN), LOAN),
+                               codes)
+    buckets = [c for c in codes if c.isdigit() and c != "0"]
+    means = ["MONTHS_LOAN_DURATION", "DPD_FLAG", *buckets, "MEAN_DAYS_PAST_DUE", "YEAR_LOAN_DURATION"]
+    sums = [f"STATUS_{c}" for c in codes] + ["DPD_FLAG", *buckets, *LOAN_TYPE_COLUMNS]
+    aggs = [F.avg(c).alias(f"MEAN_{c}") for c in means] + [F.coalesce(F.sum(c), F.lit(0)).alias(f"SUM_{c}")
+                                                             for c in sums]
+    return run_block(loans, CLIENT, AggBlock(aggs))

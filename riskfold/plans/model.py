@@ -19,7 +19,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,29 +81,38 @@ def route(score, threshold: float = DECISION_THRESHOLD):
 
 
 def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logistic",
-        class_weight="balanced", C: float = 1.0, max_iter: int = 1000, gbt_params: dict | None = None,
-        impute: str = "median") -> ScoringModel:
+        class_weight="balanced", C: float = 1.0, max_iter: int = 1000, tol: float = 1e-4,
+        gbt_params: dict | None = None, impute: str = "median", validation_col: str | None = None) -> ScoringModel:
     """Fit imputer, scaler and classifier on ``train`` (features + TARGET)."""
     manifest = manifest or feature_manifest(train)
     names = sanitized_manifest(manifest)
     safe = [names[c] for c in manifest]
-    base = train.select(F.col(LABEL), *[F.col(c).cast("double").alias(names[c]) for c in manifest])
+    # one reliable lineage cut: the feature plan runs once, and the fitting
+    # passes (medians, moments, optimiser iterations) read the checkpoint
+    extra = [F.col(validation_col)] if validation_col else []
+    base = train.select(F.col(LABEL), *extra,
+                        *[F.col(c).cast("double").alias(names[c]) for c in manifest]).checkpoint()
     imputer = (Imputer.fit_median(base, safe, flags=False) if impute == "median" else Imputer.zeros(safe))
     imputed = imputer.transform(base)
     scaler = Standardizer.fit(imputed, safe)
     prepared = scaler.transform(imputed)
-    weights = class_weights(train, LABEL, class_weight)
+    weights = class_weights(base, LABEL, class_weight)
     weighted = with_weight(prepared, LABEL, weights).withColumn("label", F.col(LABEL).cast("double"))
     assembler = VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="keep")
     if kind == "logistic":
         total_weight = weighted.agg(F.sum("weight")).first()[0] or 1.0
+        # sklearn's objective C * sum(w * loss) + |b|^2 / 2 equals Spark's
+        # mean weighted loss + regParam * |b|^2 / 2 with regParam = 1 / (C * sum(w))
         clf = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight",
-                                 maxIter=max_iter, regParam=1.0 / (C * total_weight), elasticNetParam=0.0,
+                                 maxIter=max_iter, tol=tol, regParam=1.0 / (C * total_weight), elasticNetParam=0.0,
                                  standardization=False)
     elif kind == "gbt":
         params = {"maxIter": 50, "maxDepth": 5, "stepSize": 0.1, "subsamplingRate": 0.8,
                   "featureSubsetStrategy": "sqrt", "seed": SEED}
         params.update(gbt_params or {})
+        if validation_col:   # early stopping on a held-out indicator column (M7)
+            params.setdefault("validationIndicatorCol", validation_col)
+            params.setdefault("validationTol", 0.01)
         clf = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **params)
     else:
         raise ValueError(kind)
@@ -119,10 +128,10 @@ def cross_validate(train: DataFrame, manifest: list[str], grid: dict[str, list],
     names = sanitized_manifest(manifest)
     safe = [names[c] for c in manifest]
     base = train.select(F.col(LABEL), F.col(fold_col),
-                        *[F.col(c).cast("double").alias(names[c]) for c in manifest])
+                        *[F.col(c).cast("double").alias(names[c]) for c in manifest]).checkpoint()
     imputer = Imputer.fit_median(base, safe)
     scaler = Standardizer.fit(imputer.transform(base), safe)
-    weights = class_weights(train, LABEL)
+    weights = class_weights(base, LABEL)
     data = with_weight(scaler.transform(imputer.transform(base)), LABEL, weights).withColumn(
         "label", F.col(LABEL).cast("double"))
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", standardization=False)
@@ -172,3 +181,16 @@ def local_explanation(model: ScoringModel, df: DataFrame, n: int = 3, top: int =
     w = Window.partitionBy(CLIENT).orderBy(F.desc(F.abs("contribution")), F.asc("feature"))
     return (contrib.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top)
             .join(chosen, CLIENT))
+
+
+def feature_importances(model: ScoringModel) -> DataFrame:
+    """feature, importance of a tree model, sorted descending (K7)."""
+    spark = SparkSession.getActiveSession()
+    imp = model.pipeline.stages[-1].featureImportances.toArray().tolist()
+    rows = [(orig, float(v)) for orig, v in zip(model.manifest, imp)]
+    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+def zero_importance(importances: DataFrame) -> list[str]:
+    """Features a tree model never split on (K8)."""
+    return [r["feature"] for r in importances.where(F.col("importance") == 0).select("feature").collect()]

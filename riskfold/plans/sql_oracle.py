@@ -419,3 +419,83 @@ def business_cost_sql(threshold: float) -> str:
                count(*) FILTER (WHERE TARGET = 0 AND {pred})::BIGINT AS fp,
                count(*) FILTER (WHERE TARGET = 1 AND NOT {pred})::BIGINT AS fn,
                count(*) FILTER (WHERE TARGET = 1 AND {pred})::BIGINT AS tp FROM scores)"""
+
+
+def prefixed_loan_rollup_sql(codes=STATUS_CODES) -> str:
+    buckets = [c for c in codes if c.isdigit() and c != "0"]
+    consts = ", ".join([f"0::INTEGER AS {q(c)}" for c in codes] + [f"0::INTEGER AS {q('STATUS_' + c)}" for c in codes])
+    means = ["MONTHS_LOAN_DURATION", "DPD_FLAG", *buckets, "MEAN_DAYS_PAST_DUE", "YEAR_LOAN_DURATION"]
+    sums = [f"STATUS_{c}" for c in codes] + ["DPD_FLAG", *buckets, *LOAN_TYPE_COLUMNS]
+    sel = [f"avg({q(c)})::DOUBLE AS {q('MEAN_' + c)}" for c in means]
+    sel += [f"coalesce(sum({q(c)})::BIGINT, 0) AS {q('SUM_' + c)}" for c in sums]
+    return (binding_sql(ALL_BOUND) + "," + loan_block_cte(codes) + f""",
+    lr AS (SELECT b.SK_ID_CURR, l.*, {consts}
+           FROM loans l JOIN (SELECT SK_ID_CURR, SK_ID_BUREAU FROM bureau) b USING (SK_ID_BUREAU) WHERE has_status)
+    """ + group_sql("lr", "SK_ID_CURR", sel))
+
+
+def _spearman_body() -> str:
+    return spearman_target_sql().replace("\n    SELECT feature, rho, abs(rho) AS abs_rho FROM (",
+                                         ",\n    sp AS (SELECT feature, rho, abs(rho) AS abs_rho FROM (", 1) + ")"
+
+
+def top_bottom_correlated_sql(n: int = 10) -> str:
+    return _spearman_body() + f"""
+    SELECT * FROM (SELECT feature, rho, abs_rho, 'top' AS side FROM sp WHERE rho IS NOT NULL
+                   ORDER BY rho DESC, feature LIMIT {n})
+    UNION ALL
+    SELECT * FROM (SELECT feature, rho, abs_rho, 'bottom' AS side FROM sp WHERE rho IS NOT NULL
+                   ORDER BY rho ASC, feature LIMIT {n})"""
+
+
+def correlated_pairs_sql(threshold: float) -> str:
+    feats = sorted(bureau_client_feature_names())
+    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
+    idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
+    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + f""",
+    d AS (SELECT SK_ID_CURR, {casts} FROM bureau_client),
+    long AS (UNPIVOT d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
+    idx AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
+    l AS (SELECT long.*, idx.i FROM long JOIN idx USING (feature)),
+    pairs AS (SELECT a.feature AS feature_i, b.feature AS feature_j, a.i AS i, b.i AS j, a.x AS xa, b.x AS xb
+              FROM l a JOIN l b ON a.SK_ID_CURR = b.SK_ID_CURR AND a.i < b.i),
+    ranked AS (SELECT feature_i, feature_j, i, j,
+        rank() OVER (PARTITION BY i, j ORDER BY xa) + (count(*) OVER (PARTITION BY i, j, xa) - 1) / 2.0 AS ra,
+        rank() OVER (PARTITION BY i, j ORDER BY xb) + (count(*) OVER (PARTITION BY i, j, xb) - 1) / 2.0 AS rb
+        FROM pairs)
+    SELECT * FROM (
+        SELECT feature_i, feature_j, i, j,
+               CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho
+        FROM ranked GROUP BY feature_i, feature_j, i, j)
+    WHERE abs(rho) > {threshold!r}""")
+
+
+def drift_sql(bins: int = 10, eps: float = 1e-4, seed: int = 42) -> str:
+    from riskfold.constants import TEST_FRACTION
+    from riskfold.operators.sample import hash_uniform_sql
+    feats = bureau_client_feature_names()
+    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
+    qs = ", ".join(repr(i / bins) for i in range(1, bins))
+    u = hash_uniform_sql(["SK_ID_CURR", "TARGET"], seed)
+    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + f""",
+    d AS (SELECT CASE WHEN {u} < {TEST_FRACTION!r} THEN 'test' ELSE 'train' END AS split, {casts}
+          FROM bureau_client JOIN client_labels USING (SK_ID_CURR)),
+    long AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(q(c) for c in feats)}))),
+    edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [{qs}]))) AS edges
+              FROM long WHERE split = 'train' AND x IS NOT NULL GROUP BY feature),
+    binned AS (SELECT l.split, l.feature, l.x,
+                      CASE WHEN l.x IS NOT NULL THEN len(list_filter(e.edges, lambda v: l.x > v)) END AS bin
+               FROM long l LEFT JOIN edges e USING (feature)),
+    totals AS (SELECT split, feature, count(x) AS nn, count(*) AS rows FROM binned GROUP BY split, feature),
+    shares AS (SELECT b.split, b.feature, b.bin, count(*) / max(t.nn) AS share, 1 - max(t.nn) / max(t.rows) AS null_rate
+               FROM binned b JOIN totals t USING (split, feature) WHERE b.bin IS NOT NULL
+               GROUP BY b.split, b.feature, b.bin),
+    r AS (SELECT * FROM shares WHERE split = 'train'),
+    c AS (SELECT * FROM shares WHERE split = 'test'),
+    both_ AS (SELECT coalesce(r.feature, c.feature) AS feature,
+                     greatest(coalesce(r.share, 0.0), {eps!r}) AS pr, greatest(coalesce(c.share, 0.0), {eps!r}) AS pc,
+                     r.null_rate AS nr, c.null_rate AS nc
+              FROM r FULL JOIN c ON r.feature = c.feature AND r.bin = c.bin)
+    SELECT feature, sum((pc - pr) * ln(pc / pr))::DOUBLE AS psi, max(nr)::DOUBLE AS null_rate_reference,
+           max(nc)::DOUBLE AS null_rate_current, (max(nc) - max(nr))::DOUBLE AS null_rate_diff
+    FROM both_ GROUP BY feature""")

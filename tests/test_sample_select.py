@@ -79,3 +79,33 @@ def test_pruning_passes():
     assert prune_greedy(pairs, feats, target) == _prune_b_reference(feats, corr, target)
     # prune A: group of c = {c, a, b} keeps b; group of b = {b, a} keeps b; group of e = {e, d} keeps d (earlier)
     assert prune_by_group(pairs, feats, target) == {"a", "c", "e"}
+
+
+def _pairwise_spearman(pdf, a, b):
+    both = pdf[[a, b]].dropna()
+    ra, rb = both[a].rank(method="average"), both[b].rank(method="average")
+    if ra.std() == 0 or rb.std() == 0:
+        return None
+    return float(np.corrcoef(ra, rb)[0, 1])
+
+
+def test_spearman_matrix_pairwise_complete(spark):
+    from riskfold.operators.select import null_pattern_groups, spearman_matrix
+    rng = np.random.default_rng(9)
+    n = 300
+    base = rng.normal(0, 1, n)
+    mask = rng.random(n) < 0.3
+    pdf = pd.DataFrame({"k": np.arange(n),
+                        "a": np.round(base, 1),
+                        "b": np.where(mask, np.nan, np.round(base * 2 + rng.normal(0, 0.1, n), 1)),
+                        "c": np.where(mask, np.nan, rng.integers(0, 4, n).astype(float)),
+                        "d": np.where(rng.random(n) < 0.2, np.nan, -base)})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
+                               "k long, a double, b double, c double, d double")
+    feats = ["a", "b", "c", "d"]
+    assert sorted(map(sorted, null_pattern_groups(df, feats, "k"))) == [["a"], ["b", "c"], ["d"]]
+    got = {(r["feature_i"], r["feature_j"]): r["rho"] for r in spearman_matrix(df, feats, "k").collect()}
+    assert len(got) == 6
+    for (x, y), rho in got.items():
+        ref = _pairwise_spearman(pdf, x, y)
+        assert abs(rho - ref) < 1e-9, (x, y, rho, ref)

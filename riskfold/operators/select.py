@@ -33,7 +33,9 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     """feature, rho, abs_rho: Spearman correlation of each feature with the
     target over the rows where both are non-null (K1)."""
     base = df.where(F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
-    long = _long(base, features, ["y"])
+    # the long table feeds two rank passes and the join back: cut its
+    # lineage once so the feature plan upstream runs a single time
+    long = _long(base, features, ["y"]).checkpoint()
     rx = average_ranks(long, ["feature"], "x").withColumnRenamed("rank", "rx")
     ry = average_ranks(long, ["feature"], "y").withColumnRenamed("rank", "ry")
     ranked = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
@@ -146,6 +148,7 @@ def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
     from pyspark.ml.stat import Correlation
 
     spark = df.sparkSession
+    df = df.select(key, *features).checkpoint()   # read once per group pair, computed once
     groups = null_pattern_groups(df, features, key)
     index = {c: i for i, c in enumerate(features)}
     rows = []

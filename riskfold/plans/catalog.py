@@ -269,9 +269,22 @@ from riskfold.plans import model as md  # noqa: E402
 _MODELS: dict[tuple, md.ScoringModel] = {}
 
 
+_FEATURE_TABLES: dict[tuple, DataFrame] = {}
+
+
+def feature_table(spark, sf_dir) -> DataFrame:
+    """The client feature table materialised once per session and input
+    folder (reliable checkpoint in the shared folder), as a production
+    pipeline writes it once and lets every model job read it."""
+    key = (id(spark), sf_dir)
+    if key not in _FEATURE_TABLES:
+        _FEATURE_TABLES[key] = fp.client_features(_tables(spark, sf_dir), default_plan()).checkpoint()
+    return _FEATURE_TABLES[key]
+
+
 def _labelled(spark, sf_dir) -> DataFrame:
     t = _tables(spark, sf_dir)
-    feats = fp.client_features(t, default_plan())
+    feats = feature_table(spark, sf_dir)
     split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "split")
     return feats.join(t["client_labels"], "SK_ID_CURR").join(split, "SK_ID_CURR")
 
@@ -288,8 +301,7 @@ def trained_model(spark, sf_dir, kind: str = "logistic") -> md.ScoringModel:
 
 def model_scores(spark, sf_dir):
     """M10 + M17 + M18: score and route every client."""
-    t = _tables(spark, sf_dir)
-    return trained_model(spark, sf_dir).score(fp.client_features(t, default_plan()))
+    return trained_model(spark, sf_dir).score(feature_table(spark, sf_dir))
 
 
 def model_validation_sweep(spark, sf_dir):
@@ -308,14 +320,12 @@ def model_validation_auc(spark, sf_dir):
 
 def model_global_explanation(spark, sf_dir):
     """M15."""
-    t = _tables(spark, sf_dir)
-    return md.global_explanation(trained_model(spark, sf_dir), fp.client_features(t, default_plan()))
+    return md.global_explanation(trained_model(spark, sf_dir), feature_table(spark, sf_dir))
 
 
 def model_local_explanation(spark, sf_dir):
     """M16."""
-    t = _tables(spark, sf_dir)
-    return md.local_explanation(trained_model(spark, sf_dir), fp.client_features(t, default_plan()))
+    return md.local_explanation(trained_model(spark, sf_dir), feature_table(spark, sf_dir))
 
 
 QUERIES.update({
@@ -404,3 +414,37 @@ ORACLE_SQL.update({
     "correlated_feature_pairs": so.correlated_pairs_sql(CORRELATION_THRESHOLD),
     "drift_train_vs_test": so.drift_sql(),
 })
+
+
+# --- remaining selection and baseline operators ------------------------------------
+
+from riskfold.operators.select import prune_by_group  # noqa: E402
+
+
+def selected_features_by_group(spark, sf_dir):
+    """K4: keep the best target-correlated feature of each correlated group."""
+    feats, cols = _bureau_features(spark, sf_dir)
+    pairs = [(r["feature_i"], r["feature_j"]) for r in correlated_feature_pairs(spark, sf_dir).collect()]
+    target = {r["feature"]: r["abs_rho"] for r in spearman_target(spark, sf_dir).collect()}
+    dropped = prune_by_group(pairs, cols, target)
+    return spark.createDataFrame([(c, c not in dropped) for c in cols], "feature string, kept boolean")
+
+
+def zero_importance_features(spark, sf_dir):
+    """K8: features the tree model never used."""
+    return model_feature_importance(spark, sf_dir).where(F.col("importance") == 0).select("feature")
+
+
+def baseline_cost(spark, sf_dir):
+    """M9 + M11: stratified random baseline (predicts 1 with the class prior)."""
+    labels = _tables(spark, sf_dir)["client_labels"]
+    prior = labels.agg(F.avg("TARGET")).first()[0] or 0.0
+    return ev.business_cost(md.stratified_baseline(labels, prior), "TARGET", "prediction")
+
+
+QUERIES.update({
+    "selected_features_by_group": selected_features_by_group,
+    "zero_importance_features": zero_importance_features,
+    "baseline_cost": baseline_cost,
+})
+ORACLE_SQL["baseline_cost"] = so.baseline_cost_sql()

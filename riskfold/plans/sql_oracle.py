@@ -499,3 +499,18 @@ def drift_sql(bins: int = 10, eps: float = 1e-4, seed: int = 42) -> str:
     SELECT feature, sum((pc - pr) * ln(pc / pr))::DOUBLE AS psi, max(nr)::DOUBLE AS null_rate_reference,
            max(nc)::DOUBLE AS null_rate_current, (max(nc) - max(nr))::DOUBLE AS null_rate_diff
     FROM both_ GROUP BY feature""")
+
+
+def baseline_cost_sql(seed: int = 42) -> str:
+    from riskfold.constants import COST_FN, COST_FP, COST_TN
+    from riskfold.operators.sample import hash_uniform_sql
+    u = hash_uniform_sql(["SK_ID_CURR"], seed)
+    return binding_sql(ALL_BOUND) + f""",
+    p AS (SELECT SK_ID_CURR, TARGET,
+                 CASE WHEN {u} < (SELECT avg(TARGET) FROM client_labels) THEN 1 ELSE 0 END AS prediction
+          FROM client_labels)
+    SELECT tn, fp, fn, tp, (fn * {COST_FN} + fp * {COST_FP} + tn * {COST_TN})::BIGINT AS business_cost FROM (
+        SELECT count(*) FILTER (WHERE TARGET = 0 AND prediction = 0)::BIGINT AS tn,
+               count(*) FILTER (WHERE TARGET = 0 AND prediction = 1)::BIGINT AS fp,
+               count(*) FILTER (WHERE TARGET = 1 AND prediction = 0)::BIGINT AS fn,
+               count(*) FILTER (WHERE TARGET = 1 AND prediction = 1)::BIGINT AS tp FROM p)"""

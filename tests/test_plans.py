@@ -69,3 +69,18 @@ def test_stream_scoring(spark, scratch):
     q.awaitTermination(300)
     out = spark.read.parquet(os.path.join(scratch, "out"))
     assert out.count() == 40 and set(out.columns) >= {"SK_ID_CURR", "score", "decision"}
+
+
+def test_cross_validation_and_early_stopping(spark):
+    from pyspark.sql import functions as F
+    from riskfold.operators.sample import kfold
+    data = catalog._labelled(spark, SF_SMALL)
+    manifest = md.feature_manifest(data.drop("split"))[:20]
+    folded = kfold(data, "SK_ID_CURR", "TARGET")
+    best, metrics = md.cross_validate(folded, manifest, {"regParam": [0.01, 1.0]}, parallelism=2)
+    assert len(metrics) == 2 and all(0 <= m <= 1 for m in metrics)
+    assert best.score(data).count() == data.count()
+    flagged = data.withColumn("is_val", F.col("split") == "test")
+    gbt = md.fit(flagged, manifest, kind="gbt", gbt_params={"maxIter": 5, "maxDepth": 3}, validation_col="is_val")
+    imp = md.feature_importances(gbt)
+    assert imp.count() == len(manifest)

@@ -103,6 +103,11 @@ def loan_rollup_inputs(df: DataFrame, codes: list[str] = STATUS_CODES) -> DataFr
     return df.withColumns(extra)
 
 
+def loan_rollup_constant_columns(codes: list[str] = STATUS_CODES) -> list[str]:
+    """Columns of the per-loan frame that are constant 0 (merge artefacts)."""
+    return [f"{c}_x" for c in codes] + list(codes) + [f"STATUS_{c}" for c in codes]
+
+
 def loan_rollup_numeric_columns(codes: list[str] = STATUS_CODES) -> list[str]:
     cols = [c for c in loan_block_columns(codes) if c != "STATUS"]
     return cols + list(codes) + [f"STATUS_{c}" for c in codes]

@@ -56,7 +56,8 @@ def exact_quantile_table(df: DataFrame, columns: list[str], qs: list[float], **k
 
 
 def _quantile_values(df: DataFrame, columns: list[str], qs: list[float], grid: int = 1000,
-                     accuracy: int = 20000, final_size: int = 200_000, max_rounds: int = 8) -> dict:
+                     accuracy: int = 20000, final_size: int = 200_000, max_rounds: int = 8,
+                     moments: dict | None = None) -> dict:
     """Exact interpolated quantiles of every column, keyed (column, q).
 
     Distributed selection.  Each needed order statistic keeps an open value
@@ -73,7 +74,11 @@ def _quantile_values(df: DataFrame, columns: list[str], qs: list[float], grid: i
     long = _long(df, columns).persist()
     schema = "feature string, rank long, lo double, hi double, below long"
     try:
-        counts = {r["feature"]: r["n"] for r in long.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).collect()}
+        first = (long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
+                                             F.stddev_pop("value").alias("std")).collect())
+        counts = {r["feature"]: r["n"] for r in first}
+        if moments is not None:     # the same pass yields count / mean / population std
+            moments.update({r["feature"]: (r["n"], r["mean"], r["std"]) for r in first})
         targets: dict[tuple[str, int], list] = {}   # -> [lo, hi, below, size, value]
         for c in columns:
             n = counts.get(c, 0)
@@ -139,9 +144,14 @@ def _quantile_values(df: DataFrame, columns: list[str], qs: list[float], grid: i
             inside = (long.join(F.broadcast(bdf), "feature")
                       .where((F.col("lo").isNull() | (F.col("value") > F.col("lo")))
                              & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))))
-            w = Window.partitionBy("bracket").orderBy("value")
-            picked = (inside.withColumn("rank", F.row_number().over(w) - 1 + F.col("below"))
-                      .join(F.broadcast(want), ["bracket", "rank"]).select("feature", "rank", "value").collect())
+            # distinct values with their counts (map-side combined), then
+            # running counts inside each bracket: repeated values cost one row
+            dist = inside.groupBy("bracket", "feature", "below", "value").agg(F.count(F.lit(1)).alias("n"))
+            w = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+            cum = dist.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("below"))
+            picked = (cum.join(F.broadcast(want), "bracket")
+                      .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
+                      .select("feature", "rank", "value").collect())
             for p in picked:
                 targets[(p["feature"], p["rank"])][4] = p["value"]
     finally:

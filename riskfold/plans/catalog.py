@@ -370,11 +370,25 @@ def correlated_feature_pairs(spark, sf_dir):
     return correlated_pairs(spearman_matrix(feats, cols, "SK_ID_CURR"), CORRELATION_THRESHOLD)
 
 
+_EDGES: dict[tuple, tuple] = {}
+
+
+def _correlation_edges(spark, sf_dir):
+    """Correlated pairs and target correlations of the bureau features:
+    small driver-side metadata (bounded by the feature count squared),
+    computed once per session and input folder for the pruning passes."""
+    key = (id(spark), sf_dir)
+    if key not in _EDGES:
+        _, cols = _bureau_features(spark, sf_dir)
+        pairs = [(r["feature_i"], r["feature_j"]) for r in correlated_feature_pairs(spark, sf_dir).collect()]
+        target = {r["feature"]: r["abs_rho"] for r in spearman_target(spark, sf_dir).collect()}
+        _EDGES[key] = (cols, pairs, target)
+    return _EDGES[key]
+
+
 def selected_features(spark, sf_dir):
     """K5: the greedy pruning decision for every bureau feature."""
-    feats, cols = _bureau_features(spark, sf_dir)
-    pairs = [(r["feature_i"], r["feature_j"]) for r in correlated_feature_pairs(spark, sf_dir).collect()]
-    target = {r["feature"]: r["abs_rho"] for r in spearman_target(spark, sf_dir).collect()}
+    cols, pairs, target = _correlation_edges(spark, sf_dir)
     dropped = prune_greedy(pairs, cols, target)
     return spark.createDataFrame([(c, c not in dropped) for c in cols], "feature string, kept boolean")
 
@@ -423,9 +437,7 @@ from riskfold.operators.select import prune_by_group  # noqa: E402
 
 def selected_features_by_group(spark, sf_dir):
     """K4: keep the best target-correlated feature of each correlated group."""
-    feats, cols = _bureau_features(spark, sf_dir)
-    pairs = [(r["feature_i"], r["feature_j"]) for r in correlated_feature_pairs(spark, sf_dir).collect()]
-    target = {r["feature"]: r["abs_rho"] for r in spearman_target(spark, sf_dir).collect()}
+    cols, pairs, target = _correlation_edges(spark, sf_dir)
     dropped = prune_by_group(pairs, cols, target)
     return spark.createDataFrame([(c, c not in dropped) for c in cols], "feature string, kept boolean")
 

@@ -30,7 +30,8 @@ from riskfold.constants import STATUS_CODES
 from riskfold.operators.aggregate import (aggregate_through, agg_numeric_exprs, count_categorical_exprs,
                                           numeric_feature_columns)
 from riskfold.operators.credit import (LOAN_TYPE_COLUMNS, AggBlock, BureauRoles, bureau_manual_block, loan_block,
-                                       loan_rollup_inputs, loan_rollup_numeric_columns, run_block)
+                                       loan_rollup_constant_columns, loan_rollup_inputs, loan_rollup_numeric_columns,
+                                       run_block)
 from riskfold.operators.encode import CategoryEncoding
 
 CLIENT = "SK_ID_CURR"
@@ -98,22 +99,33 @@ def client_loan_rollups(loans: DataFrame, bureau: DataFrame, plan: FeaturePlan,
     loan when ``manual`` is requested.
     """
     ids = bureau.select(CLIENT, LOAN)
-    rows = loan_rollup_inputs(loans.join(ids, LOAN, "inner"), plan.status_codes)
+    rows = loans.join(ids, LOAN, "inner")
     aggs = []
+    finals = {}
     if generic:
         aggs += agg_numeric_exprs(_generic_loan_columns(plan), "client")
     having = None
     if manual:
         keep = F.col("_has_status")
+        n = F.col("_n_loans_with_status")
+        constant = set(loan_rollup_constant_columns(plan.status_codes))
         for c in loan_rollup_numeric_columns(plan.status_codes):
-            v = F.when(keep, F.col(c))
             name = f"client_bureau_balance_{c}"
+            if c in constant:
+                # a column that is 0 on every loan: its five statistics follow
+                # from the loan count alone, no aggregate needed
+                finals.update({f"{name}_count": n, f"{name}_mean": F.when(n > 0, F.lit(0.0)),
+                               f"{name}_max": F.when(n > 0, F.lit(0)), f"{name}_min": F.when(n > 0, F.lit(0)),
+                               f"{name}_sum": F.lit(0).cast("long")})
+                continue
+            v = F.when(keep, F.col(c))
             aggs += [F.count(v).alias(f"{name}_count"), F.avg(v).alias(f"{name}_mean"),
                      F.max(v).alias(f"{name}_max"), F.min(v).alias(f"{name}_min"),
                      F.coalesce(F.sum(v), F.lit(0)).alias(f"{name}_sum")]
         aggs.append(F.count_if(keep).alias("_n_loans_with_status"))
-        having = F.col("_n_loans_with_status") > 0
-    return run_block(rows, CLIENT, AggBlock(aggs, having=having, drop=["_n_loans_with_status"] if manual else []))
+        having = n > 0
+    return run_block(rows, CLIENT, AggBlock(aggs, having=having, finals=finals,
+                                            drop=["_n_loans_with_status"] if manual else []))
 
 
 # --- bureau -> per client ------------------------------------------------------

@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 
 from riskfold.constants import DECISION_THRESHOLD, SEED
 from riskfold.functions.names import numeric_columns
-from riskfold.operators.model_prep import (Imputer, Standardizer, class_weights, sanitized_manifest,
-                                           with_weight)
+from riskfold.operators.model_prep import (Imputer, Standardizer, class_weights, fit_imputer_and_scaler,
+                                           sanitized_manifest, with_weight)
 from riskfold.operators.sample import hash_uniform
 
 CLIENT = "SK_ID_CURR"
@@ -92,9 +92,13 @@ def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logist
     extra = [F.col(validation_col)] if validation_col else []
     base = train.select(F.col(LABEL), *extra,
                         *[F.col(c).cast("double").alias(names[c]) for c in manifest]).checkpoint()
-    imputer = (Imputer.fit_median(base, safe, flags=False) if impute == "median" else Imputer.zeros(safe))
-    imputed = imputer.transform(base)
-    scaler = Standardizer.fit(imputed, safe)
+    if impute == "median":
+        imputer, scaler = fit_imputer_and_scaler(base, safe)
+        imputed = imputer.transform(base)
+    else:
+        imputer = Imputer.zeros(safe)
+        imputed = imputer.transform(base)
+        scaler = Standardizer.fit(imputed, safe)
     prepared = scaler.transform(imputed)
     weights = class_weights(base, LABEL, class_weight)
     weighted = with_weight(prepared, LABEL, weights).withColumn("label", F.col(LABEL).cast("double"))
@@ -129,8 +133,7 @@ def cross_validate(train: DataFrame, manifest: list[str], grid: dict[str, list],
     safe = [names[c] for c in manifest]
     base = train.select(F.col(LABEL), F.col(fold_col),
                         *[F.col(c).cast("double").alias(names[c]) for c in manifest]).checkpoint()
-    imputer = Imputer.fit_median(base, safe)
-    scaler = Standardizer.fit(imputer.transform(base), safe)
+    imputer, scaler = fit_imputer_and_scaler(base, safe)
     weights = class_weights(base, LABEL)
     data = with_weight(scaler.transform(imputer.transform(base)), LABEL, weights).withColumn(
         "label", F.col(LABEL).cast("double"))

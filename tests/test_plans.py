@@ -84,3 +84,21 @@ def test_cross_validation_and_early_stopping(spark):
     gbt = md.fit(flagged, manifest, kind="gbt", gbt_params={"maxIter": 5, "maxDepth": 3}, validation_col="is_val")
     imp = md.feature_importances(gbt)
     assert imp.count() == len(manifest)
+
+
+def test_fused_imputer_scaler_equals_two_pass(spark):
+    import numpy as np
+    import pandas as pd
+    from riskfold.operators.model_prep import Imputer, Standardizer, fit_imputer_and_scaler
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"a": np.where(rng.random(500) < 0.3, np.nan, rng.normal(5, 2, 500)),
+                        "b": rng.integers(0, 3, 500).astype(float),
+                        "c": np.full(500, np.nan)})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "a double, b double, c double")
+    imp, sc = fit_imputer_and_scaler(df, ["a", "b", "c"])
+    imp2 = Imputer.fit_median(df, ["a", "b", "c"])
+    sc2 = Standardizer.fit(imp2.transform(df), ["a", "b", "c"])
+    for c in "abc":
+        assert abs(imp.values[c] - imp2.values[c]) < 1e-12
+        assert abs((sc.means[c] or 0) - (sc2.means[c] or 0)) < 1e-9
+        assert abs(sc.stds[c] - sc2.stds[c]) < 1e-9

@@ -140,35 +140,57 @@ def _rank_wide(df: DataFrame, features: list[str], key: str) -> DataFrame:
 def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
     """feature_i, feature_j, i, j, rho for every pair i < j (K2).
 
-    Exact pairwise-complete Spearman: features are grouped by null pattern,
-    and for each pair of groups the rows complete in both are ranked once
-    and correlated with a distributed Gram matrix (``Correlation.corr``), so
-    ranks are recomputed per distinct complete-row set, never per pair."""
+    Exact pairwise-complete Spearman.  Features are grouped by null
+    pattern; a pair of features from groups (a, b) is complete exactly on
+    the rows complete for both groups, so each group pair is one ranking
+    problem.  All group pairs are ranked in a single distributed rank pass
+    (rank groups = (group pair, feature)), pivoted back to one rank vector
+    per (group pair, row), checkpointed, and each group pair's correlation
+    matrix is a distributed Gram matrix (``Correlation.corr``).  Ranks are
+    never recomputed per feature pair and no row emits feature pairs."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 
     spark = df.sparkSession
-    df = df.select(key, *features).checkpoint()   # read once per group pair, computed once
+    df = df.select(key, *features).checkpoint()
     groups = null_pattern_groups(df, features, key)
     index = {c: i for i, c in enumerate(features)}
-    rows = []
+    group_of = {c: g for g, members in enumerate(groups) for c in members}
+    pairs = []
     for a in range(len(groups)):
         for b in range(a, len(groups)):
             members = groups[a] + (groups[b] if b != a else [])
-            if len(members) < 2:
-                continue
-            complete = df.where(F.col(groups[a][0]).isNotNull() & F.col(groups[b][0]).isNotNull())
-            wide = _rank_wide(complete.select(key, *members), members, key)
-            vec = VectorAssembler(inputCols=members, outputCol="v").transform(wide).select("v")
-            if vec.isEmpty():
-                continue
-            mat = Correlation.corr(vec, "v", "pearson").first()[0].toArray()
-            for p, ci in enumerate(members):
-                for q, cj in enumerate(members):
-                    if index[ci] >= index[cj]:
-                        continue
-                    if b != a and not (ci in groups[a]) ^ (cj in groups[a]):
-                        continue
-                    rho = float(mat[p][q])
-                    rows.append((ci, cj, index[ci], index[cj], None if rho != rho else rho))
+            if len(members) >= 2:
+                pairs.append((a, b, members))
+    if not pairs:
+        return spark.createDataFrame([], "feature_i string, feature_j string, i int, j int, rho double")
+    complete = {g: F.col(members[0]).isNotNull() for g, members in enumerate(groups)}
+    entries = []
+    for p, (a, b, members) in enumerate(pairs):
+        both = complete[a] & complete[b]
+        for c in members:
+            entries.append(F.when(both, F.struct(F.lit(p).alias("pair"), F.lit(c).alias("feature"),
+                                                 F.col(c).cast("double").alias("x"))))
+    long = (df.select(key, F.explode(F.array(*entries)).alias("e")).where(F.col("e").isNotNull())
+            .select(key, "e.pair", "e.feature", "e.x"))
+    ranks = average_ranks(long, ["pair", "feature"], "x")
+    ranked = long.join(ranks, ["pair", "feature", "x"])
+    wide = (ranked.groupBy("pair", key)
+            .agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in features])
+            .checkpoint())
+    rows = []
+    for p, (a, b, members) in enumerate(pairs):
+        vec = VectorAssembler(inputCols=members, outputCol="v").transform(
+            wide.where(F.col("pair") == p).select(*members)).select("v")
+        if vec.isEmpty():
+            continue
+        mat = Correlation.corr(vec, "v", "pearson").first()[0].toArray()
+        for u, ci in enumerate(members):
+            for v, cj in enumerate(members):
+                if index[ci] >= index[cj]:
+                    continue
+                if b != a and group_of[ci] == group_of[cj]:
+                    continue
+                rho = float(mat[u][v])
+                rows.append((ci, cj, index[ci], index[cj], None if rho != rho else rho))
     return spark.createDataFrame(rows, "feature_i string, feature_j string, i int, j int, rho double")

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskfold.session import cut_lineage
+
 
 def prefix_counts(counts: DataFrame, groups: list[str], order: str, weights: list[str],
                   partitions: int | None = None) -> DataFrame:
@@ -24,9 +26,8 @@ def prefix_counts(counts: DataFrame, groups: list[str], order: str, weights: lis
     the sum of ``w`` over rows of the same group with a smaller ``order``."""
     spark = counts.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (counts.repartitionByRange(n, *groups, order)
-              .withColumn("_pid", F.spark_partition_id())
-              .checkpoint(eager=True))
+    ranged = cut_lineage(counts.repartitionByRange(n, *groups, order)
+                         .withColumn("_pid", F.spark_partition_id()))
     totals = (ranged.groupBy("_pid", *groups).agg(*[F.sum(w).alias(w) for w in weights])
               .orderBy("_pid").collect())
     running: dict[tuple, list[int]] = {}

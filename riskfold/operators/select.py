@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from riskfold.constants import CORRELATION_THRESHOLD
 from riskfold.operators.rank import average_ranks
+from riskfold.session import cut_lineage
 
 
 def _long(df: DataFrame, features: list[str], extra: list[str]) -> DataFrame:
@@ -35,7 +36,7 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     base = df.where(F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
     # the long table feeds two rank passes and the join back: cut its
     # lineage once so the feature plan upstream runs a single time
-    long = _long(base, features, ["y"]).checkpoint()
+    long = cut_lineage(_long(base, features, ["y"]))
     rx = average_ranks(long, ["feature"], "x").withColumnRenamed("rank", "rx")
     ry = average_ranks(long, ["feature"], "y").withColumnRenamed("rank", "ry")
     ranked = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
@@ -152,7 +153,7 @@ def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
     from pyspark.ml.stat import Correlation
 
     spark = df.sparkSession
-    df = df.select(key, *features).checkpoint()
+    df = cut_lineage(df.select(key, *features))
     groups = null_pattern_groups(df, features, key)
     index = {c: i for i, c in enumerate(features)}
     group_of = {c: g for g, members in enumerate(groups) for c in members}
@@ -175,9 +176,8 @@ def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
             .select(key, "e.pair", "e.feature", "e.x"))
     ranks = average_ranks(long, ["pair", "feature"], "x")
     ranked = long.join(ranks, ["pair", "feature", "x"])
-    wide = (ranked.groupBy("pair", key)
-            .agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in features])
-            .checkpoint())
+    wide = cut_lineage(ranked.groupBy("pair", key)
+                       .agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in features]))
     rows = []
     for p, (a, b, members) in enumerate(pairs):
         vec = VectorAssembler(inputCols=members, outputCol="v").transform(

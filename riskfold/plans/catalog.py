@@ -10,6 +10,7 @@ from riskfold.plans import features as fp
 from riskfold.plans import sql_oracle as so
 from riskfold.operators.aggregate import agg_numeric, count_categorical
 from riskfold.operators.credit import BureauRoles
+from riskfold.session import cut_lineage
 from riskfold.sources.binding import ACTIVE_LOAN_STATUS, binding_vocabulary, credit_tables
 
 
@@ -278,7 +279,7 @@ def feature_table(spark, sf_dir) -> DataFrame:
     pipeline writes it once and lets every model job read it."""
     key = (id(spark), sf_dir)
     if key not in _FEATURE_TABLES:
-        _FEATURE_TABLES[key] = fp.client_features(_tables(spark, sf_dir), default_plan()).checkpoint()
+        _FEATURE_TABLES[key] = cut_lineage(fp.client_features(_tables(spark, sf_dir), default_plan()))
     return _FEATURE_TABLES[key]
 
 

@@ -28,6 +28,7 @@ from riskfold.functions.names import numeric_columns
 from riskfold.operators.model_prep import (Imputer, Standardizer, class_weights, fit_imputer_and_scaler,
                                            sanitized_manifest, with_weight)
 from riskfold.operators.sample import hash_uniform
+from riskfold.session import cut_lineage
 
 CLIENT = "SK_ID_CURR"
 LABEL = "TARGET"
@@ -90,8 +91,8 @@ def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logist
     # one reliable lineage cut: the feature plan runs once, and the fitting
     # passes (medians, moments, optimiser iterations) read the checkpoint
     extra = [F.col(validation_col)] if validation_col else []
-    base = train.select(F.col(LABEL), *extra,
-                        *[F.col(c).cast("double").alias(names[c]) for c in manifest]).checkpoint()
+    base = cut_lineage(train.select(F.col(LABEL), *extra,
+                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest]))
     if impute == "median":
         imputer, scaler = fit_imputer_and_scaler(base, safe)
         imputed = imputer.transform(base)
@@ -131,8 +132,8 @@ def cross_validate(train: DataFrame, manifest: list[str], grid: dict[str, list],
     ``train`` must carry ``fold_col`` (see operators.sample.kfold)."""
     names = sanitized_manifest(manifest)
     safe = [names[c] for c in manifest]
-    base = train.select(F.col(LABEL), F.col(fold_col),
-                        *[F.col(c).cast("double").alias(names[c]) for c in manifest]).checkpoint()
+    base = cut_lineage(train.select(F.col(LABEL), F.col(fold_col),
+                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest]))
     imputer, scaler = fit_imputer_and_scaler(base, safe)
     weights = class_weights(base, LABEL)
     data = with_weight(scaler.transform(imputer.transform(base)), LABEL, weights).withColumn(

@@ -63,3 +63,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def cut_lineage(df):
+    """Reliable checkpoint of ``df`` into the shared checkpoint folder
+    (eager); the folder is taken from the session, or registered when the
+    session has none (local runs)."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        checkpoint_dir(spark)
+    return df.checkpoint(eager=True)

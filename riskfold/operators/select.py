@@ -33,10 +33,12 @@ def _pearson(x: str, y: str):
 def spearman_with_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
     """feature, rho, abs_rho: Spearman correlation of each feature with the
     target over the rows where both are non-null (K1)."""
-    base = df.where(F.col(target).isNotNull()).withColumn("y", F.col(target).cast("double"))
-    # the long table feeds two rank passes and the join back: cut its
-    # lineage once so the feature plan upstream runs a single time
-    long = cut_lineage(_long(base, features, ["y"]))
+    # the input feeds two rank passes and the join back: cut its lineage
+    # once (wide, columnar) so the feature plan upstream runs a single time;
+    # the long (feature, value) form is streamed from it, never stored
+    base = cut_lineage(df.where(F.col(target).isNotNull())
+                       .select(F.col(target).cast("double").alias("y"), *features))
+    long = _long(base, features, ["y"])
     rx = average_ranks(long, ["feature"], "x").withColumnRenamed("rank", "rx")
     ry = average_ranks(long, ["feature"], "y").withColumnRenamed("rank", "ry")
     ranked = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])

@@ -35,8 +35,10 @@ THRESHOLD_START = 0.01
 THRESHOLD_STOP = 0.99
 THRESHOLD_POINTS = 100
 
-# Score (0..100) at and above which a client is "not likely to repay".
-DECISION_THRESHOLD = 63.36
+# Probability threshold of the decision and the score (0..100) at and above
+# which a client is "not likely to repay" (computed exactly as the original).
+DECISION_PROBABILITY = 0.6336
+DECISION_THRESHOLD = DECISION_PROBABILITY * 100
 
 # Absolute Spearman correlation above which two features are redundant.
 CORRELATION_THRESHOLD = 0.95

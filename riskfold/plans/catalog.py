@@ -353,7 +353,9 @@ def loan_prefixed_rollup(spark, sf_dir):
 
 def top_bottom_correlated(spark, sf_dir, n: int = 10):
     """K6: the n most positively and n most negatively target-correlated features."""
-    sp = spearman_target(spark, sf_dir).where(F.col("rho").isNotNull())
+    # one correlation per feature: materialise the small table once and
+    # rank it twice, instead of running the correlation plan twice
+    sp = cut_lineage(spearman_target(spark, sf_dir).where(F.col("rho").isNotNull()))
     top = sp.orderBy(F.desc("rho"), "feature").limit(n).withColumn("side", F.lit("top"))
     bottom = sp.orderBy(F.asc("rho"), "feature").limit(n).withColumn("side", F.lit("bottom"))
     return top.unionByName(bottom)
@@ -399,7 +401,7 @@ def drift_train_vs_test(spark, sf_dir):
     t = _tables(spark, sf_dir)
     feats, cols = _bureau_features(spark, sf_dir)
     split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "split")
-    d = feats.join(split, "SK_ID_CURR")
+    d = cut_lineage(feats.join(split, "SK_ID_CURR"))   # read by every selection round and both binnings
     return psi_drift(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), cols)
 
 

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from riskfold.plans import catalog
 from riskfold.plans import model as md
+from riskfold.constants import DECISION_THRESHOLD
 from riskfold.sources.binding import binding_vocabulary
 from riskfold.sources.tables import TABLES
 from riskfold.operators.aggregate import fit_vocabulary
@@ -50,7 +51,7 @@ def test_model_scores_and_routing(spark):
     rows = scored.collect()
     assert rows and all(0 <= r["score"] <= 100 for r in rows)
     for r in rows:
-        assert r["decision"] == (md.NOT_LIKELY if r["score"] >= 63.36 else md.LIKELY)
+        assert r["decision"] == (md.NOT_LIKELY if r["score"] >= DECISION_THRESHOLD else md.LIKELY)
     assert catalog.model_global_explanation(spark, SF_SMALL).count() == 15
 
 

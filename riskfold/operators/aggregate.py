@@ -167,6 +167,30 @@ def value_at_extreme(value: str, order: str, largest: bool = True) -> Column:
     return F.max_by(v, F.when(v.isNotNull(), key))
 
 
+def coded_value_at_latest(value: str, order: str, codes: list[str]) -> tuple[Column, Column]:
+    """Hash-aggregable form of :func:`value_at_extreme` (largest ``order``)
+    for a value with a declared vocabulary.
+
+    Returns ``(aggregate, decode)``: the aggregate is ``max`` of one long
+    that packs (order present, order, rank of the value in the sorted
+    vocabulary), so the group-by keeps a fixed-width buffer and stays a
+    hash aggregate (a string buffer would force a sort-based aggregate over
+    every input row); ``decode`` turns the aggregated long back into the
+    value.  Same tie rule: the greater value wins.  A value outside the
+    vocabulary decodes to null (like every vocabulary-based block)."""
+    vocab = sorted(codes)
+    o, v = F.col(order), F.col(value)
+    idx = F.array_position(F.array(*[F.lit(c) for c in vocab]), v)          # 1-based, 0 if absent
+    key = (F.when(o.isNotNull(), F.lit(1 << 41)).otherwise(F.lit(0))
+           + (F.coalesce(o.cast("long"), F.lit(0)) + F.lit(1 << 31)) * F.lit(256) + idx)
+    agg = F.max(F.when(v.isNotNull(), key))
+
+    def decode(packed: Column) -> Column:
+        return F.when(packed % 256 > 0, F.element_at(F.array(*[F.lit(c) for c in vocab]),
+                                                     (packed % 256).cast("int")))
+    return agg, decode
+
+
 def value_counts(df: DataFrame, key: str, column: str, values: list[str], prefix: str = "") -> DataFrame:
     """Cross-tab ``key`` x ``column`` with a fixed category list, zero-filled.
 

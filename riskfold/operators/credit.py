@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from riskfold.constants import (DAYS_PAST_DUE, LOAN_TYPE_LONG, LOAN_TYPE_SHORT, LONG_TERM_YEARS,
                                 NON_DPD_STATUSES, STATUS_CODES)
 from riskfold.functions.expressions import first_match, map_values, not_in
-from riskfold.operators.aggregate import value_at_extreme
+from riskfold.operators.aggregate import coded_value_at_latest
 
 
 @dataclass
@@ -72,8 +72,9 @@ def loan_block(month: str = "MONTHS_BALANCE", status: str = "STATUS",
     A loan whose statuses are all null has no status counts and drops out.
     """
     st = F.col(status)
+    last_status, decode_status = coded_value_at_latest(status, month, codes)
     aggs = [F.count(month).alias("MONTHS_LOAN_DURATION"),
-            value_at_extreme(status, month, largest=True).alias("STATUS"),
+            last_status.alias("_last_status"),
             F.sum(not_in(st, NON_DPD_STATUSES).cast("int")).alias("DPD_FLAG"),
             F.count(status).alias("_n_status")]
     aggs += [F.count_if(st == F.lit(c)).alias(f"{c}_y") for c in codes]
@@ -81,11 +82,13 @@ def loan_block(month: str = "MONTHS_BALANCE", status: str = "STATUS",
              F.min(month).alias("_first_month")]
     years = F.bround(F.col("_first_month") / F.lit(-12.0), 1)
     long_term = F.coalesce(years >= LONG_TERM_YEARS, F.lit(False))
-    finals = {f"{c}_x": F.lit(0) for c in codes}
+    finals = {"STATUS": decode_status(F.col("_last_status"))}
+    finals.update({f"{c}_x": F.lit(0) for c in codes})
     finals["YEAR_LOAN_DURATION"] = years
     finals[LOAN_TYPE_COLUMNS[0]] = long_term.cast("int")
     finals[LOAN_TYPE_COLUMNS[1]] = (~long_term).cast("int")
-    return AggBlock(aggs, having=F.col("_n_status") > 0, finals=finals, drop=["_n_status", "_first_month"])
+    return AggBlock(aggs, having=F.col("_n_status") > 0, finals=finals,
+                    drop=["_n_status", "_first_month", "_last_status"])
 
 
 def loan_block_columns(codes: list[str] = STATUS_CODES) -> list[str]:

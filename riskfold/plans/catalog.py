@@ -463,3 +463,97 @@ QUERIES.update({
     "baseline_cost": baseline_cost,
 })
 ORACLE_SQL["baseline_cost"] = so.baseline_cost_sql()
+
+
+# --- sources / sinks / streaming round trips ----------------------------------------
+
+import os  # noqa: E402
+import uuid  # noqa: E402
+
+from riskfold.operators.model_prep import align_to_manifest  # noqa: E402
+from riskfold.sources import io as sio  # noqa: E402
+from riskfold.session import checkpoint_dir  # noqa: E402
+
+
+def _shared_folder(spark, name: str) -> str:
+    """A fresh folder under the cluster's shared checkpoint location."""
+    base = spark.sparkContext.getCheckpointDir() or checkpoint_dir(spark)
+    return f"{base.rstrip('/')}/riskfold-{name}-{uuid.uuid4().hex[:12]}"
+
+
+def manifest_alignment(spark, sf_dir):
+    """A6 + A7 + B5 + B15: write the model-input manifest, read it back and
+    align the client feature table to it (safe names, manifest order)."""
+    model = trained_model(spark, sf_dir)
+    path = _shared_folder(spark, "manifest")
+    sio.write_manifest(spark, model.safe_names, path)
+    manifest = sio.read_manifest(spark, path)
+    feats = feature_table(spark, sf_dir)
+    renamed = feats.select("SK_ID_CURR", *[F.col(c).alias(model.names[c]) for c in model.manifest])
+    return align_to_manifest(renamed, manifest, keep=["SK_ID_CURR"])
+
+
+def decision_exports(spark, sf_dir):
+    """Scored clients written as CSV partitioned by decision, read back."""
+    path = _shared_folder(spark, "decisions")
+    sio.write_decisions(model_scores(spark, sf_dir), path)
+    back = spark.read.option("header", True).schema(
+        "SK_ID_CURR long, probability double, score double, decision string").csv(path)
+    return back.groupBy("decision").agg(F.count(F.lit(1)).alias("clients"))
+
+
+def run_leaderboard(spark, sf_dir):
+    """Validation metrics of the logistic and tree models logged to a
+    run ledger and read back as a leaderboard."""
+    path = _shared_folder(spark, "ledger")
+    data = _labelled(spark, sf_dir).where(F.col("split") == "test")
+    for kind in ("logistic", "gbt"):
+        if kind == "gbt":
+            model_feature_importance(spark, sf_dir)          # fits and caches the tree model
+        model = _MODELS[(id(spark), sf_dir, kind)]
+        scored = model.score(data, keep=("SK_ID_CURR", "TARGET"))
+        auc = ev.roc_auc(scored, "TARGET", "probability").first()["roc_auc"]
+        best = ev.best_threshold(ev.threshold_sweep(scored, "TARGET", "probability")).first()
+        sio.log_run(spark, path, kind, params={"best_gs_kind": kind},
+                    metrics={"val_roc_auc": auc, "best_business_cost_obtained": best["business_cost"],
+                             "best_threshold_to_minimize_business_cost": best["threshold"]})
+    return sio.leaderboard(spark, path, ["val_roc_auc", "best_business_cost_obtained",
+                                         "best_threshold_to_minimize_business_cost"], order_by="val_roc_auc")
+
+
+def model_cv_auc(spark, sf_dir):
+    """M8: 3-fold stratified grid search of the logistic model (ROC AUC per grid point)."""
+    data = _labelled(spark, sf_dir).where(F.col("split") == "train")
+    manifest = md.feature_manifest(data.drop("split"))
+    folded = sa.kfold(data, "SK_ID_CURR", "TARGET")
+    grid = [0.01, 0.1]
+    _, metrics = md.cross_validate(folded, manifest, {"regParam": grid})
+    return spark.createDataFrame([(g, m) for g, m in zip(grid, metrics)], "reg_param double, mean_roc_auc double")
+
+
+def stream_scores(spark, sf_dir):
+    """Application rows arrive as JSON files; a Structured Streaming job
+    joins them with the clients' history features, scores and appends them
+    to a Parquet sink (run to completion with an available-now trigger)."""
+    from riskfold.streaming.scoring import application_stream, scored_stream, start_scoring
+    t, plan = _tables(spark, sf_dir), default_plan()
+    model = trained_model(spark, sf_dir)
+    root = _shared_folder(spark, "stream")
+    t["current_app"].write.json(f"{root}/in")
+    # the static side of the stream-static join is materialised once, not
+    # recomputed by every micro-batch
+    history = cut_lineage(fp.bureau_block(t, plan).join(fp.history_block(t, plan), "SK_ID_CURR", "left"))
+    stream = application_stream(spark, f"{root}/in", t["current_app"].schema, max_files_per_trigger=4)
+    query = start_scoring(scored_stream(stream, history, plan, model), f"{root}/out", f"{root}/checkpoint",
+                          once=True)
+    query.awaitTermination()
+    return spark.read.parquet(f"{root}/out")
+
+
+QUERIES.update({
+    "manifest_alignment": manifest_alignment,
+    "decision_exports": decision_exports,
+    "run_leaderboard": run_leaderboard,
+    "model_cv_auc": model_cv_auc,
+    "stream_scores": stream_scores,
+})

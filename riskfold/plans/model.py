@@ -148,7 +148,7 @@ def cross_validate(train: DataFrame, manifest: list[str], grid: dict[str, list],
                         numFolds=folds, foldCol=fold_col, parallelism=parallelism, seed=SEED)
     cvm = cv.fit(data)
     best = ScoringModel(manifest, names, imputer, scaler, cvm.bestModel, "logistic", weights=weights)
-    return best, list(cvm.avgMetrics)
+    return best, [float(m) for m in cvm.avgMetrics]
 
 
 def stratified_baseline(df: DataFrame, prior: float, seed: int = SEED) -> DataFrame:

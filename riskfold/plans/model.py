@@ -138,7 +138,8 @@ def cross_validate(train: DataFrame, manifest: list[str], grid: dict[str, list],
     weights = class_weights(base, LABEL)
     data = with_weight(scaler.transform(imputer.transform(base)), LABEL, weights).withColumn(
         "label", F.col(LABEL).cast("double"))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", standardization=False)
+    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", standardization=False,
+                            maxIter=1000, tol=1e-4)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="keep"), lr])
     builder = ParamGridBuilder()
     for k, values in grid.items():

@@ -6,16 +6,17 @@ The values are first collapsed to distinct (group, value) rows with counts
 task).  The distinct rows are range-partitioned on (group, value), the
 partitioning is frozen with a reliable checkpoint, per-partition totals are
 collected (one row per partition and group) and turned into offsets, and
-each partition adds its own running count in an Arrow batch.  No task sees
-more than its range partition; the driver sees only partition totals.
+running counts are taken with a window partitioned by (range partition,
+group).  No task sees more than its range partition; the driver sees only
+partition totals.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from riskfold.session import cut_lineage
 
@@ -41,32 +42,15 @@ def prefix_counts(counts: DataFrame, groups: list[str], order: str, weights: lis
     off_schema = T.StructType([T.StructField("_pid", T.IntegerType())] + group_fields
                               + [T.StructField(f"_off_{w}", T.LongType()) for w in weights])
     off = spark.createDataFrame(offsets, off_schema)
-    # the checkpointed frame keeps its range partitions; the broadcast join
-    # streams them in place and the local sort adds no exchange
-    joined = (ranged.join(F.broadcast(off), ["_pid", *groups], "left")
-              .sortWithinPartitions("_pid", *groups, order))
-    out_fields = [f for f in joined.schema.fields if not f.name.startswith("_off_") and f.name != "_pid"]
-    out_schema = T.StructType(out_fields + [T.StructField(f"{w}_before", T.LongType()) for w in weights])
-    gcols = ["_pid", *groups]
-
-    def running_counts(batches):
-        carry: dict[tuple, list[int]] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            gkeys = list(zip(*[pdf[c] for c in gcols]))
-            grouped = pdf.groupby(gcols, sort=False, dropna=False)
-            for j, w in enumerate(weights):
-                base = [carry.get(k, [0] * len(weights))[j] for k in gkeys]
-                pdf[f"{w}_before"] = (pd.Series(base, index=pdf.index) + grouped[w].cumsum() - pdf[w]
-                                      + pdf[f"_off_{w}"].fillna(0)).astype("int64")
-            for k, tot in zip(grouped.size().index, grouped[weights].sum().itertuples(index=False)):
-                k = k if isinstance(k, tuple) else (k,)
-                prev = carry.get(k, [0] * len(weights))
-                carry[k] = [a + int(b) for a, b in zip(prev, tot)]
-            yield pdf[[f.name for f in out_schema.fields]]
-
-    return joined.mapInPandas(running_counts, out_schema)
+    # running counts inside each (range partition, group): a window whose
+    # partitions are bounded by one range partition, so JVM-side and without
+    # any task seeing more than its slice; the offsets add the earlier slices
+    inside = Window.partitionBy("_pid", *groups).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = ranged.join(F.broadcast(off), ["_pid", *groups], "left")
+    return joined.select(
+        *[c for c in ranged.columns if c != "_pid"],
+        *[(F.coalesce(F.sum(w).over(inside), F.lit(0)) + F.coalesce(F.col(f"_off_{w}"), F.lit(0)))
+          .cast("long").alias(f"{w}_before") for w in weights])
 
 
 def average_ranks(df: DataFrame, groups: list[str], value: str) -> DataFrame:

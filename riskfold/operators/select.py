@@ -180,12 +180,13 @@ def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
     ranked = long.join(ranks, ["pair", "feature", "x"])
     wide = cut_lineage(ranked.groupBy("pair", key)
                        .agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c) for c in features]))
+    sizes = {r["pair"]: r["n"] for r in wide.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for p, (a, b, members) in enumerate(pairs):
+        if not sizes.get(p):
+            continue
         vec = VectorAssembler(inputCols=members, outputCol="v").transform(
             wide.where(F.col("pair") == p).select(*members)).select("v")
-        if vec.isEmpty():
-            continue
         mat = Correlation.corr(vec, "v", "pearson").first()[0].toArray()
         for u, ci in enumerate(members):
             for v, cj in enumerate(members):

@@ -11,6 +11,7 @@ the decision threshold (M18).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -36,6 +37,20 @@ LIKELY = "likely to repay"
 NOT_LIKELY = "not likely to repay"
 
 
+# Training partitions hold about this many feature values (~32 MB of
+# doubles): iterative optimisers run one job per iteration, so partitions
+# far smaller than that only add scheduling cost.
+CELLS_PER_PARTITION = 4_000_000
+
+
+def size_partitions(df: DataFrame, n_features: int) -> DataFrame:
+    """Narrow ``coalesce`` of a materialised training frame to the number of
+    partitions its size needs (never more partitions than it has)."""
+    current = df.rdd.getNumPartitions()
+    wanted = max(1, math.ceil(df.count() * max(n_features, 1) / CELLS_PER_PARTITION))
+    return df.coalesce(wanted) if wanted < current else df
+
+
 def feature_manifest(df: DataFrame, exclude: tuple[str, ...] = (CLIENT, LABEL)) -> list[str]:
     """Ordered numeric feature names of a feature table."""
     return [c for c in numeric_columns(df) if c not in exclude]
@@ -91,8 +106,9 @@ def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logist
     # one reliable lineage cut: the feature plan runs once, and the fitting
     # passes (medians, moments, optimiser iterations) read the checkpoint
     extra = [F.col(validation_col)] if validation_col else []
-    base = cut_lineage(train.select(F.col(LABEL), *extra,
-                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest]))
+    base = size_partitions(cut_lineage(train.select(F.col(LABEL), *extra,
+                                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest])),
+                           len(manifest))
     if impute == "median":
         imputer, scaler = fit_imputer_and_scaler(base, safe)
         imputed = imputer.transform(base)
@@ -132,8 +148,9 @@ def cross_validate(train: DataFrame, manifest: list[str], grid: dict[str, list],
     ``train`` must carry ``fold_col`` (see operators.sample.kfold)."""
     names = sanitized_manifest(manifest)
     safe = [names[c] for c in manifest]
-    base = cut_lineage(train.select(F.col(LABEL), F.col(fold_col),
-                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest]))
+    base = size_partitions(cut_lineage(train.select(F.col(LABEL), F.col(fold_col),
+                                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest])),
+                           len(manifest))
     imputer, scaler = fit_imputer_and_scaler(base, safe)
     weights = class_weights(base, LABEL)
     data = with_weight(scaler.transform(imputer.transform(base)), LABEL, weights).withColumn(

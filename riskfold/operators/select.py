@@ -53,10 +53,21 @@ def correlated_pairs(corr: DataFrame, threshold: float = CORRELATION_THRESHOLD)
     return corr.where((F.col("i") < F.col("j")) & (F.abs("rho") > threshold))
 
 
+# Target correlations are compared after rounding to this many decimals:
+# identical features must tie, and a distributed sum can differ from
+# another in the last bits depending on arrival order.
+CORRELATION_DIGITS = 12
+
+
+def _rounded(target_corr: dict[str, float]) -> dict[str, float]:
+    return {k: (None if v is None else round(v, CORRELATION_DIGITS)) for k, v in target_corr.items()}
+
+
 def prune_by_group(pairs: list[tuple[str, str]], features: list[str], target_corr: dict[str, float]) -> set[str]:
     """Prune A (K4): for each column, its group = the column plus every
     earlier column correlated with it; keep the group's best target
     correlation, drop the rest.  Works on the edge list only."""
+    target_corr = _rounded(target_corr)
     earlier: dict[str, list[str]] = {}
     for a, b in pairs:
         ia, ib = features.index(a), features.index(b)
@@ -81,6 +92,7 @@ def prune_greedy(pairs: list[tuple[str, str]], features: list[str], target_corr:
     dropped before ``i`` is visited and dropped ``j``; drop the weaker of
     each correlated pair (ties keep i).  As in the original, the walk over
     ``j`` continues after ``i`` itself was dropped."""
+    target_corr = _rounded(target_corr)
     linked: dict[str, set[str]] = {}
     for a, b in pairs:
         linked.setdefault(a, set()).add(b)

@@ -557,3 +557,6 @@ QUERIES.update({
     "model_cv_auc": model_cv_auc,
     "stream_scores": stream_scores,
 })
+
+ORACLE_SQL["selected_features"] = so.selected_features_sql(CORRELATION_THRESHOLD)
+ORACLE_SQL["selected_features_by_group"] = so.selected_features_by_group_sql(CORRELATION_THRESHOLD)

@@ -448,26 +448,33 @@ def top_bottom_correlated_sql(n: int = 10) -> str:
                    ORDER BY rho ASC, feature LIMIT {n})"""
 
 
-def correlated_pairs_sql(threshold: float) -> str:
+def _correlated_pairs_ctes(threshold: float) -> str:
+    """CTEs ending in ``cp``: feature pairs (sorted-name order) whose
+    pairwise-complete Spearman correlation exceeds ``threshold`` in size."""
     feats = sorted(bureau_client_feature_names())
     casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
     idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
-    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + f""",
-    d AS (SELECT SK_ID_CURR, {casts} FROM bureau_client),
-    long AS (UNPIVOT d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
-    idx AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
-    l AS (SELECT long.*, idx.i FROM long JOIN idx USING (feature)),
-    pairs AS (SELECT a.feature AS feature_i, b.feature AS feature_j, a.i AS i, b.i AS j, a.x AS xa, b.x AS xb
-              FROM l a JOIN l b ON a.SK_ID_CURR = b.SK_ID_CURR AND a.i < b.i),
-    ranked AS (SELECT feature_i, feature_j, i, j,
+    return f"""
+    cp_d AS (SELECT SK_ID_CURR, {casts} FROM bureau_client),
+    cp_long AS (UNPIVOT cp_d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
+    cp_idx AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
+    cp_l AS (SELECT cp_long.*, cp_idx.i FROM cp_long JOIN cp_idx USING (feature)),
+    cp_pairs AS (SELECT a.feature AS feature_i, b.feature AS feature_j, a.i AS i, b.i AS j, a.x AS xa, b.x AS xb
+              FROM cp_l a JOIN cp_l b ON a.SK_ID_CURR = b.SK_ID_CURR AND a.i < b.i),
+    cp_ranked AS (SELECT feature_i, feature_j, i, j,
         rank() OVER (PARTITION BY i, j ORDER BY xa) + (count(*) OVER (PARTITION BY i, j, xa) - 1) / 2.0 AS ra,
         rank() OVER (PARTITION BY i, j ORDER BY xb) + (count(*) OVER (PARTITION BY i, j, xb) - 1) / 2.0 AS rb
-        FROM pairs)
-    SELECT * FROM (
+        FROM cp_pairs),
+    cp AS (SELECT * FROM (
         SELECT feature_i, feature_j, i, j,
                CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho
-        FROM ranked GROUP BY feature_i, feature_j, i, j)
-    WHERE abs(rho) > {threshold!r}""")
+        FROM cp_ranked GROUP BY feature_i, feature_j, i, j)
+        WHERE abs(rho) > {threshold!r})"""
+
+
+def correlated_pairs_sql(threshold: float) -> str:
+    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + "," + _correlated_pairs_ctes(threshold)
+            + "\nSELECT * FROM cp")
 
 
 def drift_sql(bins: int = 10, eps: float = 1e-4, seed: int = 42) -> str:
@@ -514,3 +521,50 @@ def baseline_cost_sql(seed: int = 42) -> str:
                count(*) FILTER (WHERE TARGET = 0 AND prediction = 1)::BIGINT AS fp,
                count(*) FILTER (WHERE TARGET = 1 AND prediction = 0)::BIGINT AS fn,
                count(*) FILTER (WHERE TARGET = 1 AND prediction = 1)::BIGINT AS tp FROM p)"""
+
+
+def selected_features_sql(threshold: float) -> str:
+    """Greedy pruning (K5) as a recursive walk over the features in order.
+
+    For a feature i still kept when it is visited, every later linked
+    feature that is still kept is dropped when i's target correlation is at
+    least its own; i itself is dropped when any of them is stronger."""
+    feats = sorted(bureau_client_feature_names())
+    idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
+    return (_spearman_body() + "," + _correlated_pairs_ctes(threshold) + f""",
+    fi AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
+    tc AS (SELECT fi.feature, fi.i, coalesce(round(sp.abs_rho, 12), 0.0) AS c FROM fi LEFT JOIN sp USING (feature)),
+    later AS (SELECT cp.i, list({{'fj': cp.feature_j, 'weaker': a.c >= b.c}}) AS links
+              FROM cp JOIN tc a ON a.i = cp.i JOIN tc b ON b.i = cp.j GROUP BY cp.i),
+    steps AS (SELECT tc.i, tc.feature, coalesce(later.links, []) AS links FROM tc LEFT JOIN later USING (i)),
+    walk AS (SELECT * FROM (WITH RECURSIVE w(k, dropped) AS (
+        SELECT 0, []::VARCHAR[]
+        UNION ALL
+        SELECT w.k + 1,
+               CASE WHEN list_contains(w.dropped, s.feature) THEN w.dropped
+                    ELSE list_concat(w.dropped,
+                         list_concat(list_transform(list_filter(s.links, lambda x: NOT list_contains(w.dropped, x.fj)
+                                                                               AND x.weaker), lambda x: x.fj),
+                                     CASE WHEN len(list_filter(s.links, lambda x: NOT list_contains(w.dropped, x.fj)
+                                                                              AND NOT x.weaker)) > 0
+                                          THEN [s.feature] ELSE []::VARCHAR[] END)) END
+        FROM w JOIN steps s ON s.i = w.k)
+      SELECT dropped FROM w ORDER BY k DESC LIMIT 1))
+    SELECT fi.feature, NOT list_contains((SELECT dropped FROM walk), fi.feature) AS kept FROM fi""")
+
+
+def selected_features_by_group_sql(threshold: float) -> str:
+    """Group pruning (K4): each feature with earlier correlated features forms
+    a group with them; the group's strongest target correlation (earliest
+    feature on ties; the feature itself if none is known) is kept."""
+    feats = sorted(bureau_client_feature_names())
+    idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
+    return (_spearman_body() + "," + _correlated_pairs_ctes(threshold) + f""",
+    fi AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
+    tc AS (SELECT fi.feature, fi.i, round(sp.abs_rho, 12) AS c FROM fi LEFT JOIN sp USING (feature)),
+    grp AS (SELECT DISTINCT j AS g, j AS m FROM cp UNION SELECT j AS g, i AS m FROM cp),
+    scored AS (SELECT grp.g, grp.m, tc.c FROM grp JOIN tc ON tc.i = grp.m),
+    best AS (SELECT g, coalesce(first(m ORDER BY c DESC, m ASC) FILTER (WHERE c IS NOT NULL), g) AS b
+             FROM scored GROUP BY g),
+    dropped AS (SELECT DISTINCT m FROM grp JOIN best USING (g) WHERE m <> b)
+    SELECT feature, i NOT IN (SELECT m FROM dropped) AS kept FROM fi""")

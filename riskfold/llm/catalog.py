@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm import exact_dedup, mixing, quality_rules, sql, warc_store
+from riskfold.llm import bpe, exact_dedup, mixing, quality_rules, sql, warc_store
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
@@ -32,6 +32,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("__llm_taken").alias("taken"))
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
@@ -40,6 +47,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op5_mixing": op5_mixing,
+    "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

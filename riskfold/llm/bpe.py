@@ -29,6 +29,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskfold.llm.common import ship_package
+
 BLOCK_CHARS = 8 << 20
 CHUNK = 100_000
 CACHE = 300_000
@@ -214,6 +216,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
     import pyarrow as pa
 
     spark = docs.sparkSession
+    ship_package(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     sha = hashlib.sha256
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm import bpe, exact_dedup, mixing, quality_rules, sql, warc_store
+from riskfold.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, sql, warc_store
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
@@ -32,6 +32,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("__llm_taken").alias("taken"))
 
 
+def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+    scored = quality_classifier.with_score(docs, model, "score")
+    return scored.select("doc_id", quality_classifier.is_held_out().alias("held_out"), "score",
+                         (F.col("score") >= quality_classifier.KEEP_AT).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +55,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op5_mixing": op5_mixing,
+    "op8_classifier": op8_classifier,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
 }

@@ -13,7 +13,10 @@ Conventions every operator follows:
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +52,17 @@ def clear_stages(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the application, once (what
+    ``--py-files`` does), for operators whose tasks run Python."""
+    context = spark.sparkContext
+    if getattr(context, "_llm_shipped", None) != context.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        made = shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name)
+        context.addPyFile(made)
+        context._llm_shipped = context.applicationId
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -11,24 +11,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskfold.llm import exact_dedup, mixing
+from riskfold.llm import bpe, exact_dedup, minhash_dedup, mixing, quality_classifier
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
 
+def _classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return quality_classifier.drop_rejected(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
+
+
 def _exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def _near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8) stays."""
+    return minhash_dedup.drop_near_duplicates(docs, words=5, percent=80)
+
+
 def _mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; repeated documents are repeated rows."""
     return mixing.mixed_documents(docs)
 
 
+def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's number of ids and digests of its ids and of its decoded text."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("quality classifier", _classify),
     ("exact dedup", _exact),
+    ("MinHash near-dedup", _near),
     ("mixing", _mix),
+    ("byte-level BPE", _encode),
 ]
 
 #: The stages fit a model, confirm links on whole sets and tokenise: no SQL.

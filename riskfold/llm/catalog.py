@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm import bpe, exact_dedup, mixing, quality_classifier, quality_rules, sql, warc_store
+from riskfold.llm import bpe, exact_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sql, warc_store
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
@@ -26,6 +26,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "base_failed", "kept", F.round("quality", 6).alias("quality"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), words=3, percent=85)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
     return mixed.select("doc_id", F.col("__llm_size").alias("size"), "source_size", "target",
@@ -54,6 +58,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
+    "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
     "op8_classifier": op8_classifier,
     "op9_bpe": op9_bpe,

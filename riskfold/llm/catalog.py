@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm import bpe, exact_dedup, minhash_dedup, mixing, quality_classifier, quality_rules, sql, warc_store
+from riskfold.llm import bpe, exact_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sql, warc_store
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("__llm_taken").alias("taken"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str, key: bytes = b"set a secret key for each corpus") -> DataFrame:
+    return pii.replace_entities(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), key)
+
+
 def op8_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     model = quality_classifier.fit(docs, read_table(spark, sf_dir, "labels", ["doc_id", "quality"]))
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
+    "op7_pii": op7_pii,
     "op8_classifier": op8_classifier,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,

@@ -6,11 +6,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm import bpe, exact_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sql, warc_store
+from riskfold.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sql, warc_store
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the archive of all pages, read it back, and report its records."""
     import uuid
@@ -60,6 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash": op4_minhash,
@@ -71,6 +77,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_line_dedup": sql.LINE_DEDUP,
     "op2_warc": sql.WARC,
     "op10_exact_dedup": sql.EXACT_DEDUP,
 }

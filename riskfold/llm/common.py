@@ -18,7 +18,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskfold.session import checkpoint_dir
@@ -85,3 +85,27 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, n: str, total: int
     on_hot = rows.join(F.broadcast(hot), key)
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
     return on_hot.unionByName(rest.join(cold, key))
+
+
+def prefix_sums(rows: DataFrame, group: str | None, order: list[str], value: str) -> DataFrame:
+    """Adds ``__llm_before``: the sum of ``value`` over the rows of the same
+    ``group`` (of all rows where it is None) that come earlier in ``order``.
+
+    Rows are range-partitioned by (group, order) and frozen in a staged table;
+    sums are taken inside each range and the totals of earlier ranges added.  No
+    task sees more than its range, however large a group is."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = rows.withColumn("__llm_g", F.col(group) if group else F.lit(0))
+    ranged = stage(keyed.repartitionByRange(parts, "__llm_g", *order).withColumn("__llm_part", F.spark_partition_id()),
+                   "ranged")
+    inside = Window.partitionBy("__llm_part", "__llm_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("__llm_h").orderBy("__llm_p").rowsBetween(Window.unboundedPreceding, -1)
+    # at most (ranges + groups) rows, as the ranges are contiguous
+    totals = (ranged.groupBy(F.col("__llm_g").alias("__llm_h"), F.col("__llm_part").alias("__llm_p"))
+              .agg(F.sum(value).alias("__llm_total"))
+              .select("__llm_h", "__llm_p", F.coalesce(F.sum("__llm_total").over(earlier), F.lit(0)).alias("__llm_offset")))
+    counted = ranged.withColumn("__llm_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    joined = counted.join(totals, F.col("__llm_g").eqNullSafe(F.col("__llm_h"))
+                          & (F.col("__llm_part") == F.col("__llm_p")))
+    return joined.withColumn("__llm_before", (F.col("__llm_inside") + F.col("__llm_offset")).cast("long")).drop(
+        "__llm_inside", "__llm_offset", "__llm_g", "__llm_h", "__llm_p", "__llm_part")

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import WHITE_CLASS, WORD_CLASS, stage, text_of, word_count
+from riskfold.llm.common import WHITE_CLASS, WORD_CLASS, prefix_sums, stage, text_of, word_count
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -58,26 +58,6 @@ def source_targets(sizes: DataFrame) -> DataFrame:
                 F.coalesce(F.col("final") * F.col("w"), F.lit(float(CAP)) * F.col("source_size"))).alias("target"))
 
 
-def words_before(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    """Adds ``__llm_before``: the sum of ``value`` over the rows of the same
-    group that come earlier in (group, order).  The range partitions are frozen
-    in a staged table; no task sees more than its range."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = stage(rows.repartitionByRange(parts, group, *order)
-                   .withColumn("__llm_part", F.spark_partition_id()), "ranged")
-    inside = Window.partitionBy("__llm_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(group).orderBy("__llm_part").rowsBetween(Window.unboundedPreceding, -1)
-    # at most (partitions + groups) rows, as the ranges are contiguous
-    totals = (ranged.groupBy(group, "__llm_part").agg(F.sum(value).alias("__llm_total"))
-              .select(F.col(group).alias("__llm_g"), F.col("__llm_part").alias("__llm_p"),
-                      F.coalesce(F.sum("__llm_total").over(earlier), F.lit(0)).alias("__llm_offset")))
-    counted = ranged.withColumn("__llm_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    joined = counted.join(totals, F.col(group).eqNullSafe(F.col("__llm_g"))
-                          & (F.col("__llm_part") == F.col("__llm_p")))
-    return joined.withColumn("__llm_before", (F.col("__llm_inside") + F.col("__llm_offset")).cast("long")).drop(
-        "__llm_inside", "__llm_offset", "__llm_g", "__llm_p", "__llm_part")
-
-
 def mix(docs: DataFrame, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) and the columns
     ``carry`` for every row of ``docs``."""
@@ -89,7 +69,7 @@ def mix(docs: DataFrame, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataF
         sized = stage(sized, "sizes")
     targets = stage(source_targets(sized.select("source", F.col("__llm_size").alias("size"))), "targets")
     targets = targets.withColumnRenamed("source", "__llm_source")
-    placed = words_before(sized, "source", ["__llm_key", "doc_id"], "__llm_size")
+    placed = prefix_sums(sized, "source", ["__llm_key", "doc_id"], "__llm_size")
     both = placed.join(targets, F.col("source").eqNullSafe(F.col("__llm_source")))
     epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
     rest = F.floor("target").cast("long") - epochs * F.col("source_size") - F.col("__llm_before")

@@ -17,3 +17,22 @@ g AS (SELECT doc_id, norm, count(*) OVER (PARTITION BY norm) AS group_size,
              first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id FROM t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
+
+LINE_DEDUP = r"""
+WITH t AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS said,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line FROM documents),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS seq FROM t
+      WHERE regexp_matches(said, '[^\x20\x09-\x0D]')),
+w AS (SELECT doc_id, seq, said, lead(said) OVER (PARTITION BY doc_id ORDER BY seq) AS following FROM s),
+k AS (SELECT doc_id, seq, row_number() OVER (PARTITION BY said, following ORDER BY doc_id, seq) AS nth
+      FROM w WHERE following IS NOT NULL),
+c AS (SELECT DISTINCT doc_id, seq + i AS seq FROM k, (VALUES (0), (1)) AS o(i) WHERE nth > 1),
+m AS (SELECT t.doc_id, t.line, t.said, s.seq, c.seq AS gone,
+             c.seq IS NOT NULL AND p.seq IS NULL AS starts
+      FROM t LEFT JOIN s USING (doc_id, line) LEFT JOIN c ON c.doc_id = s.doc_id AND c.seq = s.seq
+      LEFT JOIN c AS p ON p.doc_id = s.doc_id AND p.seq = s.seq - 1)
+SELECT doc_id, count(seq) AS n_lines, count(gone) AS n_removed,
+       CAST(count(*) FILTER (WHERE starts) AS BIGINT) AS n_runs,
+       sha256(coalesce(string_agg(said, chr(10) ORDER BY line) FILTER (WHERE gone IS NULL), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sql, warc_store
+from riskfold.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sql, suffix_dedup, warc_store
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
@@ -41,6 +41,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("__llm_taken").alias("taken"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.drop_repeats(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str, key: bytes = b"set a secret key for each corpus") -> DataFrame:
     return pii.replace_entities(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), key)
 
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_minhash": op4_minhash,
     "op5_mixing": op5_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_pii": op7_pii,
     "op8_classifier": op8_classifier,
     "op9_bpe": op9_bpe,

@@ -49,11 +49,6 @@ def first_match(rules: list[tuple[Column, Column]], otherwise=None) -> Column:
     return expr if otherwise is None else expr.otherwise(otherwise)
 
 
-def nan_to_null(c) -> Column:
-    c = col_(c)
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
-
-
 def inf_to_null(c) -> Column:
     """Replace NaN, +inf and -inf by null."""
     c = col_(c)
@@ -81,22 +76,8 @@ def normalise_nulls(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def fill_constant_if_absent(df: DataFrame, columns: list[str], value=0, dtype: str = "int") -> DataFrame:
-    """Add ``columns`` as constant ``value`` where the frame lacks them."""
-    missing = {c: F.lit(value).cast(dtype) for c in columns if c not in df.columns}
-    return df.withColumns(missing) if missing else df
-
-
-def any_null(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-
-
-def missing_flag(c) -> Column:
-    return col_(c).isNull().cast("int")
-
-
 __all__ = [
-    "is_in", "not_in", "indicator", "map_values", "first_match", "nan_to_null", "inf_to_null",
-    "null_token_to_null", "normalise_nulls", "fill_constant_if_absent", "any_null", "missing_flag",
+    "is_in", "not_in", "indicator", "map_values", "first_match", "inf_to_null",
+    "null_token_to_null", "normalise_nulls",
     "numeric_columns", "string_columns",
 ]

@@ -10,26 +10,21 @@ from pyspark.sql import types as T
 
 from riskfold.constants import NAME_SPECIAL_CHARS
 
-_SPECIAL = re.compile(NAME_SPECIAL_CHARS)
-_UNDERSCORES = re.compile(r"_+")
+#: What separates the words of a name: special characters and underscores.
+_BREAKS = re.compile(f"(?:{NAME_SPECIAL_CHARS}|_)+")
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def sanitize_name(name) -> str:
-    """Model-safe column name.
-
-    Special characters become ``_``, runs of ``_`` collapse, edge ``_`` are
-    stripped; an empty result becomes ``col_<crc32>`` (stable across runs,
-    unlike Python's salted ``hash``); a leading digit gets a ``_`` prefix.
-    """
-    text = str(name)
-    out = _UNDERSCORES.sub("_", _SPECIAL.sub("_", text)).strip("_")
-    if not out:
-        out = f"col_{zlib.crc32(text.encode('utf-8')):08x}"
-    if out[0].isdigit():
-        out = "_" + out
-    return out
+    """Model-safe column name: the words of the name joined by single
+    underscores.  A name without any word is called after its checksum, which
+    is the same in every process; a name must not begin with a digit."""
+    words = [w for w in _BREAKS.split(str(name)) if w]
+    if not words:
+        return f"col_{zlib.crc32(str(name).encode('utf-8')):08x}"
+    lead = "_" if words[0][0].isdigit() else ""
+    return lead + "_".join(words)
 
 
 def sanitize_columns(df: DataFrame) -> DataFrame:
@@ -49,12 +44,3 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 def string_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-
-
-def drop_id_columns(df: DataFrame, keep: str, marker: str = "SK_ID") -> DataFrame:
-    """Drop every column whose name contains ``marker`` except ``keep``."""
-    return df.select(*[c for c in df.columns if c == keep or marker not in c])
-
-
-def add_prefix(df: DataFrame, prefix: str, exclude: tuple[str, ...] = ()) -> DataFrame:
-    return df.withColumnsRenamed({c: prefix + c for c in df.columns if c not in exclude})

@@ -145,31 +145,9 @@ def aggregate_through(df: DataFrame, inner_key: str, bridge: DataFrame, outer_ke
     return _keyed(joined, outer_key).groupBy(outer_key).agg(*final)
 
 
-def agg_numeric_through(df: DataFrame, inner_key: str, bridge: DataFrame, outer_key: str, df_name: str,
-                        columns: list[str] | None = None, id_marker: str = "SK_ID") -> DataFrame:
-    return aggregate_through(df, inner_key, bridge, outer_key, df_name, columns, None, id_marker)
-
-
-def count_categorical_through(df: DataFrame, inner_key: str, bridge: DataFrame, outer_key: str, df_name: str,
-                              vocabulary: dict[str, list[str]]) -> DataFrame:
-    return aggregate_through(df, inner_key, bridge, outer_key, df_name, [], vocabulary)
-
-
-def value_at_extreme(value: str, order: str, largest: bool = True) -> Column:
-    """Value of ``value`` at the greatest (or smallest) ``order`` in the group.
-
-    Rows with a null ``value`` are skipped (pandas ``first()`` after a sort);
-    rows with a null ``order`` rank after all others; ties on ``order`` are
-    broken by the greater ``value``.
-    """
-    o, v = F.col(order), F.col(value)
-    key = F.struct(o.isNotNull().alias("has"), (o if largest else -o).alias("o"), v.alias("v"))
-    return F.max_by(v, F.when(v.isNotNull(), key))
-
-
 def coded_value_at_latest(value: str, order: str, codes: list[str]) -> tuple[Column, Column]:
-    """Hash-aggregable form of :func:`value_at_extreme` (largest ``order``)
-    for a value with a declared vocabulary.
+    """The value at the greatest ``order``, for a value with a declared vocabulary;
+    rows with a null value are skipped, a null order comes last.
 
     Returns ``(aggregate, decode)``: the aggregate is ``max`` of one long
     that packs (order present, order, rank of the value in the sorted
@@ -191,17 +169,6 @@ def coded_value_at_latest(value: str, order: str, codes: list[str]) -> tuple[Col
     return agg, decode
 
 
-def value_counts(df: DataFrame, key: str, column: str, values: list[str], prefix: str = "") -> DataFrame:
-    """Cross-tab ``key`` x ``column`` with a fixed category list, zero-filled.
-
-    Keys whose ``column`` is null on every row are absent (value_counts drops
-    nulls), exactly like ``value_counts().unstack(fill_value=0)``.
-    """
-    exprs = [F.count_if(F.col(column) == F.lit(v)).alias(f"{prefix}{v}") for v in values]
-    return (_keyed(df, key).groupBy(key).agg(F.count(column).alias("_nn"), *exprs)
-            .where(F.col("_nn") > 0).drop("_nn"))
-
-
 def confusion_counts(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """tn, fp, fn, tp of a binary prediction with label order [0, 1]."""
     y, p = F.col(label), F.col(prediction)

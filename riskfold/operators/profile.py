@@ -26,14 +26,12 @@ def _long(df: DataFrame, columns: list[str], value_type: str = "double") -> Data
 def missing_values(df: DataFrame, digits: int = 2, nonzero_only: bool = True) -> DataFrame:
     """feature, missing_values, percentage (of all rows), sorted by percentage desc.
 
-    Long form (one null flag per row and column) aggregated per column, so
-    the plan stays narrow for tables with hundreds of columns."""
-    cols = df.columns
-    flags = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).isNull().alias("null"))
-                                for c in cols]))
-    stacked = (df.select(flags.alias("p"))
-               .groupBy(F.col("p.feature").alias("feature"))
-               .agg(F.count_if(F.col("p.null")).alias("missing_values"), F.count(F.lit(1)).alias("_rows"))
+    One aggregate with a count per column; its single row is then turned into
+    a row per column."""
+    counted = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_n{k}") for k, c in enumerate(df.columns)])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col("_rows") - F.col(f"_n{k}")).alias("missing_values"))
+                               for k, c in enumerate(df.columns)]))
+    stacked = (counted.select("_rows", each.alias("p")).select("p.*", "_rows").where("_rows > 0")
                .select("feature", "missing_values",
                        F.bround(F.col("missing_values") * 100.0 / F.col("_rows"), digits).alias("percentage")))
     if nonzero_only:

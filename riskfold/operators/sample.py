@@ -12,19 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.constants import CV_FOLDS, SEED, TEST_FRACTION
+from riskfold.operators.rank import prefix_counts
 
 _SCALE = float(16 ** 15)
 
 
-def hash_uniform(keys: list[str], seed: int = SEED) -> Column:
-    """Deterministic pseudo-uniform value in [0, 1) from md5(seed|keys)."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint").cast("double") / F.lit(_SCALE)
+def _salted(keys: list[str], purpose: str, seed: int) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(purpose), *[F.col(k).cast("string") for k in keys]))
 
 
-def hash_uniform_sql(keys: list[str], seed: int = SEED) -> str:
-    text = " || '|' || ".join([f"'{seed}'"] + [f"CAST({k} AS VARCHAR)" for k in keys])
-    return f"(CAST(('0x' || substr(md5({text}), 1, 15)) AS BIGINT)::DOUBLE / {_SCALE!r})"
+def hash_uniform(keys: list[str], seed: int = SEED, purpose: str = "sample") -> Column:
+    """Deterministic pseudo-uniform value in [0, 1) from md5(seed|purpose|keys).
+
+    Each purpose draws from its own stream, so that a sample, a split, folds and
+    a random baseline over the same keys are independent of each other."""
+    return F.conv(F.substring(_salted(keys, purpose, seed), 1, 15), 16, 10).cast("bigint").cast("double") / F.lit(_SCALE)
+
+
+def salted_sql(keys: list[str], purpose: str, seed: int = SEED) -> str:
+    return "md5(" + " || '|' || ".join([f"'{seed}'", f"'{purpose}'"] + [f"CAST({k} AS VARCHAR)" for k in keys]) + ")"
+
+
+def hash_uniform_sql(keys: list[str], seed: int = SEED, purpose: str = "sample") -> str:
+    return f"(CAST(('0x' || substr({salted_sql(keys, purpose, seed)}, 1, 15)) AS BIGINT)::DOUBLE / {_SCALE!r})"
 
 
 def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = SEED) -> DataFrame:
@@ -32,21 +42,34 @@ def sample_fraction(df: DataFrame, key: str, fraction: float, seed: int = SEED)
     return df.where(hash_uniform([key], seed) < F.lit(fraction))
 
 
+def _places_in_class(df: DataFrame, key: str, label: str, purpose: str, seed: int) -> DataFrame:
+    """(key, label, _place, _size): the 0-based place of each distinct key in its
+    class, in the order of a salted hash, and the size of the class.
+
+    Places are prefix counts over range partitions (no task holds a class); there
+    is one size per class."""
+    keys = df.where(F.col(label).isNotNull()).select(key, label).distinct()
+    keys = keys.withColumn("_draw", _salted([key], purpose, seed)).withColumn("_one", F.lit(1))
+    placed = prefix_counts(keys, [label], "_draw", ["_one"])
+    sizes = keys.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    return placed.join(sizes, label).select(key, label, F.col("_one_before").alias("_place"), "_size")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test_fraction: float = TEST_FRACTION,
                      seed: int = SEED) -> DataFrame:
-    """Adds ``split`` = 'test' / 'train' (L2).
-
-    The hash is salted with the label, so each class is split on its own
-    uniform stream: every class keeps its share in both parts.
-    """
-    u = hash_uniform([key, label], seed)
-    return df.withColumn("split", F.when(u < F.lit(test_fraction), F.lit("test")).otherwise(F.lit("train")))
+    """Adds ``split`` = 'test' / 'train' (L2): of every class exactly the rounded
+    ``test_fraction`` of its keys is test.  Rows without a label get null."""
+    placed = _places_in_class(df, key, label, "split", seed)
+    split = F.when(F.col("_place") < F.floor(F.col("_size") * test_fraction + 0.5), "test").otherwise("train")
+    return df.join(placed.select(key, label, split.alias("split")), [key, label], "left").select(*df.columns, "split")
 
 
 def kfold(df: DataFrame, key: str, label: str, k: int = CV_FOLDS, seed: int = SEED) -> DataFrame:
-    """Adds ``fold`` in 0..k-1, stratified by ``label`` (L3)."""
-    u = hash_uniform([key, label], seed)
-    return df.withColumn("fold", F.least(F.floor(u * k), F.lit(k - 1)).cast("int"))
+    """Adds ``fold`` in 0..k-1 (L3): in every class the folds differ by at most
+    one key, and do not follow any earlier split."""
+    placed = _places_in_class(df, key, label, "fold", seed)
+    folds = placed.select(key, label, (F.col("_place") % k).cast("int").alias("fold"))
+    return df.join(folds, [key, label], "left").select(*df.columns, "fold")
 
 
 def semi(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:

@@ -9,11 +9,13 @@ pruning passes then run over that small edge list, never over data.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.constants import CORRELATION_THRESHOLD
-from riskfold.operators.rank import average_ranks
+from riskfold.operators.rank import average_ranks, prefix_counts
 from riskfold.session import cut_lineage
 
 
@@ -31,19 +33,26 @@ def _pearson(x: str, y: str):
 
 
 def spearman_with_target(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """feature, rho, abs_rho: Spearman correlation of each feature with the
-    target over the rows where both are non-null (K1)."""
-    # the input feeds two rank passes and the join back: cut its lineage
-    # once (wide, columnar) so the feature plan upstream runs a single time;
-    # the long (feature, value) form is streamed from it, never stored
-    base = cut_lineage(df.where(F.col(target).isNotNull())
-                       .select(F.col(target).cast("double").alias("y"), *features))
-    long = _long(base, features, ["y"])
-    rx = average_ranks(long, ["feature"], "x").withColumnRenamed("rank", "rx")
-    ry = average_ranks(long, ["feature"], "y").withColumnRenamed("rank", "ry")
-    ranked = long.join(rx, ["feature", "x"]).join(ry, ["feature", "y"])
-    out = ranked.groupBy("feature").agg(_pearson("rx", "ry").alias("rho"))
-    return out.withColumn("abs_rho", F.abs("rho"))
+    """feature, rho, abs_rho: Spearman correlation of each feature with a 0/1
+    target over the rows where both are non-null (K1).
+
+    Rows are counted per (feature, value) and class with map-side combine; ranks
+    are attached to those counts, and the correlation is taken from weighted
+    moments.  The rank of the target has two values, which follow from the class
+    counts.  Nothing is joined back to the rows, so no key holds many of them."""
+    long = _long(df.where(F.col(target).isNotNull()), features, [target])
+    counts = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n1"))
+    ranked = prefix_counts(counts, ["feature"], "x", ["n"]).withColumn("r", F.col("n_before") + (F.col("n") + 1) / 2.0)
+    sums = ranked.groupBy("feature").agg(
+        F.sum("n").cast("double").alias("n"), F.sum("n1").cast("double").alias("n1"),
+        F.sum(F.col("n") * F.col("r")).alias("s"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("ss"),
+        F.sum(F.col("n1") * F.col("r")).alias("s1"))
+    n, n1 = F.col("n"), F.col("n1")
+    share = n1 / n
+    # the rank of the target is a line in the target: its slope cancels out
+    spread = (F.col("ss") / n - (F.col("s") / n) * (F.col("s") / n)) * share * (1 - share)
+    rho = F.when(spread > 0, (F.col("s1") / n - (F.col("s") / n) * share) / F.sqrt(spread))
+    return sums.select("feature", rho.alias("rho")).withColumn("abs_rho", F.abs("rho"))
 
 
 def correlated_pairs(corr: DataFrame, threshold: float = CORRELATION_THRESHOLD) -> DataFrame:
@@ -63,53 +72,56 @@ def _rounded(target_corr: dict[str, float]) -> dict[str, float]:
     return {k: (None if v is None else round(v, CORRELATION_DIGITS)) for k, v in target_corr.items()}
 
 
+@dataclass(frozen=True)
+class CorrelationGraph:
+    """Correlated pairs as later neighbours of each position in feature order,
+    with the strength (rounded target correlation) of each position."""
+
+    names: list[str]
+    later: dict[int, list[int]]
+    strength: list[float | None]
+
+    @classmethod
+    def build(cls, pairs: list[tuple[str, str]], features: list[str], target_corr: dict[str, float]) -> "CorrelationGraph":
+        at = {name: k for k, name in enumerate(features)}
+        later: dict[int, set[int]] = {}
+        for pair in pairs:
+            low, high = sorted(at[name] for name in pair)
+            later.setdefault(low, set()).add(high)
+        known = _rounded(target_corr)
+        return cls(features, {k: sorted(v) for k, v in later.items()}, [known.get(f) for f in features])
+
+
 def prune_by_group(pairs: list[tuple[str, str]], features: list[str], target_corr: dict[str, float]) -> set[str]:
-    """Prune A (K4): for each column, its group = the column plus every
-    earlier column correlated with it; keep the group's best target
-    correlation, drop the rest.  Works on the edge list only."""
-    target_corr = _rounded(target_corr)
-    earlier: dict[str, list[str]] = {}
-    for a, b in pairs:
-        ia, ib = features.index(a), features.index(b)
-        first, second = (a, b) if ia < ib else (b, a)
-        earlier.setdefault(second, []).append(first)
-    drop: set[str] = set()
-    for col in features:
-        if col not in earlier:
-            continue
-        group = [col] + sorted(earlier[col], key=features.index)
-        scored = [g for g in group if target_corr.get(g) is not None]
-        if scored:
-            best = max(scored, key=lambda g: (target_corr[g], -features.index(g)))
-            drop.update(g for g in group if g != best)
-        else:
-            drop.update(group[1:])
-    return drop
+    """Prune A (K4): a feature with correlated predecessors forms a group with
+    them; all but the group's strongest (the earliest on ties; the feature
+    itself where no strength is known) are dropped."""
+    graph = CorrelationGraph.build(pairs, features, target_corr)
+    groups: dict[int, list[int]] = {}
+    for low, highs in graph.later.items():
+        for high in highs:
+            groups.setdefault(high, [high]).append(low)
+    dropped: set[int] = set()
+    for own, group in groups.items():
+        known = [k for k in group if graph.strength[k] is not None]
+        best = min(known, key=lambda k: (-graph.strength[k], k)) if known else own
+        dropped |= set(group) - {best}
+    return {features[k] for k in dropped}
 
 
 def prune_greedy(pairs: list[tuple[str, str]], features: list[str], target_corr: dict[str, float]) -> set[str]:
-    """Prune B (K5): walk pairs (i, j) in feature order, skipping columns
-    dropped before ``i`` is visited and dropped ``j``; drop the weaker of
-    each correlated pair (ties keep i).  As in the original, the walk over
-    ``j`` continues after ``i`` itself was dropped."""
-    target_corr = _rounded(target_corr)
-    linked: dict[str, set[str]] = {}
-    for a, b in pairs:
-        linked.setdefault(a, set()).add(b)
-        linked.setdefault(b, set()).add(a)
-    drop: set[str] = set()
-    for i, fi in enumerate(features):
-        if fi in drop:
-            continue
-        for fj in features[i + 1:]:
-            if fj in drop or fj not in linked.get(fi, ()):
-                continue
-            ci, cj = target_corr.get(fi) or 0.0, target_corr.get(fj) or 0.0
-            if ci >= cj:
-                drop.add(fj)
-            else:
-                drop.add(fi)
-    return drop
+    """Prune B (K5): the features are visited in order.  One that is still kept
+    takes out its kept later neighbours that are not stronger, and goes itself
+    when any of them is stronger (it takes out the weaker ones all the same)."""
+    graph = CorrelationGraph.build(pairs, features, target_corr)
+    strength = [s or 0.0 for s in graph.strength]
+    dropped: set[int] = set()
+    for own, neighbours in sorted(graph.later.items()):
+        if own not in dropped:
+            rivals = [k for k in neighbours if k not in dropped]
+            weaker = {k for k in rivals if strength[k] <= strength[own]}
+            dropped |= weaker | ({own} if len(weaker) < len(rivals) else set())
+    return {features[k] for k in dropped}
 
 
 def null_pattern_groups(df: DataFrame, features: list[str], key: str) -> list[list[str]]:
@@ -142,16 +154,6 @@ def null_pattern_groups(df: DataFrame, features: list[str], key: str) -> list[li
     return sorted(groups, key=lambda g: features.index(g[0]))
 
 
-def _rank_wide(df: DataFrame, features: list[str], key: str) -> DataFrame:
-    """Rows of ``df`` (already restricted to complete rows) with every
-    feature replaced by its average rank among those rows."""
-    long = _long(df, features, [key])
-    ranks = average_ranks(long, ["feature"], "x")
-    ranked = long.join(ranks, ["feature", "x"])
-    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("rank"))).alias(c)
-                                     for c in features])
-
-
 def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
     """feature_i, feature_j, i, j, rho for every pair i < j (K2).
 
@@ -162,7 +164,8 @@ def spearman_matrix(df: DataFrame, features: list[str], key: str) -> DataFrame:
     (rank groups = (group pair, feature)), pivoted back to one rank vector
     per (group pair, row), checkpointed, and each group pair's correlation
     matrix is a distributed Gram matrix (``Correlation.corr``).  Ranks are
-    never recomputed per feature pair and no row emits feature pairs."""
+    never recomputed per feature pair; a row is repeated once per pair of
+    null patterns, so this suits tables with few of them."""
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.stat import Correlation
 

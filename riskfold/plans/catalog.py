@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from riskfold.plans import features as fp
 from riskfold.plans import sql_oracle as so
 from riskfold.operators.aggregate import agg_numeric, count_categorical
-from riskfold.operators.credit import BureauRoles
+from riskfold.operators.credit import BureauRoles, bureau_manual_columns
 from riskfold.session import cut_lineage
 from riskfold.sources.binding import ACTIVE_LOAN_STATUS, binding_vocabulary, credit_tables
 
@@ -189,12 +189,28 @@ def kfold_assignment(spark, sf_dir):
     return sa.kfold(_tables(spark, sf_dir)["client_labels"], "SK_ID_CURR", "TARGET")
 
 
-def spearman_target(spark, sf_dir):
-    """K1: Spearman correlation of every bureau feature with the label."""
+def train_fold_sizes(spark, sf_dir):
+    """L2 then L3: clients per class and fold of the training split."""
+    train = stratified_split(spark, sf_dir).where(F.col("split") == "train")
+    return sa.kfold(train, "SK_ID_CURR", "TARGET").groupBy("TARGET", "fold").agg(F.count(F.lit(1)).alias("clients"))
+
+
+def _bureau_features(spark, sf_dir):
+    """Bureau features of labelled clients with label and split, and the feature
+    names in table order: generic blocks, then the hand-made ones as J9-J16 list them."""
     t = _tables(spark, sf_dir)
     feats = fp.bureau_client(t["bureau"], default_plan())
-    cols = [c for c in numeric_columns(feats) if c != "SK_ID_CURR"]
-    return spearman_with_target(feats.join(t["client_labels"], "SK_ID_CURR"), cols, "TARGET")
+    split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "TARGET", "split")
+    vocab = default_plan().vocab("bureau")
+    manual = bureau_manual_columns(vocab["CREDIT_ACTIVE"], vocab["CREDIT_TYPE"])
+    generic = [c for c in numeric_columns(feats) if c != "SK_ID_CURR" and c not in manual]
+    return feats.join(split, "SK_ID_CURR"), generic + manual
+
+
+def spearman_target(spark, sf_dir):
+    """K1: Spearman correlation of every bureau feature with the label, on the training split."""
+    feats, cols = _bureau_features(spark, sf_dir)
+    return spearman_with_target(feats.where(F.col("split") == "train"), cols, "TARGET")
 
 
 def threshold_sweep(spark, sf_dir):
@@ -234,6 +250,7 @@ QUERIES.update({
     "sample_installments": sample_installments,
     "stratified_split": stratified_split,
     "kfold_assignment": kfold_assignment,
+    "train_fold_sizes": train_fold_sizes,
     "spearman_target": spearman_target,
     "threshold_sweep": threshold_sweep,
     "best_threshold": best_threshold,
@@ -254,6 +271,7 @@ ORACLE_SQL.update({
     "sample_installments": so.sample_sql("installments_payments", RELATION_SAMPLE_FRACTION),
     "stratified_split": so.split_sql("split"),
     "kfold_assignment": so.split_sql("fold"),
+    "train_fold_sizes": so.train_fold_sizes_sql(),
     "spearman_target": so.spearman_target_sql(),
     "threshold_sweep": so.threshold_sweep_sql(),
     "best_threshold": so.best_threshold_sql(),
@@ -286,12 +304,13 @@ def feature_table(spark, sf_dir) -> DataFrame:
 def _labelled(spark, sf_dir) -> DataFrame:
     t = _tables(spark, sf_dir)
     feats = feature_table(spark, sf_dir)
-    split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "split")
-    return feats.join(t["client_labels"], "SK_ID_CURR").join(split, "SK_ID_CURR")
+    split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "TARGET", "split")
+    return feats.join(split, "SK_ID_CURR")
 
 
 def trained_model(spark, sf_dir, kind: str = "logistic") -> md.ScoringModel:
-    """Fit once per session and input folder (training split only)."""
+    """The model of ``kind``, fitted on the training split by whichever query
+    asks for it first and kept for the session and input folder."""
     key = (id(spark), sf_dir, kind)
     if key not in _MODELS:
         data = _labelled(spark, sf_dir)
@@ -361,16 +380,10 @@ def top_bottom_correlated(spark, sf_dir, n: int = 10):
     return top.unionByName(bottom)
 
 
-def _bureau_features(spark, sf_dir):
-    t = _tables(spark, sf_dir)
-    feats = fp.bureau_client(t["bureau"], default_plan())
-    return feats, sorted(c for c in numeric_columns(feats) if c != "SK_ID_CURR")
-
-
 def correlated_feature_pairs(spark, sf_dir):
-    """K2 + K3: pairs of bureau features with |Spearman| above the threshold."""
+    """K2 + K3: pairs of bureau features with |Spearman| above the threshold, on the training split."""
     feats, cols = _bureau_features(spark, sf_dir)
-    return correlated_pairs(spearman_matrix(feats, cols, "SK_ID_CURR"), CORRELATION_THRESHOLD)
+    return correlated_pairs(spearman_matrix(feats.where(F.col("split") == "train"), cols, "SK_ID_CURR"), CORRELATION_THRESHOLD)
 
 
 _EDGES: dict[tuple, tuple] = {}
@@ -398,22 +411,14 @@ def selected_features(spark, sf_dir):
 
 def drift_train_vs_test(spark, sf_dir):
     """K9: PSI and null-rate change of the bureau features, train vs test split."""
-    t = _tables(spark, sf_dir)
     feats, cols = _bureau_features(spark, sf_dir)
-    split = sa.stratified_split(t["client_labels"], "SK_ID_CURR", "TARGET").select("SK_ID_CURR", "split")
-    d = cut_lineage(feats.join(split, "SK_ID_CURR"))   # read by every selection round and both binnings
+    d = cut_lineage(feats)   # read by every selection round and both binnings
     return psi_drift(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), cols)
 
 
 def model_feature_importance(spark, sf_dir):
     """K7: tree-model importances (gradient-boosted trees on the train split)."""
-    key = (id(spark), sf_dir, "gbt")
-    if key not in _MODELS:
-        data = _labelled(spark, sf_dir)
-        manifest = md.feature_manifest(data.drop("split"))
-        _MODELS[key] = md.fit(data.where(F.col("split") == "train"), manifest, kind="gbt",
-                              gbt_params={"maxIter": 20, "maxDepth": 4})
-    return md.feature_importances(_MODELS[key])
+    return md.feature_importances(trained_model(spark, sf_dir, "gbt"))
 
 
 QUERIES.update({
@@ -508,9 +513,7 @@ def run_leaderboard(spark, sf_dir):
     path = _shared_folder(spark, "ledger")
     data = _labelled(spark, sf_dir).where(F.col("split") == "test")
     for kind in ("logistic", "gbt"):
-        if kind == "gbt":
-            model_feature_importance(spark, sf_dir)          # fits and caches the tree model
-        model = _MODELS[(id(spark), sf_dir, kind)]
+        model = trained_model(spark, sf_dir, kind)
         scored = model.score(data, keep=("SK_ID_CURR", "TARGET"))
         auc = ev.roc_auc(scored, "TARGET", "probability").first()["roc_auc"]
         best = ev.best_threshold(ev.threshold_sweep(scored, "TARGET", "probability")).first()
@@ -522,13 +525,26 @@ def run_leaderboard(spark, sf_dir):
 
 
 def model_cv_auc(spark, sf_dir):
-    """M8: 3-fold stratified grid search of the logistic model (ROC AUC per grid point)."""
+    """M8: 3-fold stratified grid search of the logistic model (exact ROC AUC per grid point)."""
     data = _labelled(spark, sf_dir).where(F.col("split") == "train")
     manifest = md.feature_manifest(data.drop("split"))
-    folded = sa.kfold(data, "SK_ID_CURR", "TARGET")
-    grid = [0.01, 0.1]
-    _, metrics = md.cross_validate(folded, manifest, {"regParam": grid})
-    return spark.createDataFrame([(g, m) for g, m in zip(grid, metrics)], "reg_param double, mean_roc_auc double")
+    grid = [{"C": 1.0}, {"C": 0.01}]
+    found = md.cross_validate(sa.kfold(data, "SK_ID_CURR", "TARGET"), manifest, grid)
+    return spark.createDataFrame([(p["C"], m) for p, m in found], "c double, mean_roc_auc double")
+
+
+def encoded_nulls(spark, sf_dir):
+    """I1 + I2 on columns with nulls: null is a value, so that {Y, null} gets
+    codes and {high, low, null} becomes dummies."""
+    from riskfold.operators.encode import CategoryEncoding
+    from riskfold.sources.tables import read_table
+    account = F.col("c_acctbal")
+    df = read_table(spark, sf_dir, "customer", ["c_custkey", "c_acctbal", "c_mktsegment"]).select(
+        "c_custkey", F.when(account >= 0, "Y").alias("in_credit"),
+        F.when(account > 5000, "high").when(account > 0, "low").alias("level"),
+        F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_mktsegment")).alias("segment"),
+        F.when(account > 0, "N").otherwise("M").alias("sign"))
+    return CategoryEncoding.fit(df).transform(df)
 
 
 def stream_scores(spark, sf_dir):
@@ -555,8 +571,10 @@ QUERIES.update({
     "decision_exports": decision_exports,
     "run_leaderboard": run_leaderboard,
     "model_cv_auc": model_cv_auc,
+    "encoded_nulls": encoded_nulls,
     "stream_scores": stream_scores,
 })
 
+ORACLE_SQL["encoded_nulls"] = so.encoded_nulls_sql()
 ORACLE_SQL["selected_features"] = so.selected_features_sql(CORRELATION_THRESHOLD)
 ORACLE_SQL["selected_features_by_group"] = so.selected_features_by_group_sql(CORRELATION_THRESHOLD)

@@ -11,21 +11,19 @@ the decision threshold (M18).
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskfold.constants import DECISION_THRESHOLD, SEED
 from riskfold.functions.names import numeric_columns
+from riskfold.operators.evaluate import roc_auc
 from riskfold.operators.model_prep import (Imputer, Standardizer, class_weights, fit_imputer_and_scaler,
                                            sanitized_manifest, with_weight)
 from riskfold.operators.sample import hash_uniform
@@ -37,20 +35,6 @@ LIKELY = "likely to repay"
 NOT_LIKELY = "not likely to repay"
 
 
-# Training partitions hold about this many feature values (~32 MB of
-# doubles): iterative optimisers run one job per iteration, so partitions
-# far smaller than that only add scheduling cost.
-CELLS_PER_PARTITION = 4_000_000
-
-
-def size_partitions(df: DataFrame, n_features: int) -> DataFrame:
-    """Narrow ``coalesce`` of a materialised training frame to the number of
-    partitions its size needs (never more partitions than it has)."""
-    current = df.rdd.getNumPartitions()
-    wanted = max(1, math.ceil(df.count() * max(n_features, 1) / CELLS_PER_PARTITION))
-    return df.coalesce(wanted) if wanted < current else df
-
-
 def feature_manifest(df: DataFrame, exclude: tuple[str, ...] = (CLIENT, LABEL)) -> list[str]:
     """Ordered numeric feature names of a feature table."""
     return [c for c in numeric_columns(df) if c not in exclude]
@@ -106,9 +90,8 @@ def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logist
     # one reliable lineage cut: the feature plan runs once, and the fitting
     # passes (medians, moments, optimiser iterations) read the checkpoint
     extra = [F.col(validation_col)] if validation_col else []
-    base = size_partitions(cut_lineage(train.select(F.col(LABEL), *extra,
-                                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest])),
-                           len(manifest))
+    base = cut_lineage(train.select(F.col(LABEL), *extra,
+                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest]))
     if impute == "median":
         imputer, scaler = fit_imputer_and_scaler(base, safe)
         imputed = imputer.transform(base)
@@ -141,37 +124,30 @@ def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logist
     return ScoringModel(manifest, names, imputer, scaler, pipeline, kind, weights=weights)
 
 
-def cross_validate(train: DataFrame, manifest: list[str], grid: dict[str, list], folds: int = 3,
-                   fold_col: str = "fold", parallelism: int = 2) -> tuple[ScoringModel, list[float]]:
-    """Grid search of the logistic model with stratified folds, ranked by ROC AUC (M8).
+def cross_validate(train: DataFrame, manifest: list[str], grid: list[dict], kind: str = "logistic",
+                   fold_col: str = "fold") -> list[tuple[dict, float]]:
+    """(parameters, mean ROC AUC) of every grid point, best first (M8).
 
-    ``train`` must carry ``fold_col`` (see operators.sample.kfold)."""
-    names = sanitized_manifest(manifest)
-    safe = [names[c] for c in manifest]
-    base = size_partitions(cut_lineage(train.select(F.col(LABEL), F.col(fold_col),
-                                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest])),
-                           len(manifest))
-    imputer, scaler = fit_imputer_and_scaler(base, safe)
-    weights = class_weights(base, LABEL)
-    data = with_weight(scaler.transform(imputer.transform(base)), LABEL, weights).withColumn(
-        "label", F.col(LABEL).cast("double"))
-    lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol="weight", standardization=False,
-                            maxIter=1000, tol=1e-4)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="keep"), lr])
-    builder = ParamGridBuilder()
-    for k, values in grid.items():
-        builder = builder.addGrid(getattr(lr, k), values)
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=builder.build(),
-                        evaluator=BinaryClassificationEvaluator(metricName="areaUnderROC"),
-                        numFolds=folds, foldCol=fold_col, parallelism=parallelism, seed=SEED)
-    cvm = cv.fit(data)
-    best = ScoringModel(manifest, names, imputer, scaler, cvm.bestModel, "logistic", weights=weights)
-    return best, [float(m) for m in cvm.avgMetrics]
+    ``train`` must carry ``fold_col`` (see operators.sample.kfold).  Each grid
+    point is fitted by :func:`fit` on the other folds, so that medians, moments
+    and class weights come from them alone; the AUC on the held-out fold is the
+    exact one.  ``grid`` holds keyword arguments of :func:`fit`."""
+    data = cut_lineage(train.select(CLIENT, LABEL, fold_col, *manifest))
+    folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
+    out = []
+    for params in grid:
+        aucs = []
+        for fold in folds:
+            model = fit(data.where(F.col(fold_col) != fold), manifest, kind=kind, **params)
+            held = model.score(data.where(F.col(fold_col) == fold), keep=(CLIENT, LABEL))
+            aucs.append(roc_auc(held, LABEL, "probability").first()["roc_auc"])
+        out.append((params, sum(aucs) / len(aucs)))
+    return sorted(out, key=lambda x: -x[1])
 
 
 def stratified_baseline(df: DataFrame, prior: float, seed: int = SEED) -> DataFrame:
     """Random classifier that predicts 1 with the class-1 prior (M9)."""
-    u = hash_uniform([CLIENT], seed)
+    u = hash_uniform([CLIENT], seed, "baseline")
     return df.withColumn("probability", u).withColumn("prediction", (u < F.lit(prior)).cast("int"))
 
 
@@ -195,10 +171,11 @@ def global_explanation(model: ScoringModel, df: DataFrame, top: int = 15) -> Dat
 
 def local_explanation(model: ScoringModel, df: DataFrame, n: int = 3, top: int = 15) -> DataFrame:
     """Top ``top`` contributions of the ``n`` highest and ``n`` lowest scored clients."""
-    scored = model.score(df)
+    # scored once; both ends are taken from the narrow result
+    scored = cut_lineage(model.score(df).select(CLIENT, "score"))
     high = scored.orderBy(F.desc("score"), F.asc(CLIENT)).limit(n).withColumn("group", F.lit("highest"))
     low = scored.orderBy(F.asc("score"), F.asc(CLIENT)).limit(n).withColumn("group", F.lit("lowest"))
-    chosen = high.unionByName(low).select(CLIENT, "score", "group")
+    chosen = cut_lineage(high.unionByName(low).select(CLIENT, "score", "group"))
     contrib = contributions(model, df.join(chosen.select(CLIENT), CLIENT, "left_semi"))
     w = Window.partitionBy(CLIENT).orderBy(F.desc(F.abs("contribution")), F.asc("feature"))
     return (contrib.withColumn("position", F.row_number().over(w)).where(F.col("position") <= top)
@@ -211,8 +188,3 @@ def feature_importances(model: ScoringModel) -> DataFrame:
     imp = model.pipeline.stages[-1].featureImportances.toArray().tolist()
     rows = [(orig, float(v)) for orig, v in zip(model.manifest, imp)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def zero_importance(importances: DataFrame) -> list[str]:
-    """Features a tree model never split on (K8)."""
-    return [r["feature"] for r in importances.where(F.col("importance") == 0).select("feature").collect()]

@@ -312,15 +312,42 @@ def sample_sql(table: str, fraction: float, seed: int = 42) -> str:
     return binding_sql(ALL_BOUND) + ctes + "\n" + body
 
 
+def split_ctes(seed: int = 42) -> str:
+    """splits(SK_ID_CURR, TARGET, split): the first fifth of each class in draw order is test."""
+    from riskfold.constants import TEST_FRACTION
+    from riskfold.operators.sample import salted_sql
+    return f""",
+    drawn AS (SELECT SK_ID_CURR, TARGET, count(*) OVER (PARTITION BY TARGET) AS size,
+                     row_number() OVER (PARTITION BY TARGET ORDER BY {salted_sql(["SK_ID_CURR"], "split", seed)}) AS nth
+              FROM client_labels WHERE TARGET IS NOT NULL),
+    splits AS (SELECT SK_ID_CURR, TARGET,
+                      CASE WHEN nth <= floor(size * {TEST_FRACTION!r} + 0.5) THEN 'test' ELSE 'train' END AS split FROM drawn)"""
+
+
+def fold_select(table: str, seed: int = 42) -> str:
+    from riskfold.constants import CV_FOLDS
+    from riskfold.operators.sample import salted_sql
+    return (f"SELECT SK_ID_CURR, TARGET, CAST((row_number() OVER (PARTITION BY TARGET ORDER BY "
+            f"{salted_sql(['SK_ID_CURR'], 'fold', seed)}) - 1) % {CV_FOLDS} AS INTEGER) AS fold FROM {table}")
+
+
 def split_sql(kind: str, seed: int = 42) -> str:
-    from riskfold.constants import CV_FOLDS, TEST_FRACTION
-    from riskfold.operators.sample import hash_uniform_sql
-    u = hash_uniform_sql(["SK_ID_CURR", "TARGET"], seed)
     if kind == "split":
-        expr = f"CASE WHEN {u} < {TEST_FRACTION!r} THEN 'test' ELSE 'train' END AS split"
-    else:
-        expr = f"CAST(least(floor({u} * {CV_FOLDS}), {CV_FOLDS - 1}) AS INTEGER) AS fold"
-    return binding_sql(ALL_BOUND) + f"\nSELECT SK_ID_CURR, TARGET, {expr} FROM client_labels"
+        return binding_sql(ALL_BOUND) + split_ctes(seed) + "\nSELECT SK_ID_CURR, TARGET, split FROM splits"
+    return binding_sql(ALL_BOUND) + "\n" + fold_select("client_labels WHERE TARGET IS NOT NULL", seed)
+
+
+def train_fold_sizes_sql() -> str:
+    """The rule itself, without draws: a class of n clients has round(n / 5) test
+    ones; fold f of the rest has one more than their third where f is below the
+    remainder."""
+    from riskfold.constants import CV_FOLDS, TEST_FRACTION
+    return binding_sql(ALL_BOUND) + f""",
+    sizes AS (SELECT TARGET, CAST(count(*) - floor(count(*) * {TEST_FRACTION!r} + 0.5) AS BIGINT) AS n
+              FROM client_labels GROUP BY TARGET)
+    SELECT TARGET, CAST(fold AS INTEGER) AS fold,
+           CAST(n // {CV_FOLDS} + CASE WHEN fold < n % {CV_FOLDS} THEN 1 ELSE 0 END AS BIGINT) AS clients
+    FROM sizes, range({CV_FOLDS}) AS r(fold)"""
 
 
 # --- selection -----------------------------------------------------------------------
@@ -338,8 +365,9 @@ def bureau_client_feature_names() -> list[str]:
 def spearman_target_sql() -> str:
     feats = bureau_client_feature_names()
     casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
-    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + f""",
-    d AS (SELECT CAST(TARGET AS DOUBLE) AS y, {casts} FROM bureau_client JOIN client_labels USING (SK_ID_CURR)),
+    return (binding_sql(ALL_BOUND) + split_ctes() + "," + bureau_client_cte() + f""",
+    d AS (SELECT CAST(TARGET AS DOUBLE) AS y, {casts} FROM bureau_client JOIN splits USING (SK_ID_CURR)
+          WHERE split = 'train'),
     long AS (UNPIVOT d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
     ranked AS (SELECT feature,
         rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
@@ -436,7 +464,7 @@ def prefixed_loan_rollup_sql(codes=STATUS_CODES) -> str:
 
 def _spearman_body() -> str:
     return spearman_target_sql().replace("\n    SELECT feature, rho, abs(rho) AS abs_rho FROM (",
-                                         ",\n    sp AS (SELECT feature, rho, abs(rho) AS abs_rho FROM (", 1) + ")"
+                                         ",\n    sp AS MATERIALIZED (SELECT feature, rho, abs(rho) AS abs_rho FROM (", 1) + ")"
 
 
 def top_bottom_correlated_sql(n: int = 10) -> str:
@@ -449,13 +477,13 @@ def top_bottom_correlated_sql(n: int = 10) -> str:
 
 
 def _correlated_pairs_ctes(threshold: float) -> str:
-    """CTEs ending in ``cp``: feature pairs (sorted-name order) whose
+    """CTEs ending in ``cp`` (over ``splits``): feature pairs (table order) whose
     pairwise-complete Spearman correlation exceeds ``threshold`` in size."""
-    feats = sorted(bureau_client_feature_names())
+    feats = bureau_client_feature_names()
     casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
     idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
     return f"""
-    cp_d AS (SELECT SK_ID_CURR, {casts} FROM bureau_client),
+    cp_d AS (SELECT SK_ID_CURR, {casts} FROM bureau_client JOIN splits USING (SK_ID_CURR) WHERE split = 'train'),
     cp_long AS (UNPIVOT cp_d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
     cp_idx AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
     cp_l AS (SELECT cp_long.*, cp_idx.i FROM cp_long JOIN cp_idx USING (feature)),
@@ -465,7 +493,7 @@ def _correlated_pairs_ctes(threshold: float) -> str:
         rank() OVER (PARTITION BY i, j ORDER BY xa) + (count(*) OVER (PARTITION BY i, j, xa) - 1) / 2.0 AS ra,
         rank() OVER (PARTITION BY i, j ORDER BY xb) + (count(*) OVER (PARTITION BY i, j, xb) - 1) / 2.0 AS rb
         FROM cp_pairs),
-    cp AS (SELECT * FROM (
+    cp AS MATERIALIZED (SELECT * FROM (
         SELECT feature_i, feature_j, i, j,
                CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho
         FROM cp_ranked GROUP BY feature_i, feature_j, i, j)
@@ -473,20 +501,16 @@ def _correlated_pairs_ctes(threshold: float) -> str:
 
 
 def correlated_pairs_sql(threshold: float) -> str:
-    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + "," + _correlated_pairs_ctes(threshold)
+    return (binding_sql(ALL_BOUND) + split_ctes() + "," + bureau_client_cte() + "," + _correlated_pairs_ctes(threshold)
             + "\nSELECT * FROM cp")
 
 
 def drift_sql(bins: int = 10, eps: float = 1e-4, seed: int = 42) -> str:
-    from riskfold.constants import TEST_FRACTION
-    from riskfold.operators.sample import hash_uniform_sql
     feats = bureau_client_feature_names()
     casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
     qs = ", ".join(repr(i / bins) for i in range(1, bins))
-    u = hash_uniform_sql(["SK_ID_CURR", "TARGET"], seed)
-    return (binding_sql(ALL_BOUND) + "," + bureau_client_cte() + f""",
-    d AS (SELECT CASE WHEN {u} < {TEST_FRACTION!r} THEN 'test' ELSE 'train' END AS split, {casts}
-          FROM bureau_client JOIN client_labels USING (SK_ID_CURR)),
+    return (binding_sql(ALL_BOUND) + split_ctes(seed) + "," + bureau_client_cte() + f""",
+    d AS (SELECT split, {casts} FROM bureau_client JOIN splits USING (SK_ID_CURR)),
     long AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(q(c) for c in feats)}))),
     edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [{qs}]))) AS edges
               FROM long WHERE split = 'train' AND x IS NOT NULL GROUP BY feature),
@@ -511,7 +535,7 @@ def drift_sql(bins: int = 10, eps: float = 1e-4, seed: int = 42) -> str:
 def baseline_cost_sql(seed: int = 42) -> str:
     from riskfold.constants import COST_FN, COST_FP, COST_TN
     from riskfold.operators.sample import hash_uniform_sql
-    u = hash_uniform_sql(["SK_ID_CURR"], seed)
+    u = hash_uniform_sql(["SK_ID_CURR"], seed, "baseline")
     return binding_sql(ALL_BOUND) + f""",
     p AS (SELECT SK_ID_CURR, TARGET,
                  CASE WHEN {u} < (SELECT avg(TARGET) FROM client_labels) THEN 1 ELSE 0 END AS prediction
@@ -529,14 +553,14 @@ def selected_features_sql(threshold: float) -> str:
     For a feature i still kept when it is visited, every later linked
     feature that is still kept is dropped when i's target correlation is at
     least its own; i itself is dropped when any of them is stronger."""
-    feats = sorted(bureau_client_feature_names())
+    feats = bureau_client_feature_names()
     idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
     return (_spearman_body() + "," + _correlated_pairs_ctes(threshold) + f""",
     fi AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
-    tc AS (SELECT fi.feature, fi.i, coalesce(round(sp.abs_rho, 12), 0.0) AS c FROM fi LEFT JOIN sp USING (feature)),
+    tc AS MATERIALIZED (SELECT fi.feature, fi.i, coalesce(round(sp.abs_rho, 12), 0.0) AS c FROM fi LEFT JOIN sp USING (feature)),
     later AS (SELECT cp.i, list({{'fj': cp.feature_j, 'weaker': a.c >= b.c}}) AS links
               FROM cp JOIN tc a ON a.i = cp.i JOIN tc b ON b.i = cp.j GROUP BY cp.i),
-    steps AS (SELECT tc.i, tc.feature, coalesce(later.links, []) AS links FROM tc LEFT JOIN later USING (i)),
+    steps AS MATERIALIZED (SELECT tc.i, tc.feature, coalesce(later.links, []) AS links FROM tc LEFT JOIN later USING (i)),
     walk AS (SELECT * FROM (WITH RECURSIVE w(k, dropped) AS (
         SELECT 0, []::VARCHAR[]
         UNION ALL
@@ -557,7 +581,7 @@ def selected_features_by_group_sql(threshold: float) -> str:
     """Group pruning (K4): each feature with earlier correlated features forms
     a group with them; the group's strongest target correlation (earliest
     feature on ties; the feature itself if none is known) is kept."""
-    feats = sorted(bureau_client_feature_names())
+    feats = bureau_client_feature_names()
     idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
     return (_spearman_body() + "," + _correlated_pairs_ctes(threshold) + f""",
     fi AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
@@ -568,3 +592,18 @@ def selected_features_by_group_sql(threshold: float) -> str:
              FROM scored GROUP BY g),
     dropped AS (SELECT DISTINCT m FROM grp JOIN best USING (g) WHERE m <> b)
     SELECT feature, i NOT IN (SELECT m FROM dropped) AS kept FROM fi""")
+
+
+def encoded_nulls_sql() -> str:
+    """The rule of I1 / I2 stated over the data: codes where a column has at most
+    two values, null being one and the last; else one dummy per value."""
+    segments = ("AUTOMOBILE", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+    return f"""
+    WITH d AS (SELECT c_custkey, CASE WHEN c_acctbal >= 0 THEN 'Y' END AS in_credit,
+                      CASE WHEN c_acctbal > 5000 THEN 'high' WHEN c_acctbal > 0 THEN 'low' END AS level,
+                      CASE WHEN c_mktsegment <> 'BUILDING' THEN c_mktsegment END AS segment,
+                      CASE WHEN c_acctbal > 0 THEN 'N' ELSE 'M' END AS sign FROM customer)
+    SELECT c_custkey, CAST(in_credit IS NULL AS BIGINT) AS in_credit, CAST(sign = 'N' AS BIGINT) AS sign,
+           {", ".join(f"CAST(coalesce(level = '{v}', false) AS DOUBLE) AS level_{v}" for v in ("high", "low"))},
+           {", ".join(f"CAST(coalesce(segment = '{v}', false) AS DOUBLE) AS {q('segment_' + v)}" for v in segments)}
+    FROM d"""

@@ -21,7 +21,7 @@ credit_card_balance    lineitem                    SK_ID_PREV = l_orderkey
 ``installments_payments`` and ``credit_card_balance`` reach the client only
 through ``prev_to_client`` (orders: SK_ID_PREV -> SK_ID_CURR).  Plans either
 aggregate them per SK_ID_PREV first and roll up through that bridge (cheap
-at scale) or attach SK_ID_CURR with :func:`with_client`.
+at scale).
 
 The label ``TARGET`` (negative account balance, ~8 % positives) lives in a
 separate ``client_labels`` table so the scoring input never carries it.
@@ -149,11 +149,6 @@ def prev_to_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("SK_ID_PREV"), F.col("o_custkey").alias("SK_ID_CURR"))
 
 
-def with_client(df: DataFrame, bridge: DataFrame, key: str = "SK_ID_PREV") -> DataFrame:
-    """Attach SK_ID_CURR to a SK_ID_PREV-keyed history (inner equi join)."""
-    return df.join(bridge, key, "inner")
-
-
 def credit_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The seven input tables of the client feature plan, plus bridge and labels."""
     return {

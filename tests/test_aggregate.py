@@ -2,22 +2,19 @@ import math
 
 import pandas as pd
 
-from riskfold.operators.aggregate import (agg_numeric, aggregate_through, count_categorical, fit_vocabulary,
-                                          value_at_extreme, value_counts)
+from riskfold.operators.aggregate import (agg_numeric, aggregate_through, coded_value_at_latest, count_categorical,
+                                          fit_vocabulary)
 from pyspark.sql import functions as F
 
 
-def test_agg_numeric_basic(spark):
-    pdf = pd.DataFrame({"SK_ID_GROUP": [1, 1, 2, 2, 3], "Numeric_Col1": [10, 20, 30, 40, 50],
-                        "Numeric_Col2": [1, 2, 3, 4, 5], "SK_ID_OTHER": [101, 102, 103, 104, 105]})
-    out = agg_numeric(spark.createDataFrame(pdf), "SK_ID_GROUP", "test_df").toPandas().set_index("SK_ID_GROUP")
-    assert out.shape[0] == 3
-    for base in ["Numeric_Col1", "Numeric_Col2"]:
-        for suffix in ["_count", "_mean", "_max", "_min", "_sum"]:
-            assert f"test_df_{base}{suffix}" in out.columns
-    assert not any("SK_ID_OTHER" in c for c in out.columns)
-    assert out.loc[1, "test_df_Numeric_Col1_mean"] == 15.0
-    assert out.loc[2, "test_df_Numeric_Col2_sum"] == 7
+def test_agg_numeric_five_statistics_of_numbers_only(spark):
+    rows = [(7, 1, 2.5, "x", 90), (7, 4, None, "y", 91), (8, -3, 0.5, None, 92)]
+    df = spark.createDataFrame(rows, "client long, months int, paid double, status string, SK_ID_LOAN long")
+    out = {r["client"]: r.asDict() for r in agg_numeric(df, "client", "h").collect()}
+    stats = [f"h_{c}_{s}" for c in ("months", "paid") for s in ("count", "mean", "max", "min", "sum")]
+    assert sorted(out[7]) == sorted(["client", *stats])
+    assert [out[7][c] for c in stats] == [2, 2.5, 4, 1, 5, 1, 2.5, 2.5, 2.5, 2.5]
+    assert [out[8][c] for c in stats] == [1, -3.0, -3, -3, -3, 1, 0.5, 0.5, 0.5, 0.5]
 
 
 def test_agg_numeric_null_semantics(spark):
@@ -59,14 +56,9 @@ def test_aggregate_through_equals_join_then_aggregate(spark):
     pd.testing.assert_frame_equal(a, b, check_dtype=False)
 
 
-def test_value_at_extreme_skips_null_and_breaks_ties(spark):
-    df = spark.createDataFrame([(1, 5, "A"), (1, 5, "B"), (1, 7, None), (1, 2, "Z"), (2, None, "Q")],
+def test_coded_value_at_latest_skips_null_and_breaks_ties(spark):
+    df = spark.createDataFrame([(1, 5, "A"), (1, 5, "B"), (1, 7, None), (1, 2, "Z"), (2, None, "Q"), (3, 1, None)],
                                "k long, m int, s string")
-    out = {r["k"]: r["last"] for r in df.groupBy("k").agg(value_at_extreme("s", "m").alias("last")).collect()}
-    assert out == {1: "B", 2: "Q"}
-
-
-def test_value_counts_drops_all_null_keys(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "k long, c string")
-    out = value_counts(df, "k", "c", ["a", "b"]).collect()
-    assert [(r["k"], r["a"], r["b"]) for r in out] == [(1, 2, 0)]
+    packed, decode = coded_value_at_latest("s", "m", ["A", "B", "Q", "Z"])
+    out = df.groupBy("k").agg(packed.alias("p")).select("k", decode(F.col("p")).alias("last"))
+    assert {r["k"]: r["last"] for r in out.collect()} == {1: "B", 2: "Q", 3: None}

@@ -13,12 +13,22 @@ def test_sampling_is_deterministic_and_stratified(spark):
     a = sample_fraction(df, "SK_ID_CURR", 0.1).collect()
     b = sample_fraction(df.repartition(7), "SK_ID_CURR", 0.1).collect()
     assert sorted(a) == sorted(b) and 1700 < len(a) < 2300
-    split = stratified_split(df, "SK_ID_CURR", "TARGET").groupBy("TARGET", "split").count().toPandas()
-    share = split.pivot(index="TARGET", columns="split", values="count")
-    share = share["test"] / share.sum(axis=1)
-    assert (abs(share - 0.2) < 0.03).all()
-    folds = kfold(df, "SK_ID_CURR", "TARGET").groupBy("fold").count().toPandas()
-    assert sorted(folds["fold"]) == [0, 1, 2]
+    split = stratified_split(df, "SK_ID_CURR", "TARGET")
+    assert {(r["TARGET"], r["split"]): r["count"] for r in split.groupBy("TARGET", "split").count().collect()} == {
+        (0, "test"): 3600, (0, "train"): 14400, (1, "test"): 400, (1, "train"): 1600}
+    folds = kfold(split.where("split = 'train'"), "SK_ID_CURR", "TARGET")
+    sizes = {(r["TARGET"], r["fold"]): r["count"] for r in folds.groupBy("TARGET", "fold").count().collect()}
+    assert sizes == {(0, k): 4800 for k in range(3)} | {(1, 0): 534, (1, 1): 533, (1, 2): 533}
+    again = kfold(split.where("split = 'train'").repartition(5), "SK_ID_CURR", "TARGET")
+    assert sorted(folds.collect()) == sorted(again.select(*folds.columns).collect())
+
+
+def test_draws_are_independent_and_rows_without_label_have_none(spark):
+    df = spark.range(6000).selectExpr("id AS SK_ID_CURR", "CASE WHEN id < 5999 THEN CAST(id % 4 = 0 AS INT) END AS TARGET")
+    sampled = stratified_split(sample_fraction(df, "SK_ID_CURR", 0.3), "SK_ID_CURR", "TARGET")
+    shares = {r["split"]: r["count"] for r in sampled.groupBy("split").count().collect()}
+    assert abs(shares["test"] / (shares["test"] + shares["train"]) - 0.2) < 0.01
+    assert stratified_split(df, "SK_ID_CURR", "TARGET").where("SK_ID_CURR = 5999").first()["split"] is None
 
 
 def test_semi_either(spark):
@@ -53,32 +63,26 @@ def test_spearman_matches_pandas_pairwise(spark):
         assert abs(got[c] - ref) < 1e-9
 
 
-def _prune_b_reference(features, corr, target):
-    drop = set()
-    for i in range(len(features)):
-        fi = features[i]
-        if fi in drop:
-            continue
-        for j in range(i + 1, len(features)):
-            fj = features[j]
-            if fj in drop:
-                continue
-            if corr[fi][fj] > 0.95:
-                if target.get(fi, 0) >= target.get(fj, 0):
-                    drop.add(fj)
-                else:
-                    drop.add(fi)
-    return drop
-
-
-def test_pruning_passes():
-    feats = ["a", "b", "c", "d", "e"]
-    pairs = [("a", "b"), ("b", "c"), ("d", "e"), ("a", "c")]
-    target = {"a": 0.1, "b": 0.3, "c": 0.2, "d": 0.5, "e": 0.5}
-    corr = {f: {g: (0.99 if (f, g) in pairs or (g, f) in pairs else 0.0) for g in feats} for f in feats}
-    assert prune_greedy(pairs, feats, target) == _prune_b_reference(feats, corr, target)
-    # prune A: group of c = {c, a, b} keeps b; group of b = {b, a} keeps b; group of e = {e, d} keeps d (earlier)
-    assert prune_by_group(pairs, feats, target) == {"a", "c", "e"}
+def test_prune_greedy_by_hand():
+    order = ["p", "q", "r", "s", "t"]
+    # p beats its neighbour q; q is out, so its link to the stronger r counts no more
+    assert prune_greedy([("p", "q"), ("q", "r")], order, {"p": 0.4, "q": 0.2, "r": 0.9}) == {"q"}
+    # a tie keeps the earlier one; an unknown strength is the weakest
+    assert prune_greedy([("s", "t")], order, {"s": 0.3, "t": 0.3}) == {"t"}
+    assert prune_greedy([("s", "t")], order, {"t": 0.1}) == {"s"}
+    # p loses to q and still takes r out
+    assert prune_greedy([("p", "q"), ("p", "r")], order, {"p": 0.5, "q": 0.6, "r": 0.1}) == {"p", "r"}
+    # pairs may come in either order; differences behind the twelfth decimal are none
+    assert prune_greedy([("r", "q")], order, {"q": 0.7, "r": 0.7 + 1e-15}) == {"r"}
+    assert prune_greedy([], order, {}) == set()
+
+
+def test_prune_by_group_by_hand():
+    order = ["p", "q", "r", "s"]
+    # the group of r is {r, p, q} and keeps q; the group of q is {q, p} and keeps q
+    assert prune_by_group([("p", "q"), ("q", "r"), ("p", "r")], order, {"p": 0.1, "q": 0.3, "r": 0.2}) == {"p", "r"}
+    assert prune_by_group([("r", "s")], order, {"r": 0.5, "s": 0.5}) == {"s"}
+    assert prune_by_group([("r", "s")], order, {}) == {"r"}  # the group's own feature stays
 
 
 def _pairwise_spearman(pdf, a, b):

@@ -547,6 +547,28 @@ def encoded_nulls(spark, sf_dir):
     return CategoryEncoding.fit(df).transform(df)
 
 
+def history_direct(spark, sf_dir):
+    """J24 + J25 + C2: histories that carry the client key themselves, driven by
+    the instalments."""
+    from dataclasses import replace
+    t = _tables(spark, sf_dir)
+    bridge = t["prev_to_client"]
+    direct = {n: t[n].join(bridge, "SK_ID_PREV", "left") for n in ("installments_payments", "credit_card_balance")}
+    return fp.history_block({**t, **direct}, replace(default_plan(), driver_block="installments_payments"))
+
+
+def empty_bureau_features(spark, sf_dir):
+    """A5 + C6 + C7: the client table when no loan and no monthly history is known."""
+    t = _tables(spark, sf_dir)
+    none = {n: sio.empty_table(spark, t[n].schema) for n in ("bureau", "bureau_balance")}
+    return fp.client_features({**t, **none}, default_plan())
+
+
+def sample_pos(spark, sf_dir):
+    """Monthly rows of a sampled client or of a sampled previous loan."""
+    return sa.relation_sample(_tables(spark, sf_dir), RELATION_SAMPLE_FRACTION)["POS_CASH_balance"]
+
+
 def stream_scores(spark, sf_dir):
     """Application rows arrive as JSON files; a Structured Streaming job
     joins them with the clients' history features, scores and appends them
@@ -572,9 +594,15 @@ QUERIES.update({
     "run_leaderboard": run_leaderboard,
     "model_cv_auc": model_cv_auc,
     "encoded_nulls": encoded_nulls,
+    "history_direct": history_direct,
+    "empty_bureau_features": empty_bureau_features,
+    "sample_pos": sample_pos,
     "stream_scores": stream_scores,
 })
 
+ORACLE_SQL["history_direct"] = so.history_direct_sql()
+ORACLE_SQL["empty_bureau_features"] = so.empty_bureau_features_sql()
+ORACLE_SQL["sample_pos"] = so.sample_sql("POS_CASH_balance", RELATION_SAMPLE_FRACTION)
 ORACLE_SQL["encoded_nulls"] = so.encoded_nulls_sql()
 ORACLE_SQL["selected_features"] = so.selected_features_sql(CORRELATION_THRESHOLD)
 ORACLE_SQL["selected_features_by_group"] = so.selected_features_by_group_sql(CORRELATION_THRESHOLD)

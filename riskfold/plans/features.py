@@ -53,6 +53,7 @@ class FeaturePlan:
     status_codes: list[str] = field(default_factory=lambda: list(STATUS_CODES))
     installments_name: str = "credit_card_balance"
     bureau_how: str = "inner"
+    driver_block: str = "previous_application"  # whose clients the history block holds
 
     def vocab(self, table: str) -> dict[str, list[str]]:
         return self.vocabulary.get(table, {})
@@ -162,17 +163,24 @@ def client_history(df: DataFrame, name: str, vocabulary: dict[str, list[str]]) -
                                           + count_categorical_exprs(vocabulary, name)))
 
 
+HISTORIES = ("previous_application", "POS_CASH_balance", "installments_payments", "credit_card_balance")
+
+
 def history_block(tables: dict[str, DataFrame], plan: FeaturePlan) -> DataFrame:
-    """Left fold of the four history roll-ups driven by previous applications."""
-    bridge = tables["prev_to_client"]
-    prev = client_history(tables["previous_application"], "previous_application",
-                          plan.vocab("previous_application"))
-    pos = client_history(tables["POS_CASH_balance"], "POS_CASH_balance", plan.vocab("POS_CASH_balance"))
-    inst = aggregate_through(tables["installments_payments"], PREV, bridge, CLIENT, plan.installments_name,
-                             vocabulary=plan.vocab("installments_payments"))
-    card = aggregate_through(tables["credit_card_balance"], PREV, bridge, CLIENT, "credit_card_balance",
-                             vocabulary=plan.vocab("credit_card_balance"))
-    return reduce(lambda left, right: left.join(right, CLIENT, "left"), [prev, pos, inst, card])
+    """Left fold of the four history roll-ups, driven by ``plan.driver_block``.
+
+    A history that carries the client key is grouped by it; one that has only
+    the previous loan is rolled up per loan and through the bridge."""
+    names = {"installments_payments": plan.installments_name}
+
+    def block(table: str) -> DataFrame:
+        df, name = tables[table], names.get(table, table)
+        if CLIENT in df.columns:
+            return client_history(df, name, plan.vocab(table))
+        return aggregate_through(df, PREV, tables["prev_to_client"], CLIENT, name, vocabulary=plan.vocab(table))
+
+    order = sorted(HISTORIES, key=lambda table: table != plan.driver_block)
+    return reduce(lambda left, right: left.join(right, CLIENT, "left"), map(block, order))
 
 
 # --- the whole table -----------------------------------------------------------

@@ -308,6 +308,8 @@ def sample_sql(table: str, fraction: float, seed: int = 42) -> str:
             JOIN prev_to_client b USING (SK_ID_PREV)
             WHERE b.SK_ID_CURR IN (SELECT SK_ID_CURR FROM s_clients)
                OR t.SK_ID_PREV IN (SELECT SK_ID_PREV FROM s_prev)""",
+        "POS_CASH_balance": """SELECT * FROM POS_CASH_balance
+            WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM s_clients) OR SK_ID_PREV IN (SELECT SK_ID_PREV FROM s_prev)""",
     }[table]
     return binding_sql(ALL_BOUND) + ctes + "\n" + body
 
@@ -607,3 +609,23 @@ def encoded_nulls_sql() -> str:
            {", ".join(f"CAST(coalesce(level = '{v}', false) AS DOUBLE) AS level_{v}" for v in ("high", "low"))},
            {", ".join(f"CAST(coalesce(segment = '{v}', false) AS DOUBLE) AS {q('segment_' + v)}" for v in segments)}
     FROM d"""
+
+
+def history_direct_sql() -> str:
+    """The history block from the side of the clients that have instalments."""
+    body = history_block_cte()
+    fold = body.index("history_block AS (")
+    return (binding_sql(ALL_BOUND) + "," + body[:fold] + """history_block AS (
+        SELECT * FROM h_inst LEFT JOIN h_prev USING (SK_ID_CURR) LEFT JOIN h_pos USING (SK_ID_CURR)
+        LEFT JOIN h_card USING (SK_ID_CURR))
+    SELECT * FROM history_block""")
+
+
+def empty_bureau_features_sql() -> str:
+    """The client table over loans and months of which there are none."""
+    sql = client_features_sql()
+    for table in ("bureau", "bureau_balance"):
+        sql = sql.replace(f"{table} AS (", f"{table}_all AS (", 1)
+    first = sql.index(",\n    app AS (")
+    return (sql[:first] + ",\n    bureau AS (SELECT * FROM bureau_all LIMIT 0),"
+            "\n    bureau_balance AS (SELECT * FROM bureau_balance_all LIMIT 0)" + sql[first:])

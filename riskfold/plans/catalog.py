@@ -547,6 +547,30 @@ def encoded_nulls(spark, sf_dir):
     return CategoryEncoding.fit(df).transform(df)
 
 
+def _given_model(spark, sf_dir):
+    """Bureau features and a linear model with literal coefficients, prepared on the training split."""
+    feats, cols = _bureau_features(spark, sf_dir)
+    return feats, md.LinearScorer.prepared_on(feats.where(F.col("split") == "train"), cols, so.given_coefficients(), so.GIVEN_INTERCEPT)
+
+
+def given_model_scores(spark, sf_dir):
+    """M2 + M3 + M10 + M17 + M18 with given coefficients."""
+    feats, model = _given_model(spark, sf_dir)
+    return model.score(feats)
+
+
+def given_model_global(spark, sf_dir):
+    """M15 with given coefficients."""
+    feats, model = _given_model(spark, sf_dir)
+    return md.global_explanation(model, feats)
+
+
+def given_model_local(spark, sf_dir):
+    """E3 + M16 with given coefficients."""
+    feats, model = _given_model(spark, sf_dir)
+    return md.local_explanation(model, feats)
+
+
 def history_direct(spark, sf_dir):
     """J24 + J25 + C2: histories that carry the client key themselves, driven by
     the instalments."""
@@ -594,12 +618,18 @@ QUERIES.update({
     "run_leaderboard": run_leaderboard,
     "model_cv_auc": model_cv_auc,
     "encoded_nulls": encoded_nulls,
+    "given_model_scores": given_model_scores,
+    "given_model_global": given_model_global,
+    "given_model_local": given_model_local,
     "history_direct": history_direct,
     "empty_bureau_features": empty_bureau_features,
     "sample_pos": sample_pos,
     "stream_scores": stream_scores,
 })
 
+ORACLE_SQL["given_model_scores"] = so.given_model_sql("scores")
+ORACLE_SQL["given_model_global"] = so.given_model_sql("global")
+ORACLE_SQL["given_model_local"] = so.given_model_sql("local")
 ORACLE_SQL["history_direct"] = so.history_direct_sql()
 ORACLE_SQL["empty_bureau_features"] = so.empty_bureau_features_sql()
 ORACLE_SQL["sample_pos"] = so.sample_sql("POS_CASH_balance", RELATION_SAMPLE_FRACTION)

@@ -75,6 +75,34 @@ class ScoringModel:
         return dict(zip(self.safe_names, lr.coefficients.toArray().tolist()))
 
 
+@dataclass
+class LinearScorer(ScoringModel):
+    """A scoring model whose coefficients are given (say, read from a ledger)
+    instead of fitted: the same preparation, score, route and explanations."""
+    weight_of: dict[str, float] = field(default_factory=dict)  # by safe name
+    intercept: float = 0.0
+
+    @classmethod
+    def prepared_on(cls, train: DataFrame, manifest: list[str], coefficients: list[float], intercept: float) -> "LinearScorer":
+        """Imputer and scaler fitted on ``train``, coefficients as given, in manifest order."""
+        names = sanitized_manifest(manifest)
+        base = cut_lineage(train.select(*[F.col(c).cast("double").alias(names[c]) for c in manifest]))
+        imputer, scaler = fit_imputer_and_scaler(base, [names[c] for c in manifest])
+        return cls(manifest, names, imputer, scaler, None, "linear",
+                   weight_of={names[c]: w for c, w in zip(manifest, coefficients)}, intercept=intercept)
+
+    def coefficients(self) -> dict[str, float]:
+        return self.weight_of
+
+    def score(self, df: DataFrame, keep: tuple[str, ...] = (CLIENT,)) -> DataFrame:
+        parts = F.array(*[F.col(c) * F.lit(w) for c, w in self.weight_of.items()])
+        margin = F.aggregate(parts, F.lit(float(self.intercept)), lambda acc, x: acc + x)
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin))
+        out = self.prepare(df, keep).select(*[F.col(k) for k in keep if k in df.columns], p.alias("probability"))
+        return out.withColumn("score", F.col("probability") * 100).withColumn(
+            "decision", route(F.col("score"), self.threshold))
+
+
 def route(score, threshold: float = DECISION_THRESHOLD):
     """score >= threshold -> not likely to repay; below -> likely; null -> null."""
     return F.when(score >= F.lit(threshold), F.lit(NOT_LIKELY)).when(score < F.lit(threshold), F.lit(LIKELY))

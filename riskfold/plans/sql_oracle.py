@@ -629,3 +629,50 @@ def empty_bureau_features_sql() -> str:
     first = sql.index(",\n    app AS (")
     return (sql[:first] + ",\n    bureau AS (SELECT * FROM bureau_all LIMIT 0),"
             "\n    bureau_balance AS (SELECT * FROM bureau_balance_all LIMIT 0)" + sql[first:])
+
+
+# --- scoring with given coefficients ----------------------------------------------------
+
+GIVEN_INTERCEPT = -0.25
+
+
+def given_coefficients() -> list[float]:
+    """Distinct literal coefficients of alternating sign, one per bureau feature."""
+    return [(-1) ** k * (k + 1) / 97 for k in range(len(bureau_client_feature_names()))]
+
+
+def given_model_sql(kind: str) -> str:
+    """Median imputation and population standardising learnt on the training
+    split, a linear margin, its probability and route, and contributions."""
+    from riskfold.constants import DECISION_THRESHOLD
+    feats = bureau_client_feature_names()
+    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
+    weights = ", ".join(f"({lit(c)}, CAST({w!r} AS DOUBLE))" for c, w in zip(feats, given_coefficients()))
+    base = binding_sql(ALL_BOUND) + split_ctes() + "," + bureau_client_cte() + f""",
+    d AS (SELECT SK_ID_CURR, split, {casts} FROM bureau_client JOIN splits USING (SK_ID_CURR)),
+    long AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(q(c) for c in feats)}))),
+    med AS (SELECT feature, coalesce(median(x) FILTER (WHERE split = 'train'), 0.0) AS m FROM long GROUP BY feature),
+    filled AS (SELECT SK_ID_CURR, split, feature, coalesce(x, m) AS x FROM long JOIN med USING (feature)),
+    mom AS (SELECT feature, avg(x) AS mean, CASE WHEN max(x) > min(x) THEN stddev_pop(x) ELSE 1.0 END AS std
+            FROM filled WHERE split = 'train' GROUP BY feature),
+    w AS (SELECT * FROM (VALUES {weights}) t(feature, weight)),
+    part AS (SELECT SK_ID_CURR, feature, weight * ((x - mean) / std) AS contribution
+             FROM filled JOIN mom USING (feature) JOIN w USING (feature)),
+    p AS (SELECT SK_ID_CURR, 1.0 / (1.0 + exp(-({GIVEN_INTERCEPT!r} + sum(contribution)))) AS probability
+          FROM part GROUP BY SK_ID_CURR),
+    s AS (SELECT SK_ID_CURR, probability, probability * 100 AS score,
+                 CASE WHEN probability * 100 >= {DECISION_THRESHOLD!r} THEN 'not likely to repay' ELSE 'likely to repay' END AS decision
+          FROM p)"""
+    return base + {
+        "scores": "SELECT * FROM s",
+        "global": """SELECT feature, avg(abs(contribution)) AS mean_abs_contribution FROM part GROUP BY feature
+                     ORDER BY mean_abs_contribution DESC, feature LIMIT 15""",
+        "local": """, ends AS (
+            SELECT SK_ID_CURR, score, 'highest' AS "group" FROM (SELECT * FROM s ORDER BY score DESC, SK_ID_CURR LIMIT 3)
+            UNION ALL SELECT SK_ID_CURR, score, 'lowest' FROM (SELECT * FROM s ORDER BY score, SK_ID_CURR LIMIT 3)),
+        ranked AS (SELECT part.*, CAST(row_number() OVER (PARTITION BY part.SK_ID_CURR
+                          ORDER BY abs(contribution) DESC, feature) AS INTEGER) AS position
+                   FROM part WHERE SK_ID_CURR IN (SELECT SK_ID_CURR FROM ends))
+        SELECT SK_ID_CURR, feature, contribution, position, score, "group" FROM ranked JOIN ends USING (SK_ID_CURR)
+        WHERE position <= 15""",
+    }[kind]

@@ -38,7 +38,7 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 MAX_GRAM = 4
 MAX_RUN = 4
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 4000
 EPOCHS = 15
 COST = 1.0
 KEEP_AT = 0.7
@@ -111,27 +111,30 @@ def log_count_ratios(rows: DataFrame) -> tuple[np.ndarray, int, int]:
         yield pd.DataFrame({"bucket": seen, "good": good[seen], "bad": bad[seen]})
 
     counts = (rows.select("text", "good").mapInPandas(count, "bucket int, good long, bad long")
-              .groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toPandas())
+              .groupBy("bucket").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).toArrow())
     good, bad = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    good[counts["bucket"]], bad[counts["bucket"]] = counts["good"], counts["bad"]
+    at = counts["bucket"].to_numpy()
+    good[at], bad[at] = counts["good"].to_numpy(), counts["bad"].to_numpy()
     n_good, n_bad = int(good[BUCKETS]), int(bad[BUCKETS])
     ratio = np.log((good[:BUCKETS] + 1) / (n_good + 2)) - np.log((bad[:BUCKETS] + 1) / (n_bad + 2))
     ratio[good[:BUCKETS] + bad[:BUCKETS] == 0] = 0.0  # never seen in training: says nothing
     return ratio, n_good, n_bad
 
 
-def _descend(rows: list[np.ndarray], scaled: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+def _descend(rows: list[np.ndarray], ratio: np.ndarray, norm: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss; the bias is one more constant feature."""
     weight, bias = np.zeros(BUCKETS), 0.0
-    alpha, square = np.zeros(len(rows)), np.array([v @ v + 1.0 for v in scaled])
+    alpha = np.zeros(len(rows))
+    square = np.array([(ratio[x] @ ratio[x]) / (n * n) + 1.0 for x, n in zip(rows, norm)])
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
-            slack = y[i] * (weight[rows[i]] @ scaled[i] + bias) - 1.0
+            scaled = ratio[rows[i]] / norm[i]
+            slack = y[i] * (weight[rows[i]] @ scaled + bias) - 1.0
             step = min(max(alpha[i] - slack / square[i], 0.0), COST) - alpha[i]
             if step:
                 alpha[i] += step
-                weight[rows[i]] += step * y[i] * scaled[i]
+                weight[rows[i]] += step * y[i] * scaled
                 bias += step * y[i]
     return weight, bias
 
@@ -163,22 +166,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def extract(batches):
         for batch in batches:
-            yield pd.DataFrame({"draw": batch["draw"], "good": batch["good"], "x": [features(t) for t in batch["text"]]})
+            yield pd.DataFrame({"draw": batch["draw"], "good": batch["good"], "x": [features(t).tobytes() for t in batch["text"]]})
 
     draw = F.pmod(F.xxhash64(F.lit(8), "doc_id"), F.lit(1 << 30))
     sample = rows.withColumn("draw", draw).where(F.col("draw") < int((1 << 30) * min(1.0, 0.95 * SAMPLE_ROWS / n)))
-    got = (sample.select("draw", "good", "text").mapInPandas(extract, "draw long, good int, x array<int>")
-           .limit(SAMPLE_ROWS).toPandas().sort_values(["draw", "good"], kind="stable", ignore_index=True))
-    xs = [np.asarray(x, np.int32) for x in got["x"]]
-    scaled = [ratio[x] / np.sqrt(max(1.0, float(ratio[x] @ ratio[x]))) for x in xs]
+    got = (sample.select("draw", "good", "text").mapInPandas(extract, "draw long, good int, x binary")
+           .limit(SAMPLE_ROWS).toArrow().sort_by([("draw", "ascending"), ("x", "ascending")]))
+    xs = [np.frombuffer(x.as_buffer(), np.int32) for x in got["x"]]
+    norm = np.array([np.sqrt(max(1.0, float(ratio[x] @ ratio[x]))) for x in xs])
     good = got["good"].to_numpy()
     late = np.arange(len(xs)) % 5 == 4
     if len(set(good[~late])) < 2 or len(set(good[late])) < 2:
         late[:] = False  # too few rows of a class to keep any out
     at = np.flatnonzero(~late)
-    weight, bias = _descend([xs[i] for i in at], [scaled[i] for i in at], np.where(good[at] == 1, 1.0, -1.0))
+    weight, bias = _descend([xs[i] for i in at], ratio, norm[at], np.where(good[at] == 1, 1.0, -1.0))
     test = np.flatnonzero(late) if late.any() else at
-    margin = np.array([weight[xs[i]] @ scaled[i] + bias for i in test])
+    margin = np.array([weight[xs[i]] @ ratio[xs[i]] / norm[i] + bias for i in test])
     slope, offset = _calibrate(margin, good[test].astype(float))
     return Model(ratio, weight, bias, slope, offset)
 

@@ -37,11 +37,11 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm-{spark.sparkContext.applicationId}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the scan
     of it: a lost executor costs a re-read, never a recomputation."""
     path = f"{stage_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

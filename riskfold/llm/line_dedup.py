@@ -106,7 +106,7 @@ def drop_repeated_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFram
     the lines of later copies, the number of its lines with a character, of those
     deleted, and of maximal deleted runs."""
     texts = stage(docs.select("doc_id", text_of().alias("text"))
-                  .withColumn("row", F.monotonically_increasing_id()), "texts")
+                  .withColumn("row", F.monotonically_increasing_id()), "texts", "zstd")
     sizes, lines = _lines(texts)
     total = lines.count()
     _, intervals = suffix_array(lines, total)

@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from riskfold.llm.common import ship_package
 
 BLOCK_CHARS = 8 << 20
-CHUNK = 100_000
-CACHE = 300_000
+CHUNK = 50_000
+CACHE = 150_000
 LONG = 256
 
 #: A token's place: word number in the high bits, byte offset in the low nine.
 #: ``here`` is the rank a pair would merge to in the high bits, its place in the low
-#: forty, so that the least one is the leftmost pair of minimum rank.
+#: forty, so that the least one is the leftmost pair of minimum rank.  Words without
+#: a pair are put out once more, as step -1, and take no further part.
 _ENCODE = """
 WITH RECURSIVE steps(step, place, id) AS (
     SELECT 0, place, id FROM start
@@ -46,20 +47,18 @@ WITH RECURSIVE steps(step, place, id) AS (
     (WITH pairs AS MATERIALIZED (
         SELECT t.step, t.place, t.id, t.next_place, (m.rank << 40) + t.place AS here
         FROM (SELECT step, place, id, lead(id) OVER byte_order AS next_id, lead(place) OVER byte_order AS next_place
-              FROM steps WINDOW byte_order AS (ORDER BY place)) t
+              FROM steps WHERE step >= 0 WINDOW byte_order AS (ORDER BY place)) t
         LEFT JOIN merges m ON m.pair = (CAST(t.id AS BIGINT) << 32) + t.next_id
                           AND t.next_place >> 9 = t.place >> 9),
      best AS (SELECT place >> 9 AS word, min(here) AS here, arg_min(next_place, here) AS gone
               FROM pairs WHERE here IS NOT NULL GROUP BY 1)
-     SELECT step + 1, place, CASE WHEN pairs.here = best.here THEN CAST(best.here >> 40 AS INTEGER) ELSE id END
-     FROM pairs JOIN best ON word = place >> 9 WHERE place <> gone)
-), done AS (
-    SELECT steps.place >> 9 AS word, place, id
-    FROM steps JOIN (SELECT place >> 9 AS word, max(step) AS step FROM steps GROUP BY 1) AS last
-      ON steps.place >> 9 = last.word AND steps.step = last.step
+     SELECT CASE WHEN best.here IS NULL THEN -1 ELSE step + 1 END, place,
+            CASE WHEN pairs.here = best.here THEN CAST(best.here >> 40 AS INTEGER) ELSE id END
+     FROM pairs LEFT JOIN best ON word = place >> 9 WHERE place IS DISTINCT FROM gone)
 )
-SELECT word, count(*) AS n, array_to_string(list(id ORDER BY place), ' ') AS ids, string_agg(hex, '' ORDER BY place) AS hex
-FROM done JOIN vocabulary USING (id) GROUP BY word
+SELECT place >> 9 AS word, count(*) AS n, array_to_string(list(id ORDER BY place), ' ') AS ids,
+       string_agg(hex, '' ORDER BY place) AS hex
+FROM steps JOIN vocabulary USING (id) WHERE step = -1 GROUP BY 1
 """
 
 
@@ -87,7 +86,7 @@ class Encoder:
                     pairs.append((left << 32) + right)
                     merged.append(rank)
         self.merge = dict(zip(pairs, merged))
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         made = {"merges": pa.table({"pair": pa.array(pairs, pa.int64()), "rank": pa.array(merged, pa.int64())}),
                 "vocabulary": pa.table({"id": pa.array(self.tokens, pa.int64()),
                                         "hex": [t.hex() for t in self.tokens.values()]})}
@@ -98,6 +97,11 @@ class Encoder:
         self.byte_ids = [ranks.get(bytes([b]), -1) for b in range(256)]
         self.words: dict[str, tuple[int, str, bytes]] = {}
         self.parts: dict[str, tuple[int, str, bytes] | None] = {}
+        self.old_words, self.old_parts = {}, {}  # the generation before
+
+    def forget(self) -> None:
+        """Drop the remembered words: a worker that waits for its next task holds none."""
+        self.words, self.parts, self.old_words, self.old_parts = {}, {}, {}, {}
 
     def _heap(self, word: bytes) -> list[int]:
         """The same contractions, in the same order, for one long word."""
@@ -151,8 +155,12 @@ class Encoder:
             self.db.unregister("start")
 
     def _put(self, pieces: list[str]) -> tuple[int, str, bytes]:
-        got = [self.words[x] for x in pieces]
-        return sum(g[0] for g in got), " ".join([g[1] for g in got]), b"".join([g[2] for g in got])
+        if len(pieces) == 1:
+            return self.words[pieces[0]]
+        if not pieces:
+            return 0, "", b""
+        numbers, ids, raw = zip(*map(self.words.__getitem__, pieces))
+        return sum(numbers), " ".join(ids), b"".join(raw)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, the ids in decimal joined by spaces, decoded bytes) of each text.
@@ -161,30 +169,31 @@ class Encoder:
         a cut when the characters on both sides of the space are no white space,
         so equal parts have equal matches; texts with other cuts are matched
         whole."""
-        if len(self.words) > CACHE or len(self.parts) > CACHE:
-            self.words, self.parts = {}, {}
+        if len(self.parts) > CACHE:
+            self.old_words, self.old_parts, self.words, self.parts = self.words, self.parts, {}, {}
         cut = [t.split(" ") for t in texts]
-        new = set().union(*[c[1:] for c in cut]) - self.parts.keys() if cut else set()
-        found = {part: self.find(" " + part) if part and not part[0].isspace() and not part[-1].isspace() else None
-                 for part in new}
-        first = [self.find(c[0]) if c[0] and not c[0][0].isspace() and not c[0][-1].isspace() else [] for c in cut]
-        odd = {part for part, pieces in found.items() if pieces is None}
-        whole = {}
-        for k, (text, c) in enumerate(zip(texts, cut)):
-            if text and (not first[k] or not odd.isdisjoint(c[1:]) or any(p in self.parts and self.parts[p] is None for p in c[1:])):
-                whole[k] = self.find(text)
-        words = set().union(*[p for p in found.values() if p], *first, *whole.values())
+        firsts = [c.pop(0) for c in cut]
+        new = set().union(*cut) - self.parts.keys()
+        self.parts.update((x, self.old_parts[x]) for x in new & self.old_parts.keys())
+        new -= self.parts.keys()
+        found = {x: self.find(" " + x) if x and not x[0].isspace() and not x[-1].isspace() else None for x in new}
+        odd = {x for x, pieces in found.items() if pieces is None}
+        first = [self.find(x) if x and not x[0].isspace() and not x[-1].isspace() else None for x in firsts]
+        words = set().union(*filter(None, found.values()), *filter(None, first)) - self.words.keys()
+        self.words.update((x, self.old_words[x]) for x in words & self.old_words.keys())
         self.learn(words - self.words.keys())
-        self.parts.update((part, None if pieces is None else self._put(pieces)) for part, pieces in found.items())
-        parts = self.parts
-        for k, c in enumerate(cut):
-            if k in whole:
-                yield self._put(whole[k])
+        self.parts.update((x, None if x in odd else self._put(pieces)) for x, pieces in found.items())
+        known = self.parts.__getitem__
+        for text, c, head in zip(texts, cut, first):
+            got = list(map(known, c))
+            if head is None or None in got:
+                pieces = self.find(text)
+                self.learn(set(pieces) - self.words.keys())
+                yield self._put(pieces)
             else:
-                got = [parts[x] for x in c[1:]]
-                if first[k]:
-                    got.insert(0, self._put(first[k]))
-                yield sum([g[0] for g in got]), " ".join([g[1] for g in got]), b"".join([g[2] for g in got])
+                got.insert(0, self._put(head))
+                numbers, ids, raw = zip(*got)
+                yield sum(numbers), " ".join(ids), b"".join(raw)
 
 
 _ENCODERS: dict[str, Encoder] = {}  # one per worker process and vocabulary
@@ -221,10 +230,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
     sha = hashlib.sha256
 
     def run(batches):
+        encoder = _encoder(ranks, pattern)
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-                for n, text_ids, decoded in _encoder(ranks, pattern).encode(texts):
+                for n, text_ids, decoded in encoder.encode(texts):
                     out["n_tokens"].append(n)
                     out["ids_sha256"].append(sha(text_ids.encode()).hexdigest())
                     out["decoded_sha256"].append(sha(decoded).hexdigest())
@@ -234,6 +244,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
                     del out["ids"]
                 types = {"doc_id": pa.int64(), "n_tokens": pa.int64()}
                 yield pa.record_batch([pa.array(v, types.get(k, pa.string())) for k, v in out.items()], list(out))
+        encoder.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -77,8 +77,7 @@ def test_stream_scoring(spark, scratch):
 def test_cross_validation_and_early_stopping(spark):
     from pyspark.sql import functions as F
     from riskfold.operators.sample import kfold
-    data = catalog._labelled(spark, SF_SMALL)
-    manifest = md.feature_manifest(data.drop("split"))
+    data, manifest = catalog._bureau_features(spark, SF_SMALL)  # the whole bureau block
     found = md.cross_validate(kfold(data, "SK_ID_CURR", "TARGET", k=2), manifest, [{"C": 1.0}])
     assert len(found) == 1 and 0 <= found[0][1] <= 1
     flagged = data.withColumn("is_val", F.col("split") == "test")

@@ -160,6 +160,23 @@ def test_minhash_awkward(spark):
     assert sorted(r["text"] or "" for r in minhash_dedup.drop_near_duplicates(docs).collect()) == ["", "a b c d e f", "a b c d e f", "z"]
 
 
+def test_near_duplicates_go_by_row(spark):
+    """Null and repeated ids: only near copies go, however ids are shared, and one row of a component stays."""
+    rng = random.Random(21)
+    base, lone, shared, pair = (prose(rng, 200) for _ in range(4))
+    near = lambda text: text + " tail"
+    rows = [(1, base), (None, near(base)), (None, lone), (None, prose(rng, 50)),  # a null near copy, null unique texts
+            (5, shared), (5, near(base)), (6, prose(rng, 60)), (6, near(shared)),  # ids shared by unique rows and near copies
+            (None, pair), (None, near(pair)), (8, prose(rng, 70)), (8, None)]
+    docs = spark.createDataFrame([(k, t, n) for n, (k, t) in enumerate(rows)], "doc_id long, text string, n int").repartition(3)
+    got = minhash_dedup.drop_near_duplicates(docs, words=3, percent=85).collect()
+    left = sorted(r["n"] for r in got)
+    assert [n for n in left if n not in (8, 9)] == [0, 2, 3, 4, 6, 10, 11] and len(left) == 8
+    assert all((r["doc_id"], r["text"]) == rows[r["n"]] for r in got)
+    same_id = spark.createDataFrame([(7, pair), (7, near(pair))], "doc_id long, text string")
+    assert minhash_dedup.drop_near_duplicates(same_id, words=3, percent=85).count() == 1
+
+
 def test_minhash_hubs_find_links_between_non_hubs(spark, monkeypatch):
     """Two tight groups in the same buckets: the rounds after the first join each."""
     rng = random.Random(3)

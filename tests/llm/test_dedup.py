@@ -1,6 +1,7 @@
 """Operators 1, 4, 6 and 10 against brute force and on awkward tables."""
 
 import hashlib
+import math
 import random
 
 import pytest
@@ -177,6 +178,14 @@ def test_near_duplicates_go_by_row(spark):
     assert minhash_dedup.drop_near_duplicates(same_id, words=3, percent=85).count() == 1
 
 
+@pytest.mark.parametrize("percent", [80, 85, 95])
+def test_signature_test_passes_links(percent):
+    """A pair at the least similarity fails the signature test with a chance below MISSED."""
+    n, p, agree = minhash_dedup.BANDS * minhash_dedup.ROWS, percent / 100, minhash_dedup.agree_at(percent)
+    assert sum(math.comb(n, k) * p ** k * (1 - p) ** (n - k) for k in range(agree)) < minhash_dedup.MISSED == 4e-7
+    assert agree == {80: 45, 85: 50, 95: 50}[percent]
+
+
 def test_minhash_hubs_find_links_between_non_hubs(spark, monkeypatch):
     """Two tight groups in the same buckets: the rounds after the first join each."""
     rng = random.Random(3)

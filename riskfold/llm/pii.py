@@ -5,7 +5,11 @@
 2. The distinct (kind, canonical form) rows get a surrogate drawn from an HMAC of
    a secret key.  Two forms with one surrogate, or a surrogate that occurs as a
    real value in the corpus, are redrawn until no collision is left, so that
-   distinct values stay distinct.
+   distinct values stay distinct.  Later draws of names, mailboxes and secrets are
+   longer, so there are always enough.  Numbers cannot grow: where a block of them
+   (say 192.168.0.0/16) has more than a quarter of its values in the corpus, its
+   values are permuted by the key.  Then a surrogate may be another real value of
+   the block, but never the value that it replaces.
 3. Surrogates are joined back to the places and written over the texts, in the
    format of each place (digits into the same separators, letters in the same
    script and case).  Equal canonical forms get equal surrogates in all documents
@@ -27,7 +31,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,7 +41,9 @@ from pyspark.sql import functions as F
 
 from riskfold.llm.common import join_groups, ship_package, stage, text_of
 
-MAX_DRAWS = 200
+WIDEN_EVERY = 2  # draws after which surrogates that can grow get longer
+PERMUTED = -1  # the turn of values whose block is permuted
+LEAST_BLOCK = 1 << 16  # values of the smallest block
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Kinds in the order in which overlapping finds are settled; group ``v`` is the value.
@@ -77,7 +85,7 @@ def _mod97(iban: str) -> int:
 
 def canonical(kind: str, value: str) -> str | None:
     """The form that all mentions of one thing share; None if it is no such thing."""
-    digits = re.sub(r"\D", "", value)
+    digits = "".join(str(int(c)) for c in value if c.isdecimal())
     if kind == "email" or kind in _PERSON:
         return value.casefold() if kind in _PERSON else value.lower()
     if kind == "card":
@@ -89,6 +97,8 @@ def canonical(kind: str, value: str) -> str | None:
     if kind == "iban":
         plain = value.replace(" ", "")
         return plain if _mod97(plain) == 1 else None
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in value.split("."))
     return value
 
 
@@ -157,38 +167,123 @@ def _like(draw: _Draw, c: str, hexadecimal: bool = False) -> str:
     return new.upper() if c.isupper() else new
 
 
+def _kept_octets(parts: list[str]) -> int:
+    """The leading octets that make an address a private one; 0 for a public one."""
+    a, b = parts[:2]
+    return 1 if a in ("10", "127") else 2 if (a, b) in {("192", "168"), *(("172", str(x)) for x in range(16, 32))} else 0
+
+
+def _with_luhn(body: str) -> str:
+    return next(body + d for d in "0123456789" if luhn(body + d))
+
+
+def _with_mod97(country: str, body: str) -> str:
+    return f"{country}{98 - _mod97(country + '00' + body):02d}{body}"
+
+
+_DIGITS, _CAPITALS, _OCTETS = list("0123456789"), list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), [str(x) for x in range(256)]
+
+
+def _block(kind: str, form: str) -> tuple[str, list[list[str]], list[str], Callable[[list[str]], str]] | None:
+    """The values that can stand for ``form`` where they cannot grow: a name of the
+    block, the choices of each free place, what ``form`` has there, and the form
+    that such parts make."""
+    if not form.isascii():
+        return None
+    if kind == "ip" and form.count(".") == 3:
+        parts = form.split(".")
+        keep = _kept_octets(parts)
+        return ".".join(parts[:keep]), [_OCTETS] * (4 - keep), parts[keep:], lambda new: ".".join(parts[:keep] + new)
+    if kind == "phone" and len(form) == 10:
+        return form[3:6], [_DIGITS] * 7, list(form[:3] + form[6:]), lambda new: "".join(new[:3]) + form[3:6] + "".join(new[3:])
+    if kind in ("phone", "ssn"):
+        return str(len(form)), [_DIGITS] * len(form), list(form), "".join
+    if kind == "card":
+        return f"{len(form)} {form[0]}", [_DIGITS] * (len(form) - 2), list(form[1:-1]), lambda new: _with_luhn(form[0] + "".join(new))
+    if kind == "iban":
+        shape = "".join("0" if c.isdigit() else "A" for c in form[4:])
+        return form[:2] + shape, [_DIGITS if c == "0" else _CAPITALS for c in shape], list(form[4:]), lambda new: _with_mod97(form[:2], "".join(new))
+    return None
+
+
+def _permute(key: bytes, name: str, size: int, number: int) -> int:
+    """A keyed permutation of 0 .. size - 1 that is one cycle, so that no number stays:
+    a step of fixed width in the order that a Feistel network gives the numbers."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask = (1 << half) - 1
+
+    def keyed(*message: object) -> int:
+        return int.from_bytes(hmac.new(key, "\0".join(map(str, ("permute", name, *message))).encode(), hashlib.sha256).digest(), "big")
+
+    def network(n: int, back: bool) -> int:
+        while True:
+            left, right = n >> half, n & mask
+            for k in range(8):
+                if back:
+                    left, right = right ^ keyed(7 - k, left) & mask, left
+                else:
+                    left, right = right, left ^ keyed(k, right) & mask
+            n = left << half | right
+            if n < size:
+                return n
+
+    step = 1 + keyed("step") % (size - 1)
+    while math.gcd(step, size) > 1:
+        step = step % (size - 1) + 1
+    return network((network(number, False) + step) % size, True)
+
+
+def _permuted(key: bytes, kind: str, form: str) -> str:
+    name, choices, parts, make = _block(kind, form)
+    size, number = math.prod(map(len, choices)), 0
+    for own, part in zip(choices, parts):
+        number = number * len(own) + own.index(part)
+    while True:
+        number = rest = _permute(key, f"{kind} {name}", size, number)
+        new = []
+        for own in reversed(choices):
+            rest, at = divmod(rest, len(own))
+            new.append(own[at])
+        made = make(new[::-1])
+        if kind != "ip" or name or not _kept_octets(made.split(".")):  # a public address stays public
+            return made
+
+
 def surrogate(key: bytes, kind: str, form: str, turn: int) -> str:
     """The ``turn``-th draw of a canonical form to put in the place of ``form``."""
+    if turn == PERMUTED:
+        return _permuted(key, kind, form)
+    longer = turn // WIDEN_EVERY
     draw = _Draw(key, kind, form, str(turn))
     if kind == "email":
         local, domain = form.split("@", 1)
         labels = domain.split(".")
         place = _Draw(key, "domain", domain)  # one domain stays one domain
-        return "".join(_like(draw, c) for c in local) + "@" + ".".join(
+        return "".join(_like(draw, c) for c in local + "a" * longer) + "@" + ".".join(
             ["".join(_like(place, c) for c in x) for x in labels[:-1]] + labels[-1:])
     if kind in _PERSON:
         script = _script(form[0]) or "latin"
-        out = "".join(draw.of(_CONSONANTS[script]) + draw.of(_VOWELS[script]) for _ in range(max(2, len(form) // 2)))
+        out = "".join(draw.of(_CONSONANTS[script]) + draw.of(_VOWELS[script]) for _ in range(max(2, len(form) // 2) + longer))
         return out if kind == "female" else out + draw.of(_CONSONANTS[script])
     if kind == "ip":
-        a, b, _, _ = form.split(".")
-        keep = 1 if a in ("10", "127") else 2 if (a, b) in {("192", "168"), *(("172", str(x)) for x in range(16, 32))} else 0
-        return ".".join((form.split(".")[:keep] + [str(1 + draw.below(223))] * (keep == 0)
-                         + [str(draw.below(256)) for _ in range(4)])[:4])
+        parts = form.split(".")
+        keep = _kept_octets(parts)
+        while True:
+            new = (parts[:keep] + [str(1 + draw.below(223))] * (keep == 0) + [str(draw.below(256)) for _ in range(4)])[:4]
+            if keep or not _kept_octets(new):
+                return ".".join(new)
     if kind == "card":
-        body = form[0] + "".join(draw.of("0123456789") for _ in form[2:])
-        return next(body + d for d in "0123456789" if luhn(body + d))
+        return _with_luhn(form[0] + "".join(draw.of("0123456789") for _ in form[2:]))
     if kind == "iban":
-        body = form[:2] + "00" + "".join(draw.of("0123456789") if c.isdigit() else draw.of("ABCDEFGHJKLMNPRSTUVWXYZ")
-                                         for c in form[4:])
-        return body[:2] + f"{98 - _mod97(body):02d}" + body[4:]
+        return _with_mod97(form[:2], "".join(draw.of("0123456789") if c.isdigit() else draw.of("ABCDEFGHJKLMNPRSTUVWXYZ")
+                                             for c in form[4:]))
     if kind == "phone":
         new = "".join(draw.of("0123456789") for _ in form)
         return (draw.of("23456789") + new[1:3] + form[3:6] + new[6:]) if len(form) == 10 else draw.of("23456789") + new[1:]
     if kind == "access_key":
         return form[:4] + "".join(draw.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in form[4:])
     hexadecimal = kind == "hex_key" or re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", form) is not None
-    return "".join(_like(draw, c, hexadecimal) for c in form)
+    return "".join(_like(draw, c, hexadecimal) for c in form + "a" * (longer if kind == "secret" else 0))
 
 
 def render(kind: str, place: str, new: str) -> str:
@@ -199,7 +294,8 @@ def render(kind: str, place: str, new: str) -> str:
             out.append(rest.pop() if rest and c.isalnum() else c)
         return "".join(reversed(out))
     if kind == "email":
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(place, new))
+        old, parts = place.split("@", 1), new.split("@", 1)
+        return "@".join("".join(n.upper() if c.isupper() else n for c, n in zip(o, p)) + p[len(o):] for o, p in zip(old, parts))
     if kind in _PERSON:
         return new.upper() if place.isupper() and len(place) > 1 else new[0].upper() + new[1:]
     return new
@@ -214,20 +310,48 @@ def _redraw(forms: DataFrame, key: bytes) -> DataFrame:
     return forms.mapInPandas(run, "kind string, form string, n long, turn int, fresh string")
 
 
+def _first_turns(forms: DataFrame) -> DataFrame:
+    """(kind, form, n, turn): ``PERMUTED`` for the values of a block of which more
+    than a quarter are in the corpus, else 0.  There are few such blocks, as each
+    has at least ``LEAST_BLOCK`` / 4 rows."""
+    sizes = forms.where(F.col("kind").isin("ip", "phone", "ssn", "card", "iban")).groupBy("kind").count().collect()
+    large = [r["kind"] for r in sizes if 4 * r["count"] > LEAST_BLOCK]
+    if not large:
+        return forms.withColumn("turn", F.lit(0))
+
+    def blocks(batches):
+        for batch in batches:
+            found = [_block(k, f) for k, f in zip(batch["kind"], batch["form"])]
+            yield pd.DataFrame({"kind": batch["kind"], "name": [b and b[0] for b in found],
+                                "size": [float(math.prod(map(len, b[1]))) if b else None for b in found]})
+
+    counted = (forms.where(F.col("kind").isin(large)).select("kind", "form").mapInPandas(blocks, "kind string, name string, size double")
+               .where("name is not null").groupBy("kind", "name", "size").count())
+    dense = {(r["kind"], r["name"]) for r in counted.where("4 * count > size").collect()}
+
+    def turns(batches):
+        for batch in batches:
+            found = [k in large and _block(k, f) for k, f in zip(batch["kind"], batch["form"])]
+            yield batch.assign(turn=[PERMUTED if b and (k, b[0]) in dense else 0 for k, b in zip(batch["kind"], found)])
+
+    return forms.select("kind", "form", "n").mapInPandas(turns, "kind string, form string, n long, turn int")
+
+
 def assign_surrogates(forms: DataFrame, key: bytes) -> DataFrame:
     """(kind, form, n, fresh) for distinct (kind, form, n): the surrogates are
-    distinct within a kind and none is a form of the corpus."""
-    drawn = stage(_redraw(forms.withColumn("turn", F.lit(0)), key), "drawn")
-    for _ in range(MAX_DRAWS):
-        first = drawn.groupBy("kind", "fresh").agg(F.min("form").alias("first"), F.count(F.lit(1)).alias("sharing"))
-        shared = (drawn.join(first.where("sharing > 1"), ["kind", "fresh"]).where("form <> first").select("kind", "form"))
-        real = drawn.join(forms.select("kind", F.col("form").alias("fresh")), ["kind", "fresh"], "left_semi")
+    distinct within a kind and none, but for permuted blocks, is a form of the corpus."""
+    drawn = stage(_redraw(_first_turns(forms), key), "drawn")
+    while True:
+        first = drawn.groupBy("kind", "fresh").agg(F.min(F.struct((F.col("turn") != PERMUTED).alias("drawn"), "form")).alias("first"),
+                                                   F.count(F.lit(1)).alias("sharing"))
+        shared = (drawn.join(first.where("sharing > 1"), ["kind", "fresh"]).where("form <> first.form").select("kind", "form"))
+        real = drawn.where(F.col("turn") != PERMUTED).join(
+            forms.select("kind", F.col("form").alias("fresh")), ["kind", "fresh"], "left_semi")
         bad = stage(shared.unionByName(real.select("kind", "form")).distinct(), "collisions")
         if bad.isEmpty():
             return drawn.select("kind", "form", "n", "fresh")
         again = drawn.join(bad, ["kind", "form"], "left_semi").select("kind", "form", "n", (F.col("turn") + 1).alias("turn"))
         drawn = stage(drawn.join(bad, ["kind", "form"], "left_anti").unionByName(_redraw(again, key)), "drawn")
-    raise ValueError(f"a kind of entity has too few possible values: collisions remain after {MAX_DRAWS} draws")
 
 
 def replace_entities(docs: DataFrame, key: bytes) -> DataFrame:

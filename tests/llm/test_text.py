@@ -157,6 +157,38 @@ def test_surrogates_are_distinct(spark, monkeypatch):
     assert len(set(fresh)) == 20 and not set(fresh) & {r[1] for r in rows}
 
 
+def test_surrogates_do_not_run_out(spark):
+    """More short names, mailboxes, secrets and private addresses than the first draws or the block have room for."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    forms = {"female": [a + b + c for a in letters for b in letters for c in letters[:5]], "email": [f"{c}@x.com" for c in letters],
+             "secret": [f"-----{d}" for d in range(8)], "ip": [f"192.168.{a}.{b}" for a in range(256) for b in range(160)] + ["10.1.2.3", "8.8.8.8"]}
+    rows = spark.createDataFrame([(k, f, 1) for k, own in forms.items() for f in own], "kind string, form string, n long")
+    got = pii.assign_surrogates(rows.repartition(8), b"k").collect()
+    for kind, own in forms.items():
+        fresh = {r["form"]: r["fresh"] for r in got if r["kind"] == kind}
+        assert set(fresh) == set(own) and len(set(fresh.values())) == len(own)
+        assert all(old != new for old, new in fresh.items()) and (kind == "ip" or not set(fresh.values()) & set(own))
+        if kind == "ip":
+            assert all(new.startswith("192.168.") == old.startswith("192.168.") for old, new in fresh.items())
+            assert fresh["10.1.2.3"].startswith("10.")
+
+
+def test_permuted_numbers():
+    forms = {"phone": ("2125550100", "5550100"), "ssn": ("123456789",), "card": ("4111111111111111",),
+             "iban": ("DE89370400440532013000", "GB82WEST12345698765432"), "ip": ("8.8.8.8", "0.1.2.3", "172.20.1.1", "127.0.0.1")}
+    for kind, own in forms.items():
+        for form in own:
+            new = pii.surrogate(b"k", kind, form, pii.PERMUTED)
+            assert new != form and pii.canonical(kind, new) == new and pii._block(kind, new)[0] == pii._block(kind, form)[0]
+    for size in (2, 7, 10, 1000):
+        new = [pii._permute(b"k", "x", size, n) for n in range(size)]
+        assert sorted(new) == list(range(size)) and all(a != b for a, b in enumerate(new))
+
+
+def test_longer_mailbox_is_written_whole():
+    assert pii.render("email", "A@Ex.com", "bcd@fg.com") == "Bcd@Fg.com"
+
+
 # ---- 8: classifier
 
 def test_classifier_held_out(spark):

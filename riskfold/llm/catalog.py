@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm import bpe, exact_dedup, line_dedup, minhash_dedup, mixing, pii, quality_classifier, quality_rules, sql, suffix_dedup, warc_store
+from riskfold.llm import (
+    bpe, conversation_repair, exact_dedup, line_dedup, minhash_dedup, mixing, pii, prefix_trie, quality_classifier, quality_rules, sharding, sql,
+    suffix_dedup, warc_store)
 from riskfold.llm.common import stage_folder
 from riskfold.sources.tables import read_table
 
@@ -68,6 +70,18 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), 16, ["doc_id"])
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(conversation_repair.damage(read_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_warc": op2_warc,
@@ -79,10 +93,15 @@ QUERIES = {
     "op8_classifier": op8_classifier,
     "op9_bpe": op9_bpe,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_sharding": op12_sharding,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL = {
     "op1_line_dedup": sql.LINE_DEDUP,
     "op2_warc": sql.WARC,
     "op10_exact_dedup": sql.EXACT_DEDUP,
+    "op11_prefix_trie": sql.PREFIX_TRIE,
+    "op13_conversation_repair": sql.CONVERSATION_REPAIR,
 }

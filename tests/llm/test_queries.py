@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     want = con.sql(catalog.ORACLE_SQL[name])
     got = catalog.QUERIES[name](spark, SF)
@@ -28,7 +28,7 @@ def test_oracle(spark, name):
 def test_all_are_registered():
     names = __spark_entry__.queries()
     assert set(catalog.QUERIES) <= set(names) and "pipeline" in names
-    assert sorted({int(n[2:].split("_")[0]) for n in catalog.QUERIES}) == list(range(1, 11))
+    assert sorted({int(n[2:].split("_")[0]) for n in catalog.QUERIES}) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -76,3 +78,13 @@ def cut_lineage(df):
     if not spark.sparkContext.getCheckpointDir():
         checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the application, once (what
+    ``--py-files`` does), for operators whose tasks run Python."""
+    context = spark.sparkContext
+    if getattr(context, "_riskfold_shipped", None) != context.applicationId:
+        package = Path(__file__).resolve().parent
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}", "zip", package.parent, package.name))
+        context._riskfold_shipped = context.applicationId

@@ -3,7 +3,7 @@
 The original only exports the two feature tables for a drift study; the
 measure here is the population stability index over reference-quantile
 bins plus the change in null rate.  Bin edges are exact reference deciles
-(distributed selection, no sampling); both sides are binned in one pass
+(radix selection, no sampling); both sides are binned in one pass
 each and only (feature, bin) counts are aggregated.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskfold.operators.profile import exact_quantile_table
 
@@ -33,10 +34,11 @@ def _binned_shares(df: DataFrame, features: list[str], edges: DataFrame, side: s
     binned = long.withColumn("bin", F.when(F.col("x").isNotNull(),
                                            F.size(F.filter("edges", lambda e: F.col("x") > e))))
     counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
-    totals = binned.groupBy("feature").agg(F.count("x").alias("nn"), F.count(F.lit(1)).alias("rows"))
-    return (counts.where(F.col("bin").isNotNull()).join(totals, "feature")
-            .select("feature", "bin", (F.col("n") / F.col("nn")).alias(f"share_{side}"),
-                    (1 - F.col("nn") / F.col("rows")).alias(f"null_rate_{side}")))
+    # totals from the counts: one row a bin, the null bin among them
+    every = Window.partitionBy("feature")
+    rows, there = F.sum("n").over(every), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).over(every)
+    shares = counts.select("feature", "bin", (F.col("n") / there).alias(f"share_{side}"), (1 - there / rows).alias(f"null_rate_{side}"))
+    return shares.where(F.col("bin").isNotNull())
 
 
 def psi_drift(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10,

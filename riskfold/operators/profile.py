@@ -3,17 +3,17 @@ distinct counts and top values, each as a small Spark DataFrame.
 
 Wide statistics are taken in one aggregation (partial aggregates only are
 shuffled) and turned into one row per column with ``unpivot``.  The exact
-median uses distributed selection (:func:`exact_quantiles`): no group ever
-holds more than a bounded number of values.
+median is a radix selection (:mod:`riskfold.operators.quantiles`): counters of a
+fixed number only, at every size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from riskfold.functions.names import numeric_columns, string_columns
+from riskfold.operators.quantiles import quantile_values
 
 
 def _long(df: DataFrame, columns: list[str], value_type: str = "double") -> DataFrame:
@@ -39,130 +39,28 @@ def missing_values(df: DataFrame, digits: int = 2, nonzero_only: bool = True) ->
     return stacked.orderBy(F.desc("percentage"), F.asc("feature"))
 
 
-def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, **kw) -> DataFrame:
-    """Exact interpolated ``q``-quantile of every column: (feature, quantile)."""
-    values = _quantile_values(df, columns, [q], **kw)
+def exact_quantiles(df: DataFrame, columns: list[str], q: float = 0.5, **_tuning) -> DataFrame:
+    """Exact interpolated ``q``-quantile of every column: (feature, quantile).  Tuning
+    arguments of the selection by brackets that was here before are accepted without effect."""
+    values = _quantile_values(df, columns, [q])
     return df.sparkSession.createDataFrame([(c, values[(c, q)]) for c in columns], "feature string, quantile double")
 
 
-def exact_quantile_table(df: DataFrame, columns: list[str], qs: list[float], **kw) -> DataFrame:
+def exact_quantile_table(df: DataFrame, columns: list[str], qs: list[float]) -> DataFrame:
     """Exact interpolated quantiles: (feature, q, quantile), one selection run for all."""
-    values = _quantile_values(df, columns, list(qs), **kw)
+    values = _quantile_values(df, columns, list(qs))
     return df.sparkSession.createDataFrame([(c, float(q), values[(c, q)]) for c in columns for q in qs],
                                            "feature string, q double, quantile double")
 
 
-def _quantile_values(df: DataFrame, columns: list[str], qs: list[float], grid: int = 1000,
-                     accuracy: int = 20000, final_size: int = 200_000, max_rounds: int = 8,
-                     moments: dict | None = None) -> dict:
-    """Exact interpolated quantiles of every column, keyed (column, q).
-
-    Distributed selection.  Each needed order statistic keeps an open value
-    bracket (lo, hi) and the number of values <= lo.  A round takes a grid of
-    approximate percentiles inside every bracket (bounded sketch per
-    target), picks the two grid values around the target, and counts the
-    values below / at them in one pass: the target either lands on a cut
-    value (so a hot value resolves at once) or its bracket shrinks by about
-    ``grid / 3``.  Once every bracket holds at most ``final_size`` values the
-    exact rank is taken with a window whose partitions are bounded by that
-    size.  Nothing proportional to the data reaches the driver.
-    """
-    spark = df.sparkSession
-    # the (feature, value) form is rebuilt from the input on every pass
-    # rather than stored: it is features x rows large, a pass only streams it
-    long = _long(df, columns)
-    schema = "feature string, rank long, lo double, hi double, below long"
-    first = (long.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"),
-                                         F.stddev_pop("value").alias("std")).collect())
-    counts = {r["feature"]: r["n"] for r in first}
-    if moments is not None:     # the same pass yields count / mean / population std
-        moments.update({r["feature"]: (r["n"], r["mean"], r["std"]) for r in first})
-    targets: dict[tuple[str, int], list] = {}   # -> [lo, hi, below, size, value]
-    for c in columns:
-        n = counts.get(c, 0)
-        for q in qs:
-            if n:
-                k = q * (n - 1)
-                for r in {int(k), min(int(k) + 1, n - 1)}:
-                    targets[(c, r)] = [None, None, 0, n, None]
-
-    def in_bracket(keys) -> DataFrame:
-        b = spark.createDataFrame([(c, r, *targets[(c, r)][:3]) for c, r in keys], schema)
-        return (long.join(F.broadcast(b), "feature")
-                .where((F.col("lo").isNull() | (F.col("value") > F.col("lo")))
-                       & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))))
-
-    probs = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-    for _ in range(max_rounds):
-        open_keys = [k for k, t in targets.items() if t[4] is None and t[3] > final_size]
-        if not open_keys:
-            break
-        sub = in_bracket(open_keys)
-        sketch = {(r["feature"], r["rank"]): r["g"] for r in
-                  sub.groupBy("feature", "rank").agg(F.percentile_approx("value", probs, accuracy).alias("g"))
-                  .collect()}
-        cut_rows = []
-        for key in open_keys:
-            t, g = targets[key], sketch[key]
-            pos = (key[1] - t[2]) / t[3] * grid
-            cut_rows.append((*key, float(g[max(int(pos) - 1, 0)]), float(g[min(int(pos) + 2, grid)])))
-        cuts = spark.createDataFrame(cut_rows, "feature string, rank long, c1 double, c2 double")
-        stats = (sub.join(F.broadcast(cuts), ["feature", "rank"]).groupBy("feature", "rank", "c1", "c2")
-                 .agg(F.count_if(F.col("value") < F.col("c1")).alias("a"),
-                      F.count_if(F.col("value") <= F.col("c1")).alias("b"),
-                      F.count_if(F.col("value") < F.col("c2")).alias("c"),
-                      F.count_if(F.col("value") <= F.col("c2")).alias("d"),
-                      F.count(F.lit(1)).alias("m"))
-                 .collect())
-        for s in stats:
-            t = targets[(s["feature"], s["rank"])]
-            r = s["rank"] - t[2]
-            if r < s["a"]:
-                t[1], t[3] = s["c1"], s["a"]
-            elif r < s["b"]:
-                t[4] = s["c1"]
-            elif r < s["c"]:
-                t[0], t[2], t[3] = s["c1"], t[2] + s["b"], s["c"] - s["b"]
-            elif r < s["d"]:
-                t[4] = s["c2"]
-            else:
-                t[0], t[2], t[3] = s["c2"], t[2] + s["d"], s["m"] - s["d"]
-    rest = [k for k, t in targets.items() if t[4] is None]
-    if rest:
-        # targets that share a bracket (e.g. every target of a small
-        # column) share one window partition instead of copying it
-        brackets: dict[tuple, int] = {}
-        for k in rest:
-            brackets.setdefault((k[0], *targets[k][:3]), len(brackets))
-        bdf = spark.createDataFrame([(c, lo, hi, below, i) for (c, lo, hi, below), i in brackets.items()],
-                                    "feature string, lo double, hi double, below long, bracket int")
-        want = spark.createDataFrame([(brackets[(k[0], *targets[k][:3])], k[1]) for k in rest],
-                                     "bracket int, rank long")
-        inside = (long.join(F.broadcast(bdf), "feature")
-                  .where((F.col("lo").isNull() | (F.col("value") > F.col("lo")))
-                         & (F.col("hi").isNull() | (F.col("value") < F.col("hi")))))
-        # distinct values with their counts (map-side combined), then
-        # running counts inside each bracket: repeated values cost one row
-        dist = inside.groupBy("bracket", "feature", "below", "value").agg(F.count(F.lit(1)).alias("n"))
-        w = Window.partitionBy("bracket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-        cum = dist.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)) + F.col("below"))
-        picked = (cum.join(F.broadcast(want), "bracket")
-                  .where((F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
-                  .select("feature", "rank", "value").collect())
-        for p in picked:
-            targets[(p["feature"], p["rank"])][4] = p["value"]
-    out = {}
-    for c in columns:
-        n = counts.get(c, 0)
-        for q in qs:
-            if not n:
-                out[(c, q)] = None
-                continue
-            k = q * (n - 1)
-            lo_r, hi_r = int(k), min(int(k) + 1, n - 1)
-            lo_v, hi_v = targets[(c, lo_r)][4], targets[(c, hi_r)][4]
-            out[(c, q)] = float(lo_v + (hi_v - lo_v) * (k - lo_r))
-    return out
+def _quantile_values(df: DataFrame, columns: list[str], qs: list[float], moments: dict | None = None) -> dict:
+    """Exact interpolated quantiles keyed (column, q); ``moments`` receives (count, mean,
+    population std) of every column with values."""
+    if moments is not None:
+        rows = (_long(df, columns).groupBy("feature")
+                .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).collect())
+        moments.update({r["feature"]: (r["n"], r["mean"], r["std"]) for r in rows})
+    return quantile_values(df, columns, qs)
 
 
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

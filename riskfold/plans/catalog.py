@@ -207,9 +207,18 @@ def _bureau_features(spark, sf_dir):
     return feats.join(split, "SK_ID_CURR"), generic + manual
 
 
+def _table_features(spark, sf_dir):
+    """The feature table of labelled clients with label and split, and its feature names in
+    order.  Values are rounded to ``COMPARED_DIGITS`` decimals: sums of doubles differ in
+    their last bits with the order of rows, and equal values must tie."""
+    data = _labelled(spark, sf_dir)
+    cols = sorted(md.feature_manifest(data.drop("split")))
+    return data.select("SK_ID_CURR", "TARGET", "split", *[F.round(F.col(c).cast("double"), so.COMPARED_DIGITS).alias(c) for c in cols]), cols
+
+
 def spearman_target(spark, sf_dir):
-    """K1: Spearman correlation of every bureau feature with the label, on the training split."""
-    feats, cols = _bureau_features(spark, sf_dir)
+    """K1: Spearman correlation of every feature of the table with the label, on the training split."""
+    feats, cols = _table_features(spark, sf_dir)
     return spearman_with_target(feats.where(F.col("split") == "train"), cols, "TARGET")
 
 
@@ -295,7 +304,7 @@ def feature_table(spark, sf_dir) -> DataFrame:
     """The client feature table materialised once per session and input
     folder (reliable checkpoint in the shared folder), as a production
     pipeline writes it once and lets every model job read it."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _FEATURE_TABLES:
         _FEATURE_TABLES[key] = cut_lineage(fp.client_features(_tables(spark, sf_dir), default_plan()))
     return _FEATURE_TABLES[key]
@@ -311,7 +320,7 @@ def _labelled(spark, sf_dir) -> DataFrame:
 def trained_model(spark, sf_dir, kind: str = "logistic") -> md.ScoringModel:
     """The model of ``kind``, fitted on the training split by whichever query
     asks for it first and kept for the session and input folder."""
-    key = (id(spark), sf_dir, kind)
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
     if key not in _MODELS:
         data = _labelled(spark, sf_dir)
         manifest = md.feature_manifest(data.drop("split"))
@@ -361,7 +370,8 @@ QUERIES.update({
 
 from riskfold.constants import CORRELATION_THRESHOLD  # noqa: E402
 from riskfold.operators.drift import psi_drift  # noqa: E402
-from riskfold.operators.select import correlated_pairs, prune_greedy, spearman_matrix  # noqa: E402
+from riskfold.operators.correlate import strong_pairs  # noqa: E402
+from riskfold.operators.select import prune_greedy  # noqa: E402
 
 
 def loan_prefixed_rollup(spark, sf_dir):
@@ -381,21 +391,21 @@ def top_bottom_correlated(spark, sf_dir, n: int = 10):
 
 
 def correlated_feature_pairs(spark, sf_dir):
-    """K2 + K3: pairs of bureau features with |Spearman| above the threshold, on the training split."""
-    feats, cols = _bureau_features(spark, sf_dir)
-    return correlated_pairs(spearman_matrix(feats.where(F.col("split") == "train"), cols, "SK_ID_CURR"), CORRELATION_THRESHOLD)
+    """K2 + K3: pairs of features of the table with |Spearman| above the threshold, on the training split."""
+    feats, cols = _table_features(spark, sf_dir)
+    return strong_pairs(feats.where(F.col("split") == "train"), cols, "SK_ID_CURR", CORRELATION_THRESHOLD)
 
 
 _EDGES: dict[tuple, tuple] = {}
 
 
 def _correlation_edges(spark, sf_dir):
-    """Correlated pairs and target correlations of the bureau features:
+    """Correlated pairs and target correlations of the feature table:
     small driver-side metadata (bounded by the feature count squared),
     computed once per session and input folder for the pruning passes."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _EDGES:
-        _, cols = _bureau_features(spark, sf_dir)
+        _, cols = _table_features(spark, sf_dir)
         pairs = [(r["feature_i"], r["feature_j"]) for r in correlated_feature_pairs(spark, sf_dir).collect()]
         target = {r["feature"]: r["abs_rho"] for r in spearman_target(spark, sf_dir).collect()}
         _EDGES[key] = (cols, pairs, target)
@@ -403,16 +413,15 @@ def _correlation_edges(spark, sf_dir):
 
 
 def selected_features(spark, sf_dir):
-    """K5: the greedy pruning decision for every bureau feature."""
+    """K5: the greedy pruning decision for every feature of the table."""
     cols, pairs, target = _correlation_edges(spark, sf_dir)
     dropped = prune_greedy(pairs, cols, target)
     return spark.createDataFrame([(c, c not in dropped) for c in cols], "feature string, kept boolean")
 
 
 def drift_train_vs_test(spark, sf_dir):
-    """K9: PSI and null-rate change of the bureau features, train vs test split."""
-    feats, cols = _bureau_features(spark, sf_dir)
-    d = cut_lineage(feats)   # read by every selection round and both binnings
+    """K9: PSI and null-rate change of every feature of the table, train vs test split."""
+    d, cols = _table_features(spark, sf_dir)
     return psi_drift(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), cols)
 
 

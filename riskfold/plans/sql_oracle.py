@@ -364,20 +364,31 @@ def bureau_client_feature_names() -> list[str]:
     return names + bureau_manual_columns(vocab["CREDIT_ACTIVE"], vocab["CREDIT_TYPE"])
 
 
+#: Decimals to which features are compared in rankings and drift.
+COMPARED_DIGITS = 6
+
+
+def _table_ctes() -> str:
+    """CTEs ending in ``d``: key, label ``y``, split and every feature of the client
+    feature table as a double; ``fi`` numbers the features by name."""
+    return binding_sql(ALL_BOUND) + split_ctes() + "," + encoded_app_cte() + "," + bureau_block_cte() + "," + history_block_cte() + f""",
+    cf AS (SELECT * FROM app LEFT JOIN bureau_block USING (SK_ID_CURR) LEFT JOIN history_block USING (SK_ID_CURR)),
+    d AS MATERIALIZED (SELECT SK_ID_CURR, TARGET AS y, split, round(CAST(COLUMNS(* EXCLUDE (SK_ID_CURR, TARGET, split)) AS DOUBLE), {COMPARED_DIGITS})
+                       FROM cf JOIN splits USING (SK_ID_CURR)),
+    fi AS MATERIALIZED (SELECT feature, CAST(row_number() OVER (ORDER BY feature) - 1 AS INTEGER) AS i
+           FROM (UNPIVOT (SELECT count(COLUMNS(* EXCLUDE (SK_ID_CURR, y, split))) FROM d) ON COLUMNS(*) INTO NAME feature VALUE n)),
+    cells AS MATERIALIZED (UNPIVOT d ON COLUMNS(* EXCLUDE (SK_ID_CURR, y, split)) INTO NAME feature VALUE x)"""
+
+
 def spearman_target_sql() -> str:
-    feats = bureau_client_feature_names()
-    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
-    return (binding_sql(ALL_BOUND) + split_ctes() + "," + bureau_client_cte() + f""",
-    d AS (SELECT CAST(TARGET AS DOUBLE) AS y, {casts} FROM bureau_client JOIN splits USING (SK_ID_CURR)
-          WHERE split = 'train'),
-    long AS (UNPIVOT d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
+    return _table_ctes() + """,
     ranked AS (SELECT feature,
         rank() OVER (PARTITION BY feature ORDER BY x) + (count(*) OVER (PARTITION BY feature, x) - 1) / 2.0 AS rx,
         rank() OVER (PARTITION BY feature ORDER BY y) + (count(*) OVER (PARTITION BY feature, y) - 1) / 2.0 AS ry
-        FROM long)
+        FROM cells WHERE split = 'train')
     SELECT feature, rho, abs(rho) AS abs_rho FROM (
         SELECT feature, CASE WHEN stddev_pop(rx) > 0 AND stddev_pop(ry) > 0 THEN corr(rx, ry) END AS rho
-        FROM ranked GROUP BY feature)""")
+        FROM ranked GROUP BY feature)"""
 
 
 # --- evaluation ------------------------------------------------------------------------
@@ -479,41 +490,39 @@ def top_bottom_correlated_sql(n: int = 10) -> str:
 
 
 def _correlated_pairs_ctes(threshold: float) -> str:
-    """CTEs ending in ``cp`` (over ``splits``): feature pairs (table order) whose
-    pairwise-complete Spearman correlation exceeds ``threshold`` in size."""
-    feats = bureau_client_feature_names()
-    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
-    idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
+    """CTEs after ``_table_ctes`` ending in ``cp``: feature pairs (order of names) whose
+    pairwise-complete Spearman correlation exceeds ``threshold`` in size.
+
+    Features with the same null rows share a pattern; the common rows of two patterns are
+    one ranking problem, and a correlation is the inner product of unit rank vectors."""
     return f"""
-    cp_d AS (SELECT SK_ID_CURR, {casts} FROM bureau_client JOIN splits USING (SK_ID_CURR) WHERE split = 'train'),
-    cp_long AS (UNPIVOT cp_d ON {', '.join(q(c) for c in feats)} INTO NAME feature VALUE x),
-    cp_idx AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
-    cp_l AS (SELECT cp_long.*, cp_idx.i FROM cp_long JOIN cp_idx USING (feature)),
-    cp_pairs AS (SELECT a.feature AS feature_i, b.feature AS feature_j, a.i AS i, b.i AS j, a.x AS xa, b.x AS xb
-              FROM cp_l a JOIN cp_l b ON a.SK_ID_CURR = b.SK_ID_CURR AND a.i < b.i),
-    cp_ranked AS (SELECT feature_i, feature_j, i, j,
-        rank() OVER (PARTITION BY i, j ORDER BY xa) + (count(*) OVER (PARTITION BY i, j, xa) - 1) / 2.0 AS ra,
-        rank() OVER (PARTITION BY i, j ORDER BY xb) + (count(*) OVER (PARTITION BY i, j, xb) - 1) / 2.0 AS rb
-        FROM cp_pairs),
+    train_cells AS MATERIALIZED (SELECT SK_ID_CURR AS k, fi.i, x FROM cells JOIN fi USING (feature) WHERE split = 'train'),
+    patterns AS MATERIALIZED (SELECT i, min(i) OVER (PARTITION BY rows_of) AS g
+                              FROM (SELECT i, string_agg(CAST(k AS VARCHAR), ',' ORDER BY k) AS rows_of FROM train_cells GROUP BY i)),
+    there AS (SELECT i AS g, k FROM train_cells WHERE i IN (SELECT g FROM patterns)),
+    common AS MATERIALIZED (SELECT a.g AS ga, b.g AS gb, a.k FROM there a JOIN there b ON a.k = b.k AND a.g <= b.g),
+    ranks AS (SELECT ga, gb, c.i, g, c.k,
+                     rank() OVER (PARTITION BY ga, gb, c.i ORDER BY x) + (count(*) OVER (PARTITION BY ga, gb, c.i, x) - 1) / 2.0 AS r
+              FROM common JOIN train_cells c USING (k) JOIN patterns p ON p.i = c.i AND p.g IN (ga, gb)),
+    centred AS (SELECT *, r - avg(r) OVER (PARTITION BY ga, gb, i) AS z FROM ranks),
+    vectors AS MATERIALIZED (SELECT ga, gb, i, g, list(z ORDER BY k) AS v, sqrt(sum(z * z)) AS length
+                             FROM centred GROUP BY ga, gb, i, g HAVING max(z) > min(z)),
     cp AS MATERIALIZED (SELECT * FROM (
-        SELECT feature_i, feature_j, i, j,
-               CASE WHEN stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho
-        FROM cp_ranked GROUP BY feature_i, feature_j, i, j)
+        SELECT fa.feature AS feature_i, fb.feature AS feature_j, a.i AS i, b.i AS j,
+               list_inner_product(a.v, b.v) / (a.length * b.length) AS rho
+        FROM vectors a JOIN vectors b ON a.ga = b.ga AND a.gb = b.gb AND a.i < b.i AND (a.ga = a.gb OR a.g <> b.g)
+        JOIN fi fa ON fa.i = a.i JOIN fi fb ON fb.i = b.i)
         WHERE abs(rho) > {threshold!r})"""
 
 
 def correlated_pairs_sql(threshold: float) -> str:
-    return (binding_sql(ALL_BOUND) + split_ctes() + "," + bureau_client_cte() + "," + _correlated_pairs_ctes(threshold)
-            + "\nSELECT * FROM cp")
+    return _table_ctes() + "," + _correlated_pairs_ctes(threshold) + "\nSELECT * FROM cp"
 
 
 def drift_sql(bins: int = 10, eps: float = 1e-4, seed: int = 42) -> str:
-    feats = bureau_client_feature_names()
-    casts = ", ".join(f"CAST({q(c)} AS DOUBLE) AS {q(c)}" for c in feats)
     qs = ", ".join(repr(i / bins) for i in range(1, bins))
-    return (binding_sql(ALL_BOUND) + split_ctes(seed) + "," + bureau_client_cte() + f""",
-    d AS (SELECT split, {casts} FROM bureau_client JOIN splits USING (SK_ID_CURR)),
-    long AS (SELECT * FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(q(c) for c in feats)}))),
+    return (_table_ctes() + f""",
+    long AS (SELECT split, feature, x FROM d UNPIVOT INCLUDE NULLS (x FOR feature IN (COLUMNS(* EXCLUDE (SK_ID_CURR, y, split))))),
     edges AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [{qs}]))) AS edges
               FROM long WHERE split = 'train' AND x IS NOT NULL GROUP BY feature),
     binned AS (SELECT l.split, l.feature, l.x,
@@ -555,10 +564,7 @@ def selected_features_sql(threshold: float) -> str:
     For a feature i still kept when it is visited, every later linked
     feature that is still kept is dropped when i's target correlation is at
     least its own; i itself is dropped when any of them is stronger."""
-    feats = bureau_client_feature_names()
-    idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
     return (_spearman_body() + "," + _correlated_pairs_ctes(threshold) + f""",
-    fi AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
     tc AS MATERIALIZED (SELECT fi.feature, fi.i, coalesce(round(sp.abs_rho, 12), 0.0) AS c FROM fi LEFT JOIN sp USING (feature)),
     later AS (SELECT cp.i, list({{'fj': cp.feature_j, 'weaker': a.c >= b.c}}) AS links
               FROM cp JOIN tc a ON a.i = cp.i JOIN tc b ON b.i = cp.j GROUP BY cp.i),
@@ -583,10 +589,7 @@ def selected_features_by_group_sql(threshold: float) -> str:
     """Group pruning (K4): each feature with earlier correlated features forms
     a group with them; the group's strongest target correlation (earliest
     feature on ties; the feature itself if none is known) is kept."""
-    feats = bureau_client_feature_names()
-    idx = ", ".join(f"({lit(c)}, {i})" for i, c in enumerate(feats))
     return (_spearman_body() + "," + _correlated_pairs_ctes(threshold) + f""",
-    fi AS (SELECT feature, CAST(i AS INTEGER) AS i FROM (VALUES {idx}) t(feature, i)),
     tc AS (SELECT fi.feature, fi.i, round(sp.abs_rho, 12) AS c FROM fi LEFT JOIN sp USING (feature)),
     grp AS (SELECT DISTINCT j AS g, j AS m FROM cp UNION SELECT j AS g, i AS m FROM cp),
     scored AS (SELECT grp.g, grp.m, tc.c FROM grp JOIN tc ON tc.i = grp.m),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.functions.names import numeric_columns, string_columns
-from riskfold.operators.quantiles import quantile_values
+from riskfold.operators.quantiles import column_moments, quantile_values
 
 
 def _long(df: DataFrame, columns: list[str], value_type: str = "double") -> DataFrame:
@@ -57,9 +57,7 @@ def _quantile_values(df: DataFrame, columns: list[str], qs: list[float], moments
     """Exact interpolated quantiles keyed (column, q); ``moments`` receives (count, mean,
     population std) of every column with values."""
     if moments is not None:
-        rows = (_long(df, columns).groupBy("feature")
-                .agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")).collect())
-        moments.update({r["feature"]: (r["n"], r["mean"], r["std"]) for r in rows})
+        moments.update(column_moments(df, columns))
     return quantile_values(df, columns, qs)
 
 

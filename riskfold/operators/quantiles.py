@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 
 from riskfold.session import ship_package
 
-DIGIT = 11
+DIGIT = 13
 TOP = -(1 << 63)
 
 
@@ -35,7 +35,14 @@ def from_ordered(bits: int) -> float:
     return float(np.array([raw], np.int64).view(np.float64)[0])
 
 
-def _digit_counts(df: DataFrame, columns: list[str], shift: int, width: int, prefixes: list[list[int]]) -> DataFrame:
+def as_array(columns: list[str]):
+    """One array of doubles of all columns, parsed in one go: hundreds of separate
+    expressions take longer to build than to run."""
+    names = ["`" + c.replace("`", "``") + "`" for c in columns]
+    return F.expr("array(" + ", ".join(f"cast({c} as double)" for c in names) + ")").alias("values")
+
+
+def _digit_counts(rows: DataFrame, columns: list[str], shift: int, width: int, prefixes: list[list[int]]) -> DataFrame:
     """(f, prefix, digit, n): how many values of column f with the leading bits ``prefix``
     have ``digit`` in the ``width`` bits above ``shift``."""
     import pyarrow as pa
@@ -62,16 +69,52 @@ def _digit_counts(df: DataFrame, columns: list[str], shift: int, width: int, pre
             yield pa.record_batch([pa.array(np.full(len(digit), f, np.int32)), pa.array(np.full(len(digit), prefix, np.int64)),
                                    pa.array(digit.astype(np.int32)), pa.array(counts[digit].astype(np.int64))], ["f", "prefix", "digit", "n"])
 
-    rows = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in columns]))
     return (rows.mapInArrow(run, "f int, prefix long, digit int, n long")
             .groupBy("f", "prefix", "digit").agg(F.sum("n").alias("n")))
 
 
+def column_moments(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, float, float]]:
+    """(count, mean, population std) of every column that has values: each task's counts,
+    means and squared deviations, put together around the common mean."""
+    import pyarrow as pa
+
+    ship_package(df.sparkSession)
+
+    def run(batches):
+        n, mean, m2 = (np.zeros(len(columns)) for _ in range(3))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(0).flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(columns))
+            values = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(columns))
+            k = there.sum(axis=0)
+            own = np.divide(np.where(there, values, 0.0).sum(axis=0), k, out=np.zeros(len(columns)), where=k > 0)
+            part = (np.where(there, values - own, 0.0) ** 2).sum(axis=0)
+            both = n + k
+            share = np.divide(k, both, out=np.zeros(len(columns)), where=both > 0)
+            m2 += part + (own - mean) ** 2 * n * share
+            mean += (own - mean) * share
+            n = both
+        f = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(f.astype(np.int32)), pa.array(n[f].astype(np.int64)), pa.array(mean[f]), pa.array(m2[f])],
+                              ["f", "n", "mean", "m2"])
+
+    each = df.select(as_array(columns)).mapInArrow(run, "f int, n long, mean double, m2 double")
+    every = Window.partitionBy("f")
+    centre = F.sum(F.col("n") * F.col("mean")).over(every) / F.sum("n").over(every)
+    total = (each.withColumn("centre", centre).groupBy("f")
+             .agg(F.sum("n").alias("n"), F.first("centre").alias("mean"),
+                  F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("centre")) * (F.col("mean") - F.col("centre"))).alias("m2")))
+    return {columns[r["f"]]: (r["n"], r["mean"], float(np.sqrt(r["m2"] / r["n"]))) for r in total.collect()}
+
+
 def order_statistics(df: DataFrame, columns: list[str], qs: list[float]) -> tuple[list[int], dict[tuple[int, int], float]]:
     """The number of values of every column, and (column number, rank) -> value for the ranks
     (from 0) that the interpolated quantiles ``qs`` need."""
     spark = df.sparkSession
     ship_package(spark)
+    rows = df.select(as_array(columns))
     counts = [0] * len(columns)
     # (column, rank) -> (leading bits, rank among the values that have them)
     wanted: dict[tuple[int, int], tuple[int, int]] = {}
@@ -84,7 +127,7 @@ def order_statistics(df: DataFrame, columns: list[str], qs: list[float]) -> tupl
         for (f, _), (prefix, _) in wanted.items():
             if prefix not in prefixes[f]:
                 prefixes[f].append(prefix)
-        found = _digit_counts(df, columns, shift, width, prefixes)
+        found = _digit_counts(rows, columns, shift, width, prefixes)
         if first:
             found = found.persist()
             try:

@@ -4,7 +4,7 @@ every query that has an SQL formulation."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 
 from riskfold.plans import features as fp
 from riskfold.plans import sql_oracle as so
@@ -425,9 +425,85 @@ def drift_train_vs_test(spark, sf_dir):
     return psi_drift(d.where(F.col("split") == "train"), d.where(F.col("split") == "test"), cols)
 
 
+# --- leaf-wise boosted trees ----------------------------------------------------------
+
+from dataclasses import replace  # noqa: E402
+
+from riskfold.operators import trees as tr  # noqa: E402
+
+#: Parameters of the tree model as the original sets them; the number of rounds is a
+#: parameter of the queries, as each round is several passes over the rows.
+TREE_PARAMS = tr.TreeParams(learning_rate=0.1, num_leaves=31, l1=0.1, l2=0.1, feature_share=0.9)
+TREE_ROUNDS = 5
+GRID_ROUNDS, GRID_RATES, GRID_LEAVES = [1, 2, 3], [0.05, 0.1], [21, 31, 41, 51]
+
+_TREES: dict[tuple, tr.TreeModel] = {}
+
+
+def tree_model(spark, sf_dir) -> tr.TreeModel:
+    """The leaf-wise model fitted on the training split, kept for the application and input folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TREES:
+        data = _labelled(spark, sf_dir)
+        _TREES[key] = tr.fit_trees(data.where(F.col("split") == "train"), md.feature_manifest(data.drop("split")), "TARGET",
+                                   TREE_PARAMS, TREE_ROUNDS)
+    return _TREES[key]
+
+
+def tree_scores(spark, sf_dir):
+    """M6 + M10 + M18: score and route every client with the tree model."""
+    scored = tree_model(spark, sf_dir).score(feature_table(spark, sf_dir), ("SK_ID_CURR",))
+    return scored.withColumn("decision", md.route(F.col("score")))
+
+
+def tree_early_stopping(spark, sf_dir, max_rounds: int = 8, patience: int = 3):
+    """M7: exact validation AUC after each round, and whether the model keeps the round."""
+    data = _labelled(spark, sf_dir)
+    model, curve = tr.early_stopping(data.where(F.col("split") == "train"), data.where(F.col("split") == "test"),
+                                     md.feature_manifest(data.drop("split")), "TARGET",
+                                     replace(TREE_PARAMS, learning_rate=0.3, num_leaves=8), max_rounds, patience, 31, check_every=4)
+    rows = [(n, auc, n <= len(model.booster.trees)) for n, auc in curve]
+    return spark.createDataFrame(rows, "round int, validation_auc double, kept boolean")
+
+
+def tree_grid_search(spark, sf_dir):
+    """M8: every point of the tree grid with its exact AUC per fold, best mean first."""
+    data = _labelled(spark, sf_dir).where(F.col("split") == "train")
+    found = tr.grid_search(sa.kfold(data, "SK_ID_CURR", "TARGET"), md.feature_manifest(data.drop("split")), "TARGET", "fold",
+                           GRID_ROUNDS, GRID_RATES, GRID_LEAVES, TREE_PARAMS)
+    points: dict[tuple, list] = {}
+    for n, rate, leaves, _, auc in found:
+        points.setdefault((n, rate, leaves), []).append(auc)
+    rows = [(*p, sum(a) / len(a) if None not in a else None, a) for p, a in points.items()]
+    rows.sort(key=lambda r: (-(r[3] or 0.0), r[0], r[2], r[1]))
+    return spark.createDataFrame([(k + 1, *r) for k, r in enumerate(rows)], "place int, n_estimators int, learning_rate double, "
+                                 "num_leaves int, mean_roc_auc double, fold_roc_auc array<double>")
+
+
+def tree_global_explanation(spark, sf_dir, top: int = 15):
+    """Mean absolute Shapley value per feature, the largest ``top``."""
+    found = tree_model(spark, sf_dir).contributions(feature_table(spark, sf_dir), "SK_ID_CURR")
+    return (found.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs_contribution"))
+            .orderBy(F.desc("mean_abs_contribution"), "feature").limit(top))
+
+
+def tree_local_explanation(spark, sf_dir, n: int = 3, top: int = 15):
+    """The largest ``top`` Shapley values of the ``n`` highest and ``n`` lowest scored clients."""
+    model, feats = tree_model(spark, sf_dir), feature_table(spark, sf_dir)
+    scored = cut_lineage(model.margins(feats, ("SK_ID_CURR",)))
+    high = scored.orderBy(F.desc("margin"), "SK_ID_CURR").limit(n).withColumn("group", F.lit("highest"))
+    low = scored.orderBy("margin", "SK_ID_CURR").limit(n).withColumn("group", F.lit("lowest"))
+    chosen = cut_lineage(high.unionByName(low))
+    found = model.contributions(feats.join(F.broadcast(chosen.select("SK_ID_CURR")), "SK_ID_CURR", "left_semi"), "SK_ID_CURR")
+    order = Window.partitionBy("SK_ID_CURR").orderBy(F.desc(F.abs("contribution")), "feature")
+    return (found.withColumn("position", F.row_number().over(order)).where(F.col("position") <= top)
+            .join(F.broadcast(chosen), "SK_ID_CURR").withColumn("expected", F.lit(model.expected)))
+
+
 def model_feature_importance(spark, sf_dir):
-    """K7: tree-model importances (gradient-boosted trees on the train split)."""
-    return md.feature_importances(trained_model(spark, sf_dir, "gbt"))
+    """K7: share of the gain and number of splits of every feature in the tree model."""
+    rows = tree_model(spark, sf_dir).importances()
+    return spark.createDataFrame(rows, "feature string, importance double, splits long").orderBy(F.desc("importance"), "feature")
 
 
 QUERIES.update({
@@ -437,6 +513,11 @@ QUERIES.update({
     "selected_features": selected_features,
     "drift_train_vs_test": drift_train_vs_test,
     "model_feature_importance": model_feature_importance,
+    "tree_scores": tree_scores,
+    "tree_early_stopping": tree_early_stopping,
+    "tree_grid_search": tree_grid_search,
+    "tree_global_explanation": tree_global_explanation,
+    "tree_local_explanation": tree_local_explanation,
 })
 
 ORACLE_SQL.update({
@@ -521,8 +602,8 @@ def run_leaderboard(spark, sf_dir):
     run ledger and read back as a leaderboard."""
     path = _shared_folder(spark, "ledger")
     data = _labelled(spark, sf_dir).where(F.col("split") == "test")
-    for kind in ("logistic", "gbt"):
-        model = trained_model(spark, sf_dir, kind)
+    for kind in ("logistic", "trees"):
+        model = trained_model(spark, sf_dir) if kind == "logistic" else tree_model(spark, sf_dir)
         scored = model.score(data, keep=("SK_ID_CURR", "TARGET"))
         auc = ev.roc_auc(scored, "TARGET", "probability").first()["roc_auc"]
         best = ev.best_threshold(ev.threshold_sweep(scored, "TARGET", "probability")).first()

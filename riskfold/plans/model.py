@@ -13,26 +13,27 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskfold.constants import DECISION_THRESHOLD, SEED
 from riskfold.functions.names import numeric_columns
-from riskfold.operators.evaluate import roc_auc
 from riskfold.operators.model_prep import (Imputer, Standardizer, class_weights, fit_imputer_and_scaler,
-                                           sanitized_manifest, with_weight)
+                                           fit_imputers_and_scalers, sanitized_manifest, with_weight)
 from riskfold.operators.sample import hash_uniform
+from riskfold.operators.trees import grouped_auc
 from riskfold.session import cut_lineage
 
 CLIENT = "SK_ID_CURR"
 LABEL = "TARGET"
 LIKELY = "likely to repay"
 NOT_LIKELY = "not likely to repay"
+ROWS_PER_PART = 20_000
 
 
 def feature_manifest(df: DataFrame, exclude: tuple[str, ...] = (CLIENT, LABEL)) -> list[str]:
@@ -110,26 +111,33 @@ def route(score, threshold: float = DECISION_THRESHOLD):
 
 def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logistic",
         class_weight="balanced", C: float = 1.0, max_iter: int = 1000, tol: float = 1e-4,
-        gbt_params: dict | None = None, impute: str = "median", validation_col: str | None = None) -> ScoringModel:
-    """Fit imputer, scaler and classifier on ``train`` (features + TARGET)."""
+        gbt_params: dict | None = None, impute: str = "median", validation_col: str | None = None,
+        learnt: tuple[Imputer, Standardizer] | None = None) -> ScoringModel:
+    """Fit imputer, scaler and classifier on ``train`` (features + TARGET); ``learnt``: an
+    imputer and scaler, by safe names, that are known already."""
     manifest = manifest or feature_manifest(train)
     names = sanitized_manifest(manifest)
     safe = [names[c] for c in manifest]
     # one reliable lineage cut: the feature plan runs once, and the fitting
     # passes (medians, moments, optimiser iterations) read the checkpoint
     extra = [F.col(validation_col)] if validation_col else []
-    base = cut_lineage(train.select(F.col(LABEL), *extra,
-                                    *[F.col(c).cast("double").alias(names[c]) for c in manifest]))
-    if impute == "median":
+    base = cut_lineage(train.select(F.col(LABEL), *extra, *[F.expr(f"cast(`{c}` as double) as `{names[c]}`") for c in manifest]))
+    if learnt:
+        imputer, scaler = learnt
+    elif impute == "median":
         imputer, scaler = fit_imputer_and_scaler(base, safe)
-        imputed = imputer.transform(base)
     else:
         imputer = Imputer.zeros(safe)
-        imputed = imputer.transform(base)
-        scaler = Standardizer.fit(imputed, safe)
-    prepared = scaler.transform(imputed)
+        scaler = Standardizer.fit(imputer.transform(base), safe)
     weights = class_weights(base, LABEL, class_weight)
-    weighted = with_weight(prepared, LABEL, weights).withColumn("label", F.col(LABEL).cast("double"))
+    # one vector a row, made by one expression and stored: an optimiser reads it in every
+    # iteration, in parts of a useful size and not those of the plan
+    cells = [f"(coalesce(cast(`{c}` as double), {float(imputer.values[c])!r}D) - {float(scaler.means[c] or 0.0)!r}D) / {float(scaler.stds[c])!r}D"
+             for c in safe]
+    vector = array_to_vector(F.expr(f"array({', '.join(cells)})")).alias("features")
+    parts = max(1, -(-base.count() // ROWS_PER_PART))
+    weighted = cut_lineage(with_weight(base.select(LABEL, *extra, vector), LABEL, weights).coalesce(parts)
+                           .withColumn("label", F.col(LABEL).cast("double")))
     assembler = VectorAssembler(inputCols=safe, outputCol="features", handleInvalid="keep")
     if kind == "logistic":
         total_weight = weighted.agg(F.sum("weight")).first()[0] or 1.0
@@ -148,7 +156,7 @@ def fit(train: DataFrame, manifest: list[str] | None = None, kind: str = "logist
         clf = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", **params)
     else:
         raise ValueError(kind)
-    pipeline = Pipeline(stages=[assembler, clf]).fit(weighted)
+    pipeline = PipelineModel(stages=[assembler, clf.fit(weighted)])
     return ScoringModel(manifest, names, imputer, scaler, pipeline, kind, weights=weights)
 
 
@@ -156,20 +164,29 @@ def cross_validate(train: DataFrame, manifest: list[str], grid: list[dict], kind
                    fold_col: str = "fold") -> list[tuple[dict, float]]:
     """(parameters, mean ROC AUC) of every grid point, best first (M8).
 
-    ``train`` must carry ``fold_col`` (see operators.sample.kfold).  Each grid
-    point is fitted by :func:`fit` on the other folds, so that medians, moments
-    and class weights come from them alone; the AUC on the held-out fold is the
-    exact one.  ``grid`` holds keyword arguments of :func:`fit`."""
+    ``train`` must carry ``fold_col`` (see operators.sample.kfold).  Medians and moments
+    are learnt once for every fold, from the other folds alone; each grid point is then
+    fitted by :func:`fit` with them.  The AUCs on the held-out
+    folds are exact and counted in one go.  ``grid`` holds keyword arguments of :func:`fit`."""
     data = cut_lineage(train.select(CLIENT, LABEL, fold_col, *manifest))
     folds = sorted(r[0] for r in data.select(fold_col).distinct().collect())
+    names = sanitized_manifest(manifest)
+    safe = data.select(fold_col, *[F.col(c).alias(names[c]) for c in manifest])
+    learnt = fit_imputers_and_scalers(safe, [names[c] for c in manifest], fold_col, folds)
+    held = None
+    for point, params in enumerate(grid):
+        for place, fold in enumerate(folds):
+            model = fit(data.where(F.col(fold_col) != fold), manifest, kind=kind, learnt=learnt[fold], **params)
+            scored = model.score(data.where(F.col(fold_col) == fold), keep=(CLIENT, LABEL)).select(
+                LABEL, "probability", F.lit(point * len(folds) + place).alias("run"))
+            held = scored if held is None else held.unionByName(scored)
+    if held is None:
+        return []
+    aucs = {r["run"]: r["auc"] for r in grouped_auc(held, "run", LABEL, "probability").collect()}
     out = []
-    for params in grid:
-        aucs = []
-        for fold in folds:
-            model = fit(data.where(F.col(fold_col) != fold), manifest, kind=kind, **params)
-            held = model.score(data.where(F.col(fold_col) == fold), keep=(CLIENT, LABEL))
-            aucs.append(roc_auc(held, LABEL, "probability").first()["roc_auc"])
-        out.append((params, sum(aucs) / len(aucs)))
+    for point, params in enumerate(grid):
+        known = [a for k in range(len(folds)) if (a := aucs.get(point * len(folds) + k)) is not None]
+        out.append((params, sum(known) / len(known) if known else float("nan")))
     return sorted(out, key=lambda x: -x[1])
 
 

@@ -34,3 +34,15 @@ def test_quantiles(spark, seed):
 
 def test_empty_table(spark):
     assert qu.quantile_values(spark.createDataFrame([], "a double"), ["a"], [0.5]) == {("a", 0.5): None}
+
+
+def test_moments(spark):
+    r = random.Random(9)
+    rows = [(r.gauss(1e9, 1.0), r.random() if r.random() < 0.7 else None, 4.0, None) for _ in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").repartition(7)
+    got = qu.column_moments(df, df.columns)
+    for k, c in enumerate("abc"):
+        known = np.array([row[k] for row in rows if row[k] is not None])
+        assert got[c][0] == len(known) and math.isclose(got[c][1], known.mean(), rel_tol=1e-12)
+        assert math.isclose(got[c][2], known.std(), rel_tol=1e-6, abs_tol=1e-12)
+    assert "d" not in got and qu.column_moments(df.limit(0), ["a"]) == {}

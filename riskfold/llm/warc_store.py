@@ -2,14 +2,17 @@
 
 ``write_archive`` stores two Parquet tables under a folder:
 
-* ``payloads``: every distinct payload once, under its SHA-256 address.  Equal
-  addresses must have equal lengths, else the write fails.
+* ``payloads``: every distinct payload once, as a zstd frame, under the SHA-256
+  address of its bytes.  Equal addresses must have equal lengths, else the write fails.
 * ``records``: per page the exact bytes of its record header, with the address
   of its payload.
 
 ``read_records`` joins the two and returns the original records byte for byte;
 it recomputes every digest and fails on a payload that does not match its
-address.
+address, or on a Content-Length that is not the number of bytes rebuilt.
+
+Payloads are compressed where they are read and expanded where their records are
+rebuilt, so that both shuffles, by address, move frames.
 
 Of the pages with equal payloads of at least ``MIN_REVISIT_BYTES`` bytes, the
 one with the largest page_id is the response and the others are revisits that
@@ -31,15 +34,53 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskfold.llm.common import join_groups, stage
+from riskfold.llm.common import join_groups, ship_package, stage
 
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_SLICE = 1000
+BATCH_BYTES = 4 << 20  # expanded payloads in a batch, one payload at least
 #: Fixed value: the WARC 1.1 profile of a revisit by equal payload digest.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CRLF = "\r\n"
 
 
+def _packed(payloads: DataFrame) -> DataFrame:
+    """(address, payload, n) with payloads as zstd frames."""
+    import pyarrow as pa
+
+    def run(batches):
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            frames = pa.array([pack(x.as_py()) for x in batch.column(1)], pa.binary())
+            yield pa.record_batch([batch.column(0), frames, batch.column(2)], ["address", "payload", "n"])
+
+    return payloads.mapInArrow(run, "address binary, payload binary, n int")
+
+
+def _unpacked(records: DataFrame) -> DataFrame:
+    """(address, header, payload) with zstd frames expanded, one payload at a time."""
+    import pyarrow as pa
+
+    def run(batches):
+        import zstandard
+
+        expand = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            start = size = 0
+            out: list[bytes] = []
+            for k, frame in enumerate(batch.column(2)):
+                out.append(expand(frame.as_py()))
+                size += len(out[-1])
+                if size >= BATCH_BYTES or k + 1 == batch.num_rows:
+                    yield pa.record_batch([batch.column(0)[start:k + 1], batch.column(1)[start:k + 1], pa.array(out, pa.binary())],
+                                          ["address", "header", "payload"])
+                    start, size, out = k + 1, 0, []
+
+    return records.mapInArrow(run, "address binary, header binary, payload binary")
+
+
 def payload_of(html: str = "html") -> Column:
     return F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8")
 
@@ -80,6 +121,7 @@ def _header(date: str) -> Column:
 
 def write_archive(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write the archive of ``pages`` (page_id, url, html) into ``folder``."""
+    ship_package(pages.sparkSession)
     payload = payload_of()
     facts = stage(pages.select("page_id", "url", F.monotonically_increasing_id().alias("__llm_row"),
                                F.unhex(F.sha2(payload, 256)).alias("address"), F.sha1(payload).alias("sha1"),
@@ -100,10 +142,10 @@ def write_archive(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:0
     # any copy is as good as another; the map side keeps one a task before the shuffle
     whole = F.when(F.min("n") == F.max("n"), F.any_value("payload")).otherwise(
         F.raise_error(F.lit("two payloads share a SHA-256 address")))
-    stored = (pages.select(F.unhex(F.sha2(payload, 256)).alias("address"), payload.alias("payload"),
-                           F.octet_length(payload).alias("n"))
-              .groupBy("address").agg(whole.alias("payload"), F.count(F.lit(1)).alias("users")))
-    stored.write.option("compression", "zstd").parquet(f"{folder}/payloads")
+    packed = _packed(pages.select(F.unhex(F.sha2(payload, 256)).alias("address"), payload.alias("payload"),
+                                  F.octet_length(payload).alias("n")))
+    stored = packed.groupBy("address").agg(whole.alias("payload"), F.count(F.lit(1)).alias("users"))
+    stored.write.option("compression", "none").parquet(f"{folder}/payloads")
 
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -111,13 +153,19 @@ def read_records(spark: SparkSession, folder: str) -> DataFrame:
     payload it stands for, and the bytes that follow its header."""
     records = spark.read.schema("page_id long, address binary, slice int, header binary").parquet(f"{folder}/records")
     payloads = spark.read.schema("address binary, payload binary, users long").parquet(f"{folder}/payloads")
+    last = F.ceil(F.col("users") / RECORDS_PER_SLICE).cast("int") - 1
+    sliced = payloads.select("address", "payload", F.explode(F.sequence(F.lit(0), last)).alias("slice"))
+    joined = records.select("address", "slice", "header").join(sliced, ["address", "slice"]).select("address", "header", "payload")
     sound = F.when(F.unhex(F.sha2("payload", 256)) == F.col("address"), F.col("payload")).otherwise(
         F.raise_error(F.lit("a stored payload does not match its address")))
-    last = F.ceil(F.col("users") / RECORDS_PER_SLICE).cast("int") - 1
-    sliced = payloads.select("address", sound.alias("payload"), F.explode(F.sequence(F.lit(0), last)).alias("slice"))
-    joined = records.select("address", "slice", "header").join(sliced, ["address", "slice"])
-    revisit = F.contains(F.decode("header", "UTF-8"), F.lit("WARC-Type: revisit\r\n"))
-    return joined.select("header", "payload", F.when(revisit, F.lit(b"")).otherwise(F.col("payload")).alias("content"))
+    head = F.decode("header", "UTF-8")
+    stands = F.when(F.contains(head, F.lit("WARC-Type: revisit\r\n")), F.lit(b"")).otherwise(F.col("payload"))
+    length = F.regexp_extract(head, r"\r\nContent-Length: (\d+)\r\n", 1).cast("long")
+    whole = F.when(length == F.octet_length("content"), F.col("header")).otherwise(
+        F.raise_error(F.lit("a record is not as long as its header says")))
+    ship_package(spark)
+    return (_unpacked(joined).select("header", sound.alias("payload")).withColumn("content", stands)
+            .select(whole.alias("header"), "payload", "content"))
 
 
 def record_bytes(records: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import __spark_entry__
@@ -73,12 +74,23 @@ def test_archive_rejects_damage(spark, tmp_path):
     folder = f"{stage_folder(spark)}/test-archive-bad-{tmp_path.name}"
     warc_store.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), folder)
     store = spark.read.parquet(f"{folder}/payloads").collect()
-    spark.createDataFrame([(bytes(r["address"]), b"abd", 1) for r in store], "address binary, payload binary, users long").write.mode(
+    frame = zstandard.ZstdCompressor().compress(b"abd")
+    spark.createDataFrame([(bytes(r["address"]), frame, 1) for r in store], "address binary, payload binary, users long").write.mode(
         "overwrite").parquet(f"{folder}/payloads")
     with pytest.raises(Exception, match="does not match its address"):
         warc_store.record_fields(warc_store.read_records(spark, folder)).collect()
 
 
+def test_archive_rejects_wrong_length(spark, tmp_path):
+    folder = f"{stage_folder(spark)}/test-archive-length-{tmp_path.name}"
+    warc_store.write_archive(spark.createDataFrame([(1, "u", "abc")], "page_id long, url string, html string"), folder)
+    rows = spark.read.parquet(f"{folder}/records").collect()
+    spark.createDataFrame([(r["page_id"], bytes(r["address"]), r["slice"], bytes(r["header"]).replace(b"Content-Length: 3", b"Content-Length: 4"))
+                           for r in rows], "page_id long, address binary, slice int, header binary").write.mode("overwrite").parquet(f"{folder}/records")
+    with pytest.raises(Exception, match="not as long as its header says"):
+        warc_store.record_fields(warc_store.read_records(spark, folder)).collect()
+
+
 def test_hot_join_and_prefix_sums(spark):
     rows = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(-1)).otherwise(F.col("id")).alias("k"), "id")
     groups = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))

@@ -58,9 +58,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
                 F.coalesce(F.col("final") * F.col("w"), F.lit(float(CAP)) * F.col("source_size"))).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) and the columns
-    ``carry`` for every row of ``docs``."""
+def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """(doc_id, source, __llm_size, source_size, target, __llm_taken) for every row of ``docs``."""
+    return _mixed(docs, seed, ()).withColumnsRenamed({"__llm_source_size": "source_size", "__llm_target": "target"})
+
+
+def _mixed(docs: DataFrame, seed: int, carry: tuple[str, ...]) -> DataFrame:
+    """The mix with the columns ``carry`` along, and its own columns under names that no other can have."""
     text = text_of()
     sized = docs.select("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")],
                         word_count(text).cast("long").alias("__llm_size"),
@@ -70,13 +74,15 @@ def mix(docs: DataFrame, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataF
     targets = stage(source_targets(sized.select("source", F.col("__llm_size").alias("size"))), "targets")
     targets = targets.withColumnRenamed("source", "__llm_source")
     placed = prefix_sums(sized, "source", ["__llm_key", "doc_id"], "__llm_size")
+    targets = targets.withColumnsRenamed({"source_size": "__llm_source_size", "target": "__llm_target"})
     both = placed.join(targets, F.col("source").eqNullSafe(F.col("__llm_source")))
-    epochs = F.when(F.col("source_size") > 0, F.expr("cast(floor(target) as bigint) div source_size")).otherwise(F.lit(0))
-    rest = F.floor("target").cast("long") - epochs * F.col("source_size") - F.col("__llm_before")
+    epochs = F.when(F.col("__llm_source_size") > 0,
+                    F.expr("cast(floor(__llm_target) as bigint) div __llm_source_size")).otherwise(F.lit(0))
+    rest = F.floor("__llm_target").cast("long") - epochs * F.col("__llm_source_size") - F.col("__llm_before")
     size = F.col("__llm_size")
     taken = epochs * size + F.least(F.greatest(rest, F.lit(0)), size)
     return both.select("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")], size.alias("__llm_size"),
-                       "source_size", "target", taken.cast("long").alias("__llm_taken"))
+                       "__llm_source_size", "__llm_target", taken.cast("long").alias("__llm_taken"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -84,7 +90,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     document on the cut keeps as many of its first words as the budget has left.
     ``n_chars``, where there is one, follows the text.  Whole rows travel through
     the one range shuffle, so nothing is joined back."""
-    rows = mix(docs, seed, tuple(docs.columns)).where("__llm_taken > 0")
+    rows = _mixed(docs, seed, tuple(docs.columns)).where("__llm_taken > 0")
     turns = F.sequence(F.lit(0).cast("long"), F.expr("(__llm_taken - 1) div __llm_size"))
     rows = rows.withColumn("__llm_turn", F.explode(turns))
     words = F.least(F.col("__llm_size"), F.col("__llm_taken") - F.col("__llm_turn") * F.col("__llm_size"))

@@ -9,9 +9,16 @@ with a bit that nobody else set cannot have a copy and pass straight through;
 only the possibly repeated rows are shuffled by digest.
 
 The bit array has ``BITS_PER_ROW`` bits a row, in blocks of 32768 bits, so the
-share of false candidates is the same at every size.  The blocks are broadcast
-while their exact size is within ``BROADCAST_BYTES``; beyond it they are joined
-on the block number.
+share of false candidates is the same at every size.  Rows are tested as narrow facts
+(digest, row number, length): the blocks are broadcast while their exact size is within
+``BROADCAST_BYTES``; beyond it the facts are joined with them on the block number.
+
+Texts are moved by ``drop_copies`` only, and only those of which a copy may exist: the
+digests that passed both filters are counted, and those with two rows or more make a
+filter of their own, as large as there are repeated texts, for the pass over the
+documents.  Where that filter is larger than ``BROADCAST_BYTES`` the pass is made once
+for each part of it, over the documents whose block lies in the part, so that a text
+whose digest the filter does not hold is never in a shuffle, at any size.
 
 Defined results: null text is the empty text (all empty texts are copies of
 each other); of equal texts the row with the most code points stays, then the
@@ -63,15 +70,26 @@ def repeated_bits(digests: DataFrame, rows: int) -> DataFrame:
             .groupBy("__llm_block").agg(F.bitmap_construct_agg("__llm_bit").alias("__llm_bits")))
 
 
-def test_bits(rows_with_sha: DataFrame, bits: DataFrame, rows: int) -> DataFrame:
-    """Pass two: adds ``__llm_maybe``, false only where no copy can exist."""
-    if blocks_for(rows) * BLOCK_BYTES <= BROADCAST_BYTES:
-        bits = F.broadcast(bits)
+def all_bits(digests: DataFrame, rows: int) -> DataFrame:
+    """The blocks of the bit array of all bits of ``digests``."""
+    block, bit1, bit2 = _address(F.col("__llm_sha"), blocks_for(rows))
+    return (digests.select(block, F.explode(F.array(bit1, bit2)).alias("__llm_bit")).distinct()
+            .groupBy("__llm_block").agg(F.bitmap_construct_agg("__llm_bit").alias("__llm_bits")))
+
+
+def _with_bits(rows_with_sha: DataFrame, bits: DataFrame, rows: int) -> DataFrame:
+    """Adds ``__llm_maybe``: whether both bits are set in ``bits``."""
     tested = rows_with_sha.select("*", *_address(F.col("__llm_sha"), blocks_for(rows))).join(bits, "__llm_block", "left")
     maybe = F.col("__llm_bits").isNotNull() & _is_set("__llm_bits", "__llm_bit1") & _is_set("__llm_bits", "__llm_bit2")
     return tested.withColumn("__llm_maybe", maybe).drop("__llm_block", "__llm_bit1", "__llm_bit2", "__llm_bits")
 
 
+def test_bits(facts: DataFrame, bits: DataFrame, rows: int) -> DataFrame:
+    """Pass two, over narrow facts: adds ``__llm_maybe``, false only where no copy can exist."""
+    small = blocks_for(rows) * BLOCK_BYTES <= BROADCAST_BYTES
+    return _with_bits(facts, F.broadcast(bits) if small else bits, rows)
+
+
 def _order() -> Column:
     """Greatest for the row that stays (bitwise not turns an order round without overflow)."""
     return F.struct(F.col("__llm_chars"), F.col("doc_id").isNotNull(), F.bitwise_not(F.col("doc_id")),
@@ -99,16 +117,30 @@ def copy_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.  Rows without a
-    possible copy are never shuffled; of the others one row a text leaves each
-    map task."""
+    """The rows of ``docs`` that stay, with all their columns.  Only texts that may
+    have a copy are shuffled, and of these one row a text leaves each map task."""
     with_sha = docs.withColumn("__llm_sha", digest_of())
     facts = stage(with_sha.select("__llm_sha"), "digests")
     total = facts.count()
-    bits = stage(repeated_bits(facts, total), "bits")
-    tested = test_bits(with_sha, bits, total)
-    alone = tested.where("not __llm_maybe").select(*docs.columns)
-    groups = (tested.where("__llm_maybe")
-              .withColumns({"__llm_row": F.monotonically_increasing_id(), "__llm_chars": F.length(text_of())})
-              .groupBy("__llm_sha").agg(F.max_by(F.struct(*docs.columns), _order()).alias("__llm_keep")))
-    return alone.unionByName(groups.select("__llm_keep.*"))
+    maybe = test_bits(facts, stage(repeated_bits(facts, total), "bits"), total).where("__llm_maybe")
+    copied = stage(maybe.groupBy("__llm_sha").count().where("count > 1").select("__llm_sha"), "copied")
+    n_copied = copied.count()
+    bits = stage(all_bits(copied, n_copied), "copied-bits")
+    blocks = blocks_for(n_copied)
+    passes = -(-blocks // max(1, BROADCAST_BYTES // BLOCK_BYTES))
+
+    def tested(k: int) -> DataFrame:
+        part = F.col("__llm_block") % passes == k
+        mine = with_sha.where(_address(F.col("__llm_sha"), blocks)[0] % passes == k) if passes > 1 else with_sha
+        return _with_bits(mine, F.broadcast(bits.where(part)), n_copied)
+
+    kept = None
+    for k in range(passes):
+        rows = tested(k)
+        alone = rows.where("not __llm_maybe").select(*docs.columns)
+        groups = (rows.where("__llm_maybe")
+                  .withColumns({"__llm_row": F.monotonically_increasing_id(), "__llm_chars": F.length(text_of())})
+                  .groupBy("__llm_sha").agg(F.max_by(F.struct(*docs.columns), _order()).alias("__llm_keep")))
+        both = alone.unionByName(groups.select("__llm_keep.*"))
+        kept = both if kept is None else kept.unionByName(both)
+    return kept

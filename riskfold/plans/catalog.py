@@ -623,6 +623,71 @@ def model_cv_auc(spark, sf_dir):
     return spark.createDataFrame([(p["C"], m) for p, m in found], "c double, mean_roc_auc double")
 
 
+def request_verdicts(spark, sf_dir):
+    """A3 + A4: every client sends a JSON request with its application and loans.  Of each
+    fifty requests one lacks the loans, one has no application and one breaks off; they are
+    refused with a reason, the others accepted with the rows that their tables hold."""
+    requests, schemas = _requests(spark, sf_dir)
+    return sio.request_verdicts(requests, "request_id", "payload", schemas)
+
+
+def request_loans(spark, sf_dir):
+    """A3: loans of the accepted requests, counted and summed per request."""
+    requests, schemas = _requests(spark, sf_dir)
+    loans = sio.accepted_tables(requests, "request_id", "payload", schemas)["bureau"]
+    return loans.groupBy("request_id").agg(F.count(F.lit(1)).alias("loans"), F.round(F.sum("AMT_CREDIT_SUM"), 2).alias("credit"))
+
+
+def _requests(spark, sf_dir):
+    t = _tables(spark, sf_dir)
+    app, bureau = t["current_app"], t["bureau"].select("SK_ID_CURR", "SK_ID_BUREAU", "CREDIT_TYPE", "AMT_CREDIT_SUM")
+    loans = bureau.groupBy("SK_ID_CURR").agg(F.collect_list(F.struct(*bureau.columns)).alias("bureau"))
+    kind = F.col("SK_ID_CURR") % 50
+    both = app.select("SK_ID_CURR", F.array(F.struct(*app.columns)).alias("current_app")).join(loans, "SK_ID_CURR", "left")
+    none = F.array().cast(both.schema["bureau"].dataType)
+    payload = F.to_json(F.struct(F.when(kind == 1, F.slice("current_app", 1, 0)).otherwise(F.col("current_app")).alias("current_app"),
+                                 F.when(kind != 0, F.coalesce("bureau", none)).alias("bureau")))
+    text = both.select(F.col("SK_ID_CURR").alias("request_id"), payload.alias("p"), (kind == 2).alias("breaks"))
+    requests = text.select("request_id", F.when(F.col("breaks"), F.expr("left(p, length(p) - 2)")).otherwise(F.col("p")).alias("payload"))
+    return requests, {"current_app": app.schema, "bureau": bureau.schema}
+
+
+def ledger_board(spark, sf_dir):
+    """One run per market segment, logged, logged again by a retry, and corrected;
+    the board has the latest metrics, the tag and the description of every run."""
+    path = _shared_folder(spark, "segment-ledger")
+    _log_segments(spark, sf_dir, path)
+    return sio.leaderboard(spark, path, ["clients", "default_rate"], tags=["segment"], description=True)
+
+
+def ledger_best_params(spark, sf_dir):
+    """The tuned parameters of every run read back without their prefixes."""
+    path = _shared_folder(spark, "segment-ledger")
+    _log_segments(spark, sf_dir, path)
+    return sio.best_params(spark, path)
+
+
+def _log_segments(spark, sf_dir, path) -> None:
+    t = _tables(spark, sf_dir)
+    rates = (t["current_app"].join(t["client_labels"], "SK_ID_CURR").groupBy("NAME_SEGMENT")
+             .agg(F.count(F.lit(1)).alias("n"), F.avg("TARGET").alias("rate"), F.max("SK_ID_CURR").alias("top")))
+    run = F.concat(F.lit("run-"), F.lower("NAME_SEGMENT"))
+
+    def cell(kind: str, key: str, value):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(key).alias("key"), value.cast("string").alias("value"))
+
+    def cells(clients, rate):
+        return (cell("metric", "clients", clients), cell("metric", "default_rate", rate), cell("tag", "segment", F.col("NAME_SEGMENT")),
+                cell("note", "description", F.concat(F.lit("clients up to "), F.col("top").cast("string"))),
+                cell("param", "best_gs_classifier__C", F.col("n") % 7), cell("param", "kind", F.lit("x")))
+
+    def rows(*some):
+        return rates.select(run.alias("run_id"), F.explode(F.array(*some)).alias("c")).select("run_id", "c.*")
+
+    for attempt, clients in (("a", F.lit(0)), ("a", F.lit(0)), ("b", F.col("n"))):
+        sio.log_runs(rows(*cells(clients, F.col("rate"))), path, attempt)
+
+
 def encoded_nulls(spark, sf_dir):
     """I1 + I2 on columns with nulls: null is a value, so that {Y, null} gets
     codes and {high, low, null} becomes dummies."""
@@ -708,6 +773,10 @@ QUERIES.update({
     "run_leaderboard": run_leaderboard,
     "model_cv_auc": model_cv_auc,
     "encoded_nulls": encoded_nulls,
+    "request_verdicts": request_verdicts,
+    "request_loans": request_loans,
+    "ledger_board": ledger_board,
+    "ledger_best_params": ledger_best_params,
     "given_model_scores": given_model_scores,
     "given_model_global": given_model_global,
     "given_model_local": given_model_local,
@@ -726,3 +795,7 @@ ORACLE_SQL["sample_pos"] = so.sample_sql("POS_CASH_balance", RELATION_SAMPLE_FRA
 ORACLE_SQL["encoded_nulls"] = so.encoded_nulls_sql()
 ORACLE_SQL["selected_features"] = so.selected_features_sql(CORRELATION_THRESHOLD)
 ORACLE_SQL["selected_features_by_group"] = so.selected_features_by_group_sql(CORRELATION_THRESHOLD)
+ORACLE_SQL["request_verdicts"] = so.request_verdicts_sql()
+ORACLE_SQL["request_loans"] = so.request_loans_sql()
+ORACLE_SQL["ledger_board"] = so.ledger_board_sql()
+ORACLE_SQL["ledger_best_params"] = so.ledger_best_params_sql()

@@ -679,3 +679,39 @@ def given_model_sql(kind: str) -> str:
         SELECT SK_ID_CURR, feature, contribution, position, score, "group" FROM ranked JOIN ends USING (SK_ID_CURR)
         WHERE position <= 15""",
     }[kind]
+
+
+# --- requests and the run ledger ---------------------------------------------------------
+
+def request_verdicts_sql() -> str:
+    return binding_sql(ALL_BOUND) + """,
+    r AS (SELECT SK_ID_CURR AS request_id, SK_ID_CURR % 50 AS kind,
+                 (SELECT count(*) FROM bureau b WHERE b.SK_ID_CURR = a.SK_ID_CURR) AS loans FROM current_app a)
+    SELECT request_id, kind NOT IN (0, 1, 2) AS accepted,
+           CASE kind WHEN 0 THEN 'missing tables: bureau' WHEN 1 THEN 'table current_app cannot be empty'
+                     WHEN 2 THEN 'payload cannot be read' END AS reason,
+           CAST(CASE kind WHEN 2 THEN NULL WHEN 1 THEN 0 ELSE 1 END AS INTEGER) AS n_current_app,
+           CAST(CASE WHEN kind NOT IN (0, 2) THEN loans END AS INTEGER) AS n_bureau
+    FROM r"""
+
+
+def request_loans_sql() -> str:
+    return binding_sql(ALL_BOUND) + """
+    SELECT SK_ID_CURR AS request_id, count(*) AS loans, round(sum(CAST(AMT_CREDIT_SUM AS DOUBLE)), 2) AS credit
+    FROM bureau JOIN current_app USING (SK_ID_CURR) WHERE SK_ID_CURR % 50 NOT IN (0, 1, 2) GROUP BY 1"""
+
+
+def _segments() -> str:
+    return binding_sql(ALL_BOUND) + """,
+    s AS (SELECT NAME_SEGMENT AS segment, 'run-' || lower(NAME_SEGMENT) AS run_id, count(*) AS n, avg(TARGET) AS rate, max(SK_ID_CURR) AS top
+          FROM current_app JOIN client_labels USING (SK_ID_CURR) GROUP BY 1, 2)"""
+
+
+def ledger_board_sql() -> str:
+    return _segments() + """
+    SELECT run_id, CAST(n AS DOUBLE) AS clients, rate AS default_rate, segment, 'clients up to ' || top AS description FROM s"""
+
+
+def ledger_best_params_sql() -> str:
+    return _segments() + """
+    SELECT run_id, 'C' AS param, CAST(n % 7 AS VARCHAR) AS value FROM s"""

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskfold.functions.names import numeric_columns, string_columns
 from riskfold.operators.quantiles import column_moments, quantile_values
@@ -87,6 +88,33 @@ def top_values(df: DataFrame, column: str, n: int = 5) -> DataFrame:
             .orderBy(F.desc("count"), F.asc(column)).limit(n))
 
 
+def column_overview(df: DataFrame, top: int = 5, rsd: float | None = None) -> DataFrame:
+    """One row a column (D18): feature, is_text, rows, missing, n_unique and, for text columns,
+    the ``top`` most frequent values as ``value: count`` (ties: smaller value first).
+
+    Distinct values are counted exactly from (column, value) pairs, or, with ``rsd``, by
+    mergeable sketches of that relative standard deviation in the one pass that counts
+    rows (D14).  The most frequent values are cut to ``top`` a task before they are shuffled."""
+    cols, text = df.columns, string_columns(df)
+    aggs = [F.count(F.lit(1)).alias("rows")] + [F.count(F.col(f"`{c}`")).alias(f"n{k}") for k, c in enumerate(cols)]
+    if rsd is not None:
+        aggs += [F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(f"d{k}") for k, c in enumerate(cols)]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(c in text).alias("is_text"), (F.col("rows") - F.col(f"n{k}")).alias("missing"),
+                                        *([F.col(f"d{k}").alias("n_unique")] if rsd is not None else [])) for k, c in enumerate(cols)]))
+    out = df.agg(*aggs).select("rows", each.alias("c")).select("c.feature", "c.is_text", "rows", *[f"c.{n}" for n in ("missing", "n_unique")[:2 if rsd is not None else 1]])
+    if rsd is None:
+        out = out.join(distinct_counts(df, cols), "feature", "left").withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
+    if not text:
+        return out.withColumn("top_values", F.lit(None).cast("string"))
+    counts = _long(df, text, "string").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("feature").orderBy(F.desc("n"), "value")
+    best = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    said = F.transform(F.sort_array(F.collect_list(F.struct("place", F.concat("value", F.lit(": "), F.col("n").cast("string")).alias("said")))),
+                       lambda x: x["said"])
+    tops = best.groupBy("feature").agg(F.array_join(said, ", ").alias("top_values"))
+    return out.join(tops, "feature", "left").select("feature", "is_text", "rows", "missing", "n_unique", "top_values")
+
+
 def dataset_overview(df: DataFrame) -> dict[str, DataFrame]:
     """Shape, column types, missing values, numeric profile, distinct counts."""
     spark = df.sparkSession

@@ -155,6 +155,11 @@ def top_values_credit_type(spark, sf_dir):
     return pr.top_values(_tables(spark, sf_dir)["bureau"], "CREDIT_TYPE", 5)
 
 
+def application_overview(spark, sf_dir):
+    """D18 with D14 and D15: type, missing, distinct and most frequent values of every application column."""
+    return pr.column_overview(_tables(spark, sf_dir)["current_app"])
+
+
 def label_balance(spark, sf_dir):
     """Label balance."""
     return _tables(spark, sf_dir)["client_labels"].groupBy("TARGET").agg(F.count(F.lit(1)).alias("count"))
@@ -253,6 +258,7 @@ QUERIES.update({
     "numeric_profile_bureau": numeric_profile_bureau,
     "distinct_counts_application": distinct_counts_application,
     "top_values_credit_type": top_values_credit_type,
+    "application_overview": application_overview,
     "label_balance": label_balance,
     "sample_clients": sample_clients,
     "sample_bureau_balance": sample_bureau_balance,
@@ -274,6 +280,7 @@ ORACLE_SQL.update({
     "distinct_counts_application": so.distinct_counts_sql("current_app", ["NAME_SEGMENT", "NAME_NATION",
                                                                           "FLAG_HOUSEHOLD"]),
     "top_values_credit_type": so.top_values_sql("bureau", "CREDIT_TYPE", 5),
+    "application_overview": so.application_overview_sql(),
     "label_balance": so.label_balance_sql(),
     "sample_clients": so.sample_sql("current_app", RELATION_SAMPLE_FRACTION),
     "sample_bureau_balance": so.sample_sql("bureau_balance", RELATION_SAMPLE_FRACTION),

@@ -289,6 +289,20 @@ def top_values_sql(table: str, column: str, n: int) -> str:
             f"WHERE {q(column)} IS NOT NULL GROUP BY {q(column)} ORDER BY count DESC, {q(column)} LIMIT {n}")
 
 
+def application_overview_sql(top: int = 5) -> str:
+    return binding_sql(ALL_BOUND) + f""",
+    n AS (SELECT count(*) AS rows FROM current_app),
+    m AS (UNPIVOT (SELECT count(*) - count(COLUMNS(*)) FROM current_app) ON COLUMNS(*) INTO NAME feature VALUE missing),
+    l AS (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM current_app) ON COLUMNS(*) INTO NAME feature VALUE x),
+    kinds AS (UNPIVOT (SELECT typeof(COLUMNS(*)) FROM current_app LIMIT 1) ON COLUMNS(*) INTO NAME feature VALUE kind),
+    c AS (SELECT feature, x, count(*) AS k FROM l GROUP BY feature, x),
+    t AS (SELECT feature, x, k, row_number() OVER (PARTITION BY feature ORDER BY k DESC, x) AS place FROM c),
+    s AS (SELECT feature, string_agg(x || ': ' || k, ', ' ORDER BY place) AS top_values FROM t WHERE place <= {top} GROUP BY feature)
+    SELECT m.feature, kind = 'VARCHAR' AS is_text, rows, missing, (SELECT count(*) FROM c WHERE c.feature = m.feature) AS n_unique,
+           CASE WHEN kind = 'VARCHAR' THEN top_values END AS top_values
+    FROM m JOIN kinds USING (feature) LEFT JOIN s USING (feature), n"""
+
+
 def label_balance_sql() -> str:
     return binding_sql(ALL_BOUND) + "\nSELECT TARGET, count(*)::BIGINT AS count FROM client_labels GROUP BY TARGET"
 

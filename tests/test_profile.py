@@ -39,3 +39,16 @@ def test_distinct_and_top_values(spark):
     df = spark.createDataFrame([("a",), ("b",), ("a",), (None,), ("c",), ("c",), ("a",)], "x string")
     assert distinct_counts(df).first()["n_unique"] == 3
     assert [(r["x"], r["count"]) for r in top_values(df, "x", 2).collect()] == [("a", 3), ("c", 2)]
+
+
+def test_column_overview(spark):
+    from riskfold.operators.profile import column_overview
+
+    rows = [(k % 7, None if k % 3 else "ab"[k % 2], float(k)) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b string, `c d` double")
+    got = {r["feature"]: r for r in column_overview(df, 1).collect()}
+    assert [(r["rows"], r["missing"], r["n_unique"], r["top_values"]) for r in (got["a"], got["b"], got["c d"])] == [
+        (3000, 0, 7, None), (3000, 2000, 2, "a: 500"), (3000, 0, 3000, None)]
+    sketch = {r["feature"]: r["n_unique"] for r in column_overview(df, 1, rsd=0.02).collect()}
+    assert sketch["a"] == 7 and abs(sketch["c d"] - 3000) <= 3000 * 0.08  # four standard deviations
+    assert column_overview(df.limit(0)).where("rows = 0 AND n_unique = 0").count() == 3

@@ -257,3 +257,54 @@ def test_merge_never_compares_known_prefixes():
     assert merged == sorted(strings) and len(set(order)) == len(strings)
     for a, b, n in zip(merged, merged[1:], prefixes[1:]):
         assert a[:n] == b[:n] and (len(a) == n or len(b) == n or a[n] != b[n])
+
+
+def test_exact_filter_in_parts(spark, monkeypatch):
+    """A filter of many broadcast parts: the same rows, and no text is joined on a block."""
+    rng = random.Random(4)
+    texts = [prose(rng, 5) for _ in range(3000)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(10_000 + k, t + " ") for k, t in enumerate(texts[:1500])] + [(None, None), (1, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(tuple(r) for r in exact_dedup.drop_copies(docs.where("doc_id is not null")).collect())
+    monkeypatch.setattr(exact_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(exact_dedup, "BLOCK_BITS", 32768)
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", 128)  # several blocks
+    got = exact_dedup.drop_copies(docs.where("doc_id is not null"))
+    assert exact_dedup.blocks_for(1500) > 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__llm_block" not in plan and "BroadcastHashJoin" in plan
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) == 3001
+    assert exact_dedup.drop_copies(docs).count() == 3001
+
+
+def test_minhash_kept_is_the_component(spark):
+    """Of rows that share an id, all or none are kept in the report."""
+    text = prose(random.Random(8), 100)
+    docs = spark.createDataFrame([(1, text), (1, text + " tail"), (2, text + " end"), (None, None)], "doc_id long, text string")
+    got = minhash_dedup.near_duplicates(docs, 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got if r["doc_id"]) == [(1, 1, True), (1, 1, True), (2, 1, False)]
+
+
+def test_minhash_copies_of_one_text(spark):
+    """Copies with few to many changes: some linked, some near them but below the threshold."""
+    rng = random.Random(12)
+    base = prose(rng, 60).split()
+    texts = []
+    for _ in range(250):
+        words = base[:]
+        for k in rng.sample(range(len(words)), rng.choice([1, 2, 3, 4, 5, 6, 9])):
+            words[k] = "".join(rng.choice("xyz") for _ in range(8))
+        texts.append(" ".join(words))
+    sets = [set(minhash_dedup.shingle_set(t, 3).tolist()) for t in texts]
+    label = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j in range(i):
+                if label[i] != label[j] and 100 * len(a & sets[j]) >= 85 * len(a | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+                    changed = True
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == dict(enumerate(label)) and 1 < len(set(label)) < 250

@@ -22,6 +22,7 @@ ids are encoded row by row; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
@@ -162,10 +163,19 @@ class Encoder:
         numbers, ids, raw = zip(*map(self.words.__getitem__, pieces))
         return sum(numbers), " ".join(ids), b"".join(raw)
 
+    def encode_whole(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
+        """As ``encode``, for any pattern: every text is matched whole."""
+        if len(self.words) > CACHE:
+            self.old_words, self.words = self.words, {}
+        for text in texts:
+            pieces = self.find(text)
+            self.learn(set(pieces) - self.words.keys())
+            yield self._put(pieces)
+
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, bytes]]:
         """(number of ids, the ids in decimal joined by spaces, decoded bytes) of each text.
 
-        A text is cut before its spaces.  A match of the pattern never spans such
+        Only for patterns that allow it, a text is cut before its spaces.  A match of the pattern never spans such
         a cut when the characters on both sides of the space are no white space,
         so equal parts have equal matches; texts with other cuts are matched
         whole."""
@@ -196,14 +206,22 @@ class Encoder:
                 yield sum(numbers), " ".join(ids), b"".join(raw)
 
 
-_ENCODERS: dict[str, Encoder] = {}  # one per worker process and vocabulary
+_ENCODERS: dict[tuple[str, str], Encoder] = {}  # one per worker process and vocabulary
+
+
+def ranks_digest(ranks: dict[bytes, int]) -> str:
+    """A digest of the whole vocabulary."""
+    whole = hashlib.sha256()
+    for token, rank in sorted(ranks.items()):
+        whole.update(f"{rank} {len(token)} ".encode() + token)
+    return whole.hexdigest()
 
 
-def _encoder(ranks, pattern: str) -> Encoder:
-    key = hashlib.sha1(repr((len(ranks.value), pattern, sorted(ranks.value.items())[:50])).encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(ranks.value, pattern)
-    return _ENCODERS[key]
+def _encoder(name: str, ranks, pattern: str) -> Encoder:
+    """This worker's encoder of the vocabulary called ``name``."""
+    if (name, pattern) not in _ENCODERS:
+        _ENCODERS[name, pattern] = Encoder(ranks.value, pattern)
+    return _ENCODERS[name, pattern]
 
 
 def blocks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -218,23 +236,36 @@ def blocks(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
         yield ids[start:], texts[start:]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False,
+                     cut_at_spaces: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for every row.
     ``vocabulary``: path of a rank file on the driver; ``with_ids`` adds the ids
-    themselves, as decimals joined by spaces."""
+    themselves, as decimals joined by spaces.  ``cut_at_spaces``: true for patterns no
+    match of which spans the place before a space between two characters that are not
+    white space (as in the public vocabularies here); it saves matching, not more."""
     import pyarrow as pa
 
     spark = docs.sparkSession
     ship_package(spark)
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
+    read = read_ranks(vocabulary)
+    name, ranks = ranks_digest(read), spark.sparkContext.broadcast(read)
     sha = hashlib.sha256
 
     def run(batches):
-        encoder = _encoder(ranks, pattern)
+        encoder = _encoder(name, ranks, pattern)
+        encode = encoder.encode if cut_at_spaces else encoder.encode_whole
+        gc.disable()  # the words and parts hold no cycles, and there are millions for a collector to walk
+        try:
+            yield from encoded(encode, batches)
+        finally:
+            gc.enable()
+            encoder.forget()
+
+    def encoded(encode, batches):
         for batch in batches:
             for ids, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out = {"doc_id": ids, "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}
-                for n, text_ids, decoded in encoder.encode(texts):
+                for n, text_ids, decoded in encode(texts):
                     out["n_tokens"].append(n)
                     out["ids_sha256"].append(sha(text_ids.encode()).hexdigest())
                     out["decoded_sha256"].append(sha(decoded).hexdigest())
@@ -244,7 +275,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, with_ids: b
                     del out["ids"]
                 types = {"doc_id": pa.int64(), "n_tokens": pa.int64()}
                 yield pa.record_batch([pa.array(v, types.get(k, pa.string())) for k, v in out.items()], list(out))
-        encoder.forget()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string" * with_ids
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

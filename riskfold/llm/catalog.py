@@ -63,7 +63,8 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return bpe.encode_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
-                                public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+                                public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                cut_at_spaces=True)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -261,3 +261,36 @@ def test_bpe_small_chunks_and_caches(tokens, monkeypatch):
         for text, (n, ids, raw) in zip(block, encoder.encode(block)):
             want = library.encode_ordinary(text)
             assert (n, ids, raw) == (len(want), " ".join(map(str, want)), text.encode())
+
+
+def test_two_vocabularies_of_one_size(spark, tmp_path):
+    """The encoder of a worker is that of the whole vocabulary, not of its size."""
+    import base64
+
+    def write(name, last):
+        tokens = [bytes([b]) for b in range(256)] + [b"ab", last]
+        path = tmp_path / name
+        path.write_text("".join(f"{base64.b64encode(t).decode()} {k}\n" for k, t in enumerate(tokens)))
+        return str(path)
+
+    docs = spark.createDataFrame([(1, "abc bcd")], "doc_id long, text string")
+    ids = [bpe.encode_documents(docs, write(n, t), r"\S+|\s+", with_ids=True).first()["ids"] for n, t in (("one", b"abc"), ("two", b"bcd"))]
+    assert ids == ["257 32 98 99 100", "256 99 32 257"]
+
+
+def test_patterns_are_matched_whole(spark, tmp_path):
+    """A pattern whose matches span spaces."""
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"b ", b"b c"]
+    path = tmp_path / "spaces"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {k}\n" for k, t in enumerate(tokens)))
+    docs = spark.createDataFrame([(1, "ab c")], "doc_id long, text string")
+    assert bpe.encode_documents(docs, str(path), r"(?s).+", with_ids=True).first()["ids"] == "97 257"
+
+
+def test_mix_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "en", "word " * (k + 1), "t", 5, 7) for k in range(20)],
+                                 "doc_id long, source string, text string, target string, source_size int, size int")
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns and {(r["target"], r["source_size"], r["size"]) for r in got.collect()} == {("t", 5, 7)}

@@ -40,7 +40,8 @@ def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's number of ids and digests of its ids and of its decoded text."""
     import public_tokenizers
 
-    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN,
+                                cut_at_spaces=True)
 
 
 STAGES = [

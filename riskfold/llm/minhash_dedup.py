@@ -283,8 +283,9 @@ def _judged(rows: DataFrame, words: int, percent: int) -> DataFrame:
     named = divided(labelled(members.drop("hub"), labels), "open-members")
     if not named.isEmpty():
         private = stage(verifier.private_shingles(named.select("node").distinct()), "private")
+        # the other set of a link holds what both share, and may hold no more than that
         able = (named.select("key", "node", "size", "n").join(private, "node").withColumn("most", F.col("size") - F.col("private"))
-                .where(enough(F.col("most"), F.col("size"), F.col("size"))))
+                .where(100 * F.col("most") >= percent * F.col("size")))
         able = stage(able, "able")
         named = divided(labelled(able, labels), "able-members")
         one = F.struct("node", "label", "size", "most")

@@ -308,3 +308,22 @@ def test_minhash_copies_of_one_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, 3, 85).collect()}
     assert got == dict(enumerate(label)) and 1 < len(set(label)) < 250
+
+
+def test_minhash_subset_of_a_longer_text(spark):
+    """A text and one that only adds words to it: they are linked, though the longer one shares no more than
+    the 85 % that it must, and their buckets are full of texts that are close to both but linked with neither."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(402)]
+    texts = [" ".join(base + [f"x{k}" for k in range(70)]), " ".join(base)]  # 400 of 470 shingles: 85.1 %
+    for n in range(150):
+        copy = list(base)
+        for k in rng.sample(range(1, len(copy) - 1), 31):
+            copy[k] = f"y{n}-{k}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[k:k + 3]) for k in range(len(w) - 2)} for w in map(str.split, texts)]
+    assert 100 * len(sets[0] & sets[1]) >= 85 * len(sets[0] | sets[1])
+    assert not any(100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) for a in range(152) for b in range(max(2, a + 1), 152))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, 3, 85).collect()}
+    assert got == {k: 0 if k < 2 else k for k in range(152)}

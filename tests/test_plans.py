@@ -116,3 +116,15 @@ def test_fused_imputer_scaler_equals_two_pass(spark):
         assert abs(imp.values[c] - imp2.values[c]) < 1e-12
         assert abs((sc.means[c] or 0) - (sc2.means[c] or 0)) < 1e-9
         assert abs(sc.stds[c] - sc2.stds[c]) < 1e-9
+
+
+def test_labelled_features_lie_stored(spark):
+    """Jobs over the labelled feature table only scan: no join, and no exchange of the wide rows in every pass."""
+    from riskfold.plans import catalog
+    data, feats = catalog._labelled(spark, SF_SMALL), catalog.feature_table(spark, SF_SMALL)
+    plan = data._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    labels = catalog._tables(spark, SF_SMALL)["client_labels"]
+    assert data.columns == [*feats.columns, "TARGET", "split"]
+    got = {(r["SK_ID_CURR"], r["TARGET"]) for r in data.select("SK_ID_CURR", "TARGET").collect()}
+    assert got == {tuple(r) for r in labels.select("SK_ID_CURR", "TARGET").collect()} and len(got) == data.count() == feats.count()

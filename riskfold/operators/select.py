@@ -20,9 +20,10 @@ from riskfold.session import cut_lineage
 
 
 def _long(df: DataFrame, features: list[str], extra: list[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                                for c in features]))
-    return (df.select(*extra, pairs.alias("p")).select(*extra, "p.feature", "p.x")
+    """extra..., the number f of the feature, and x of every cell with a value."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(c).cast("double").alias("x"))
+                                for f, c in enumerate(features)]))
+    return (df.select(*extra, pairs.alias("p")).select(*extra, "p.f", "p.x")
             .where(F.col("x").isNotNull()))
 
 
@@ -41,9 +42,9 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     moments.  The rank of the target has two values, which follow from the class
     counts.  Nothing is joined back to the rows, so no key holds many of them."""
     long = _long(df.where(F.col(target).isNotNull()), features, [target])
-    counts = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n1"))
-    ranked = prefix_counts(counts, ["feature"], "x", ["n"]).withColumn("r", F.col("n_before") + (F.col("n") + 1) / 2.0)
-    sums = ranked.groupBy("feature").agg(
+    counts = long.groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n1"))
+    ranked = prefix_counts(counts, ["f"], "x", ["n"]).withColumn("r", F.col("n_before") + (F.col("n") + 1) / 2.0)
+    sums = ranked.groupBy("f").agg(
         F.sum("n").cast("double").alias("n"), F.sum("n1").cast("double").alias("n1"),
         F.sum(F.col("n") * F.col("r")).alias("s"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("ss"),
         F.sum(F.col("n1") * F.col("r")).alias("s1"))
@@ -52,7 +53,8 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     # the rank of the target is a line in the target: its slope cancels out
     spread = (F.col("ss") / n - (F.col("s") / n) * (F.col("s") / n)) * share * (1 - share)
     rho = F.when(spread > 0, (F.col("s1") / n - (F.col("s") / n) * share) / F.sqrt(spread))
-    return sums.select("feature", rho.alias("rho")).withColumn("abs_rho", F.abs("rho"))
+    names = F.array(*[F.lit(c) for c in features])
+    return sums.select(F.get(names, F.col("f")).alias("feature"), rho.alias("rho")).withColumn("abs_rho", F.abs("rho"))
 
 
 def correlated_pairs(corr: DataFrame, threshold: float = CORRELATION_THRESHOLD) -> DataFrame:

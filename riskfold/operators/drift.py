@@ -9,17 +9,14 @@ each and only (feature, bin) counts are aggregated.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskfold.operators.profile import exact_quantile_table
-
-
-def _long(df: DataFrame, features: list[str]) -> DataFrame:
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x"))
-                                for c in features]))
-    return df.select(pairs.alias("p")).select("p.feature", "p.x")
+from riskfold.operators.quantiles import as_array
+from riskfold.session import ship_package
 
 
 def bin_edges(reference: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
@@ -29,11 +26,40 @@ def bin_edges(reference: DataFrame, features: list[str], bins: int = 10) -> Data
     return table.groupBy("feature").agg(F.array_sort(F.array_distinct(F.collect_list("quantile"))).alias("edges"))
 
 
-def _binned_shares(df: DataFrame, features: list[str], edges: DataFrame, side: str) -> DataFrame:
-    long = _long(df, features).join(F.broadcast(edges), "feature", "left")
-    binned = long.withColumn("bin", F.when(F.col("x").isNotNull(),
-                                           F.size(F.filter("edges", lambda e: F.col("x") > e))))
-    counts = binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+def _bin_counts(df: DataFrame, features: list[str], edges: dict[str, list[float]]) -> DataFrame:
+    """(f, bin, n): the rows of feature number f by how many of its edges lie below the value,
+    counted inside the tasks; bin is null where there is no value, or no edge to compare with."""
+    import pyarrow as pa
+
+    ship_package(df.sparkSession)
+    cuts = [np.array(edges[c], np.float64) if c in edges else None for c in features]
+
+    def run(batches):
+        held = [np.zeros(2 + (0 if e is None else len(e)), np.int64) for e in cuts]  # the first: no bin
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(0).flatten()
+            there = flat.is_valid().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(features))
+            values = flat.fill_null(0.0).to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(features))
+            for f, e in enumerate(cuts):
+                known = there[:, f]
+                if e is None:
+                    held[f][0] += batch.num_rows
+                    continue
+                held[f][0] += batch.num_rows - np.count_nonzero(known)
+                held[f][1:] += np.bincount(np.searchsorted(e, values[known, f], side="left"), minlength=len(e) + 1)
+        for f, counts in enumerate(held):
+            at = np.flatnonzero(counts)
+            yield pa.record_batch([pa.array(np.full(len(at), f, np.int32)), pa.array([k - 1 if k else None for k in at.tolist()], pa.int32()),
+                                   pa.array(counts[at])], ["f", "bin", "n"])
+
+    return df.select(as_array(features)).mapInArrow(run, "f int, bin int, n long").groupBy("f", "bin").agg(F.sum("n").alias("n"))
+
+
+def _binned_shares(df: DataFrame, features: list[str], edges: dict[str, list[float]], side: str) -> DataFrame:
+    names = F.array(*[F.lit(c) for c in features])
+    counts = _bin_counts(df, features, edges).withColumn("feature", F.get(names, F.col("f")))
     # totals from the counts: one row a bin, the null bin among them
     every = Window.partitionBy("feature")
     rows, there = F.sum("n").over(every), F.sum(F.when(F.col("bin").isNotNull(), F.col("n"))).over(every)
@@ -44,7 +70,8 @@ def _binned_shares(df: DataFrame, features: list[str], edges: DataFrame, side: s
 def psi_drift(reference: DataFrame, current: DataFrame, features: list[str], bins: int = 10,
               eps: float = 1e-4) -> DataFrame:
     """feature, psi, null_rate_reference, null_rate_current, null_rate_diff."""
-    edges = bin_edges(reference, features, bins)
+    # at most bins - 1 edges a feature
+    edges = {r["feature"]: r["edges"] for r in bin_edges(reference, features, bins).collect()}
     ref = _binned_shares(reference, features, edges, "reference")
     cur = _binned_shares(current, features, edges, "current")
     both = ref.join(cur, ["feature", "bin"], "full")

@@ -60,37 +60,76 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """(doc_id, source, __llm_size, source_size, target, __llm_taken) for every row of ``docs``."""
-    return _mixed(docs, seed, ()).withColumnsRenamed({"__llm_source_size": "source_size", "__llm_target": "target"})
-
-
-def _mixed(docs: DataFrame, seed: int, carry: tuple[str, ...]) -> DataFrame:
-    """The mix with the columns ``carry`` along, and its own columns under names that no other can have."""
-    text = text_of()
-    sized = docs.select("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")],
-                        word_count(text).cast("long").alias("__llm_size"),
-                        F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(text)).alias("__llm_key"))
-    if not carry:
-        sized = stage(sized, "sizes")
+    sized = stage(_sized(docs, seed), "sizes")
     targets = stage(source_targets(sized.select("source", F.col("__llm_size").alias("size"))), "targets")
-    targets = targets.withColumnRenamed("source", "__llm_source")
+    targets = targets.withColumnsRenamed({"source": "__llm_source", "source_size": "__llm_source_size", "target": "__llm_target"})
     placed = prefix_sums(sized, "source", ["__llm_key", "doc_id"], "__llm_size")
-    targets = targets.withColumnsRenamed({"source_size": "__llm_source_size", "target": "__llm_target"})
     both = placed.join(targets, F.col("source").eqNullSafe(F.col("__llm_source")))
-    epochs = F.when(F.col("__llm_source_size") > 0,
-                    F.expr("cast(floor(__llm_target) as bigint) div __llm_source_size")).otherwise(F.lit(0))
-    rest = F.floor("__llm_target").cast("long") - epochs * F.col("__llm_source_size") - F.col("__llm_before")
     size = F.col("__llm_size")
-    taken = epochs * size + F.least(F.greatest(rest, F.lit(0)), size)
-    return both.select("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")], size.alias("__llm_size"),
-                       "__llm_source_size", "__llm_target", taken.cast("long").alias("__llm_taken"))
+    taken = _epochs() * size + F.least(F.greatest(_rest() - F.col("__llm_before"), F.lit(0)), size)
+    return both.select("doc_id", "source", size.alias("__llm_size"), F.col("__llm_source_size").alias("source_size"),
+                       F.col("__llm_target").alias("target"), taken.cast("long").alias("__llm_taken"))
+
+
+def _cuts(docs: DataFrame, seed: int) -> DataFrame:
+    """(__llm_source, __llm_source_size, __llm_target, __llm_epochs, __llm_cut, __llm_given) per
+    source: every document is taken whole ``epochs`` times, and once more where its (__llm_key,
+    doc_id) is before ``cut``, which gives ``given`` words; the rows at the cut itself share what
+    is left.  Only keys and sizes are sorted, no text."""
+    sized = stage(_sized(docs, seed), "sizes")
+    targets = stage(source_targets(sized.select("source", F.col("__llm_size").alias("size"))), "targets")
+    targets = targets.select(F.col("source").alias("__llm_source"), F.col("source_size").alias("__llm_source_size"),
+                             F.col("target").alias("__llm_target"))
+    placed = prefix_sums(sized, "source", ["__llm_key", "doc_id"], "__llm_size")
+    beyond = (placed.join(F.broadcast(targets), F.col("source").eqNullSafe(F.col("__llm_source")))  # one row a source
+              .where(F.col("__llm_before") + F.col("__llm_size") > _rest())
+              .groupBy(F.col("source").alias("__llm_s")).agg(F.min(F.struct("__llm_key", "doc_id")).alias("__llm_at")))
+    cuts = (targets.join(beyond, F.col("__llm_source").eqNullSafe(F.col("__llm_s")), "left")
+            .select("__llm_source", "__llm_source_size", "__llm_target", _epochs().alias("__llm_epochs"),
+                    F.when(F.col("__llm_at").isNotNull(), F.struct("__llm_at.__llm_key", "__llm_at.doc_id")).alias("__llm_cut")))
+    cuts = stage(cuts, "cuts")
+    before = F.struct("__llm_key", "doc_id") < F.col("__llm_cut")
+    given = (sized.join(F.broadcast(cuts), F.col("source").eqNullSafe(F.col("__llm_source"))).where(before)
+             .groupBy(F.col("source").alias("__llm_s")).agg(F.sum("__llm_size").alias("__llm_given")))
+    return stage(cuts.join(given, F.col("__llm_source").eqNullSafe(F.col("__llm_s")), "left")
+                 .withColumn("__llm_given", F.coalesce("__llm_given", F.lit(0))).drop("__llm_s"), "given")
+
+
+def _sized(docs: DataFrame, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    text = text_of()
+    return docs.select("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")],
+                       word_count(text).cast("long").alias("__llm_size"),
+                       F.xxhash64(F.lit(seed), "doc_id", F.xxhash64(text)).alias("__llm_key"))
+
+
+def _epochs():
+    return F.when(F.col("__llm_source_size") > 0,
+                  F.expr("cast(floor(__llm_target) as bigint) div __llm_source_size")).otherwise(F.lit(0).cast("long"))
+
+
+def _rest():
+    """Words of a source that are taken beyond its whole epochs."""
+    return F.floor("__llm_target").cast("long") - _epochs() * F.col("__llm_source_size")
 
 
 def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: one row per repetition; the
     document on the cut keeps as many of its first words as the budget has left.
-    ``n_chars``, where there is one, follows the text.  Whole rows travel through
-    the one range shuffle, so nothing is joined back."""
-    rows = _mixed(docs, seed, tuple(docs.columns)).where("__llm_taken > 0")
+    ``n_chars``, where there is one, follows the text.  What a row gives follows from its
+    source's cut, so texts stay where they are; only the rows at a cut (one document a
+    source, and rows that repeat it) are sorted whole."""
+    cuts = F.broadcast(_cuts(docs, seed))  # one row a source
+    known = _sized(docs, seed, tuple(docs.columns)).join(cuts, F.col("source").eqNullSafe(F.col("__llm_source")))
+    here = F.struct("__llm_key", "doc_id")
+    size, epochs = F.col("__llm_size"), F.col("__llm_epochs")
+    at_cut = F.coalesce(here.eqNullSafe(F.col("__llm_cut")), F.lit(False))
+    taken = epochs * size + F.when(here < F.col("__llm_cut"), size).otherwise(F.lit(0))
+    off = known.where(~at_cut).withColumn("__llm_taken", taken)
+    on = prefix_sums(known.where(at_cut).drop("__llm_cut"), "source", ["__llm_key", "doc_id"], "__llm_size")
+    more = _rest() - F.col("__llm_given") - F.col("__llm_before")
+    on = on.withColumn("__llm_taken", epochs * size + F.least(F.greatest(more, F.lit(0)), size))
+    names = [*docs.columns, "__llm_size", "__llm_taken"]
+    rows = off.select(*names).unionByName(on.select(*names)).where("__llm_taken > 0")
     turns = F.sequence(F.lit(0).cast("long"), F.expr("(__llm_taken - 1) div __llm_size"))
     rows = rows.withColumn("__llm_turn", F.explode(turns))
     words = F.least(F.col("__llm_size"), F.col("__llm_taken") - F.col("__llm_turn") * F.col("__llm_size"))

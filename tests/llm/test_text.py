@@ -294,3 +294,19 @@ def test_mix_with_clashing_columns(spark):
                                  "doc_id long, source string, text string, target string, source_size int, size int")
     got = mixing.mixed_documents(docs)
     assert got.columns == docs.columns and {(r["target"], r["source_size"], r["size"]) for r in got.collect()} == {("t", 5, 7)}
+
+
+def test_mix_leaves_texts_where_they_are(spark):
+    """Rows of the mix equal what ``mix`` says of each document, ties at the cut included, and no text is shuffled
+    but at the cut."""
+    docs = spark.createDataFrame([(k % 7 if s == "a" else k, s, f"w{k % 7 if s == 'a' else k} " * 5, k)
+                                  for k in range(90) for s in ("a", "b", None)], "doc_id long, source string, text string, n long").repartition(5)
+    taken, words = {}, {}
+    for r in mixing.mix(docs).collect():
+        taken[r["source"], r["doc_id"]] = taken.get((r["source"], r["doc_id"]), 0) + r["__llm_taken"]
+    out = mixing.mixed_documents(docs)
+    for r in out.collect():
+        words[r["source"], r["doc_id"]] = words.get((r["source"], r["doc_id"]), 0) + len(r["text"].split())
+    assert words == {k: v for k, v in taken.items() if v} and sum(words.values()) == 90 * 3 * 5 * 3 // 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and "RepartitionByExpression" not in plan

@@ -49,3 +49,19 @@ def test_hot_loan_block(spark):
     assert got["DPD_FLAG"] == int((~hot.STATUS.isin(["C", "X", "0"])).sum())
     last = hot[hot.MONTHS_BALANCE == hot.MONTHS_BALANCE.max()].STATUS.max()
     assert got["STATUS"] == last
+
+
+def test_wide_roll_ups_move_narrow_rows(spark):
+    """Loans of a client lie anywhere: they come together as rows before the wide buffers are made, and a hot
+    client still combines to a buffer a partition."""
+    sl, _, loans, _ = _skewed(spark)
+    bureau = sl.selectExpr("*", "'F' AS CREDIT_ACTIVE", "'1-URGENT' AS CREDIT_TYPE")
+    out = fp.client_history(bureau, "h", {"CREDIT_ACTIVE": ["F", "O"]})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_") < plan.index("REBALANCE_PARTITIONS_BY_COL")  # the printed plan starts at its end
+    assert "avg(" not in plan
+    got = out.toPandas().set_index("SK_ID_CURR").sort_index()
+    ref = loans.groupby("SK_ID_CURR")["AMT_CREDIT_SUM"].agg(["count", "mean", "max", "min", "sum"])
+    for stat in ref.columns:
+        assert np.allclose(got[f"h_AMT_CREDIT_SUM_{stat}"], ref[stat])
+    assert (got["h_CREDIT_ACTIVE_F_count"] == ref["count"]).all() and (got["h_CREDIT_ACTIVE_F_count_norm"] == 1).all()

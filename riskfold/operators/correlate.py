@@ -2,10 +2,11 @@
 
 Spearman correlation over the pairwise-complete rows, for hundreds of features:
 
-1. Every feature is ranked once over its own rows (``ranked_cells``).
-2. One pass over the rows' rank vectors adds up, for all pairs at once, the moments of
+1. Every feature is ranked once over its own rows: blocks of rows exchange their distinct
+   values for ranks (:mod:`riskfold.operators.runs`), no cell moves as a row.
+2. One pass over the blocks' rank matrices adds up, for all pairs at once, the moments of
    the two ranks over the rows that have both (``_moments``): a product of matrices a
-   batch, summed by blocks of features.
+   block, summed by blocks of features.
 3. Where two features are null in the same rows, that is the correlation.  Elsewhere the
    ranks among the common rows S differ from the own ranks r by at most the k rows that
    S lacks, so the centred rank vectors lie within an angle of ``asin(k / 2 * sqrt(|S|) / |r|)``
@@ -24,103 +25,89 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskfold.operators.rank import prefix_counts
-from riskfold.operators.select import null_pattern_groups
+from riskfold.operators.runs import BLOCKS, RunTotals, blocks, column_run, pieces, ranges, run_ranks
 from riskfold.session import cut_lineage, ship_package
 
-HOT = 100  # a value is hot when one in so many rows has it
 BLOCK = 64
-PARTS_ROWS = 20_000
-
-
-def ranked_cells(df: DataFrame, key: str, features: list[str], sets: list[tuple[list[int], object]], total: int) -> DataFrame:
-    """(set, key, ranks): per set of rows and row, the (feature, rank) of its features; ranks
-    are average ranks inside the set, less their mean.
-
-    ``sets``: (feature numbers, condition of the rows or None for the rows that have a value)."""
-    cells = []
-    for s, (members, rows) in enumerate(sets):
-        for f in members:
-            there = F.col(features[f]).isNotNull() if rows is None else rows
-            cells.append(F.when(there, F.struct(F.lit(s).alias("set"), F.lit(f).alias("f"), F.col(features[f]).cast("double").alias("x"))))
-    long = (df.select(F.col(key).alias("row"), F.explode(F.array(*cells)).alias("c")).where(F.col("c").isNotNull())
-            .select("row", "c.set", "c.f", "c.x"))
-    counts = long.groupBy("set", "f", "x").agg(F.count(F.lit(1)).alias("n"))
-    before = cut_lineage(prefix_counts(counts, ["set", "f"], "x", ["n"]))
-    sizes = before.groupBy("set", "f").agg(F.sum("n").alias("size"))  # one row a feature and set
-    ranks = (before.join(F.broadcast(sizes), ["set", "f"])
-             .select("set", "f", "x", "n", (F.col("n_before") + (F.col("n") - F.col("size")) / 2.0).alias("r")))
-    hot = ranks.where(F.col("n") * HOT >= total).drop("n")  # at most HOT a feature and set
-    cold = ranks.where(F.col("n") * HOT < total).drop("n")
-    on = ["set", "f", "x"]
-    rest = long.join(F.broadcast(hot.select(*on)), on, "left_anti")
-    ranked = long.join(F.broadcast(hot), on).unionByName(rest.join(cold, on))
-    return ranked.groupBy("set", "row").agg(F.collect_list(F.struct("f", "r")).alias("ranks"))
-
-
-def _moments(cells: DataFrame, sets: list[list[int]], parts: int) -> DataFrame:
-    """(set, block, sums): for the features i of a block and all j of a set, over the rows
-    that have both: rows, sum r_i, sum r_j, sum r_i^2, sum r_j^2, sum r_i r_j."""
+
+
+def _moments(records: DataFrame, sets: list[list[int]], edges: dict, totals: RunTotals) -> DataFrame:
+    """(set, lo, sums): for the features i from ``lo`` and all j of a set, over the rows that
+    have both: rows, sum r_i, sum r_j, sum r_i^2, sum r_j^2, sum r_i r_j; r are average ranks
+    inside the set, less their mean.  Every task sends its sums."""
     import pyarrow as pa
 
-    places = [np.full(max(m, default=0) + 1, -1, np.int64) for m in sets]
-    for place, members in zip(places, sets):
-        place[members] = np.arange(len(members))
+    places = [{f: k for k, f in enumerate(members)} for members in sets]
 
     def add_up(batches):
         held: dict[int, np.ndarray] = {}
+        now, codes, ranks = None, {}, {}
+
+        def add():
+            s, own = now[0], places[now[0]]
+            matrix = np.zeros((len(next(iter(codes.values()))), len(own)))
+            has = np.zeros_like(matrix)
+            for f, code in codes.items():
+                there = code > 0
+                if there.any():
+                    matrix[there, own[f]] = np.concatenate(ranks[f])[code[there] - 1]
+                    has[there, own[f]] = 1.0
+            square = matrix * matrix
+            a, b = matrix.T @ has, square.T @ has
+            part = np.stack([has.T @ has, a, a.T, b, b.T, matrix.T @ matrix])
+            held[s] = held[s] + part if s in held else part
+
         for batch in batches:
-            of_set = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            starts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-            flat = lists.flatten()
-            f, r = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            row = np.repeat(np.arange(len(of_set)), np.diff(starts))
-            for s in np.unique(of_set):
-                mine = np.flatnonzero(of_set == s)
-                cell = of_set[row] == s
-                at, col = np.searchsorted(mine, row[cell]), places[s][f[cell]]
-                ranks = np.zeros((len(mine), len(sets[s])))
-                has = np.zeros_like(ranks)
-                ranks[at, col], has[at, col] = r[cell], 1.0
-                square = ranks * ranks
-                a, b = ranks.T @ has, square.T @ has
-                part = np.stack([has.T @ has, a, a.T, b, b.T, ranks.T @ ranks])
-                held[s] = held[s] + part if s in held else part
+            for s, block, f, at, data in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4)):
+                if (s, block) != now:
+                    if now is not None:
+                        add()
+                    now, codes, ranks = (s, block), {}, {}
+                if at < 0:
+                    codes[f] = np.frombuffer(data.as_py(), np.uint16).astype(np.int64)
+                else:
+                    shift = totals.before[s, f, at] - (totals.sizes[s, f] + 1) / 2.0
+                    ranks.setdefault(f, []).append(np.frombuffer(data.as_py(), np.int64) / 2.0 + shift)
+        if now is not None:
+            add()
         for s, sums in held.items():
-            blocks = range(0, len(sets[s]), BLOCK)
-            yield pa.record_batch([pa.array([s] * len(blocks), pa.int32()), pa.array(list(blocks), pa.int32()),
-                                   pa.array([np.ascontiguousarray(sums[:, lo:lo + BLOCK]).tobytes() for lo in blocks], pa.binary())],
-                                  ["set", "block", "sums"])
+            los = range(0, len(sets[s]), BLOCK)
+            yield pa.record_batch([pa.array([s] * len(los), pa.int32()), pa.array(list(los), pa.int32()),
+                                   pa.array([np.ascontiguousarray(sums[:, lo:lo + BLOCK]).tobytes() for lo in los], pa.binary())],
+                                  ["set", "lo", "sums"])
 
-    shuffled = cells.select("set", "ranks").coalesce(parts).mapInArrow(add_up, "set int, block int, sums binary")
-    wanted = min(sum(-(-len(m) // BLOCK) for m in sets), int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return shuffled.repartition(max(1, wanted), "set", "block").sortWithinPartitions("set", "block")
+    codes = records.select("set", "block", "f", F.lit(-1).alias("range"), F.col("codes").alias("data"))
+    met = codes.unionByName(run_ranks(pieces(records, edges))).repartition("set", "block").sortWithinPartitions("set", "block", "f", "range")
+    return met.mapInArrow(add_up, "set int, lo int, sums binary")
 
 
-def _pairs(moments: DataFrame, sets: list[list[int]], threshold: float) -> DataFrame:
+def _pairs(records: DataFrame, sets: list[list[int]], rows: int, threshold: float) -> DataFrame:
     """(set, i, j, rho, settled) of the pairs i < j of every set that may reach the threshold;
-    rho is exact where settled."""
+    rho is exact where settled.  Where settled is null, j is the first feature that has the
+    same rows as i."""
     import pyarrow as pa
 
-    def judge(s: int, block: int, sums: np.ndarray):
+    edges = ranges(records, rows)
+    totals = RunTotals.of(pieces(records, edges))
+    sizes = [np.array([totals.sizes.get((s, f), 0) for f in members], float) for s, members in enumerate(sets)]
+
+    def judge(s: int, lo: int, sums: np.ndarray):
         members = np.array(sets[s])
         n, si, sj, sii, sjj, sij = sums.reshape(6, -1, len(members))
-        i, j = members[block:block + len(n), None], members[None, :]
-        own = np.diagonal(n, offset=block) if block < len(members) else np.zeros(0)
+        i, j = members[lo:lo + len(n), None], members[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             vi, vj = sii - si * si / n, sjj - sj * sj / n
             flat = (vi <= 1e-9 * np.maximum(sii, 1)) | (vj <= 1e-9 * np.maximum(sjj, 1))
             rho = np.where(flat | (n < 2), np.nan, (sij - si * sj / n) / np.sqrt(vi * vj))
-            lacks_i = own[:, None] - n
+            lacks_i = sizes[s][lo:lo + len(n), None] - n
             return n, i, j, vi, vj, rho, lacks_i
 
     def run(batches):
         now, total = None, None
 
         def found():
-            s, block = now
-            n, i, j, vi, vj, rho, lacks_i = judge(s, block, total)
+            s, lo = now
+            n, i, j, vi, vj, rho, lacks_i = judge(s, lo, total)
             lacks_j = sizes[s][None, :] - n
             settled = (lacks_i == 0) & (lacks_j == 0)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -130,67 +117,80 @@ def _pairs(moments: DataFrame, sets: list[list[int]], threshold: float) -> DataF
             most = np.cos(np.maximum(0.0, angle - wide[0] - wide[1]))
             keep = (i < j) & (n >= 2) & np.where(settled, np.abs(np.nan_to_num(rho)) > threshold, most > threshold)
             a, b = np.nonzero(keep)
-            return pa.record_batch([pa.array(np.full(len(a), s, np.int32)), pa.array(np.broadcast_to(i, n.shape)[a, b].astype(np.int32)),
-                                    pa.array(np.broadcast_to(j, n.shape)[a, b].astype(np.int32)), pa.array(rho[a, b]), pa.array(settled[a, b])],
+            same = np.argmax(settled, axis=1)
+            left, right = (np.r_[np.broadcast_to(k, n.shape)[a, b], more].astype(np.int32) for k, more in ((i, i[:, 0]), (j, j[0, same])))
+            return pa.record_batch([pa.array(np.full(len(left), s, np.int32)), pa.array(left), pa.array(right),
+                                    pa.array(np.r_[rho[a, b], np.zeros(len(same))]), pa.array([*settled[a, b].tolist(), *[None] * len(same)], pa.bool_())],
                                    ["set", "i", "j", "rho", "settled"])
 
         for batch in batches:
-            for s, block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for s, lo, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 part = np.frombuffer(sums.as_py(), np.float64)
-                if (s, block) != now:
+                if (s, lo) != now:
                     if now is not None:
                         yield found()
-                    now, total = (s, block), part.copy()
+                    now, total = (s, lo), part.copy()
                 else:
                     total += part
         if now is not None:
             yield found()
 
-    counted = moments.select("set", "block", "sums")
-    sizes = _sizes(counted, sets)
-    return counted.mapInArrow(run, "set int, i int, j int, rho double, settled boolean")
+    return (_moments(records, sets, edges, totals).repartition("set", "lo").sortWithinPartitions("set", "lo")
+            .mapInArrow(run, "set int, i int, j int, rho double, settled boolean"))
 
 
-def _sizes(moments: DataFrame, sets: list[list[int]]) -> list[np.ndarray]:
-    """Rows that have each feature, by set: the diagonal of the first moment."""
+def _restricted(records: DataFrame, sets: list[tuple[list[int], tuple[int, int]]]) -> DataFrame:
+    """The records of the members of every set over those rows that have both of its two
+    features, stored."""
     import pyarrow as pa
 
-    def run(batches):
+    def bits(batches):
         for batch in batches:
-            for s, block, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                n = np.frombuffer(sums.as_py(), np.float64).reshape(6, -1, len(sets[s]))[0]
-                own = np.diagonal(n, offset=block)
-                yield pa.record_batch([pa.array([s] * len(own), pa.int32()), pa.array(range(block, block + len(own)), pa.int32()),
-                                       pa.array(own.astype(np.int64))], ["set", "at", "n"])
+            masks = [np.packbits(np.frombuffer(c, np.uint16) > 0).tobytes() for c in batch.column(2).to_pylist()]
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(masks, pa.binary())], ["block", "f", "rows"])
 
-    out = [np.zeros(len(m)) for m in sets]
-    for r in moments.mapInArrow(run, "set int, at int, n long").groupBy("set", "at").agg(F.sum("n").alias("n")).collect():
-        out[r["set"]][r["at"]] = r["n"]
-    return out
+    def run(batches):
+        for batch in batches:
+            out = []
+            for codes, x, a, b in zip(*(batch.column(k).to_pylist() for k in range(3, 7))):
+                codes, x = np.frombuffer(codes, np.uint16), np.frombuffer(x, np.float64)
+                both = np.frombuffer(a, np.uint8) & np.frombuffer(b, np.uint8)
+                there = (codes > 0) & np.unpackbits(both, count=len(codes)).astype(bool)
+                values = np.zeros(len(codes))
+                values[there] = x[codes[there] - 1]
+                out.append(column_run(values, there, np.zeros(len(codes), bool)))
+            if out:
+                yield pa.record_batch([*(batch.column(k) for k in range(3)), *[pa.array(c, pa.binary()) for c in zip(*out)]],
+                                      ["set", "block", "f", "codes", "x", "n", "n1"])
+
+    spark = records.sparkSession
+    wanted = spark.createDataFrame([(s, f, *pattern) for s, (members, pattern) in enumerate(sets) for f in members], "set int, f int, p int, q int")
+    leaders = sorted({f for _, pattern in sets for f in pattern})
+    # a bit a row and null pattern
+    masks = cut_lineage(records.where(F.col("f").isin(leaders)).select("block", "f", "codes").mapInArrow(bits, "block long, f int, rows binary"))
+    one, two = (masks.select("block", F.col("f").alias(k), F.col("rows").alias(f"rows_{k}")) for k in "pq")
+    joined = records.drop("set").join(F.broadcast(wanted), "f").join(one, ["block", "p"]).join(two, ["block", "q"])
+    return cut_lineage(joined.select("set", "block", "f", "codes", "x", "rows_p", "rows_q").mapInArrow(run, BLOCKS), "zstd")
 
 
 def strong_pairs(df: DataFrame, features: list[str], key: str, threshold: float) -> DataFrame:
     """feature_i, feature_j, i, j, rho of the pairs i < j with |rho| > threshold; ``key``
     names the rows."""
     ship_package(df.sparkSession)
-    df = cut_lineage(df.select(key, *features))
-    total = df.count()
-    parts = max(1, -(-total // PARTS_ROWS))
+    records = blocks(df, features)
+    rows = records.where("f = 0").agg(F.sum(F.length("codes")) / 2).first()[0]
     everything = [list(range(len(features)))]
-    cells = ranked_cells(df, key, features, [(everything[0], None)], total)
-    found = cut_lineage(_pairs(cut_lineage(_moments(cells, everything, parts)), everything, threshold))
+    total = int(rows or 0)
+    found = cut_lineage(_pairs(records, everything, total, threshold))
     exact = found.where("settled").select("i", "j", "rho")
     left = found.where("not settled").select("i", "j").collect()  # at most one row a pair of features
     if left:
-        group = {features.index(c): g for g, members in enumerate(null_pattern_groups(df, features, key)) for c in members}
+        group = {r["i"]: r["j"] for r in found.where("settled is null").collect()}
         needed: dict[tuple[int, int], set[int]] = {}
         for r in left:
             needed.setdefault(tuple(sorted((group[r["i"]], group[r["j"]]))), set()).update((r["i"], r["j"]))
-        patterns = list(needed)
-        of = {g: f for f, g in group.items()}  # some feature of each pattern
-        sets = [(sorted(needed[p]), F.col(features[of[p[0]]]).isNotNull() & F.col(features[of[p[1]]]).isNotNull()) for p in patterns]
-        members = [m for m, _ in sets]
-        again = _pairs(cut_lineage(_moments(ranked_cells(df, key, features, sets, total), members, parts)), members, threshold)
+        sets = [(sorted(members), pattern) for pattern, members in needed.items()]
+        again = _pairs(_restricted(records, sets), [members for members, _ in sets], total, threshold).where("settled")
         # a set also pairs features of one pattern, which are settled already
         pattern = F.array(*[F.lit(group.get(f, -1)) for f in range(len(features))])
         again = again.where(F.get(pattern, F.col("i")) != F.get(pattern, F.col("j"))).select("i", "j", "rho")

@@ -15,18 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskfold.constants import CORRELATION_THRESHOLD
-from riskfold.operators.rank import average_ranks, prefix_counts
+from riskfold.operators.rank import average_ranks
+from riskfold.operators.runs import RunTotals, blocks, merged, pieces, ranges
 from riskfold.session import cut_lineage
 
 
-def _long(df: DataFrame, features: list[str], extra: list[str]) -> DataFrame:
-    """extra..., the number f of the feature, and x of every cell with a value."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.col(c).cast("double").alias("x"))
-                                for f, c in enumerate(features)]))
-    return (df.select(*extra, pairs.alias("p")).select(*extra, "p.f", "p.x")
-            .where(F.col("x").isNotNull()))
-
-
 def _pearson(x: str, y: str):
     """Pearson correlation; null when either side is constant (no ranks spread)."""
     sx, sy = F.stddev_pop(x), F.stddev_pop(y)
@@ -37,24 +30,38 @@ def spearman_with_target(df: DataFrame, features: list[str], target: str) -> Dat
     """feature, rho, abs_rho: Spearman correlation of each feature with a 0/1
     target over the rows where both are non-null (K1).
 
-    Rows are counted per (feature, value) and class with map-side combine; ranks
-    are attached to those counts, and the correlation is taken from weighted
-    moments.  The rank of the target has two values, which follow from the class
-    counts.  Nothing is joined back to the rows, so no key holds many of them."""
-    long = _long(df.where(F.col(target).isNotNull()), features, [target])
-    counts = long.groupBy("f", "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("n1"))
-    ranked = prefix_counts(counts, ["f"], "x", ["n"]).withColumn("r", F.col("n_before") + (F.col("n") + 1) / 2.0)
-    sums = ranked.groupBy("f").agg(
-        F.sum("n").cast("double").alias("n"), F.sum("n1").cast("double").alias("n1"),
-        F.sum(F.col("n") * F.col("r")).alias("s"), F.sum(F.col("n") * F.col("r") * F.col("r")).alias("ss"),
-        F.sum(F.col("n1") * F.col("r")).alias("s1"))
+    Blocks of rows send every distinct value of a feature once, with its rows and those of
+    class 1 (:mod:`riskfold.operators.runs`); where a range of values comes together they are
+    ranked, and the correlation is taken from weighted moments.  The rank of the target has
+    two values, which follow from the class counts.  Nothing goes back to the rows."""
+    import numpy as np
+    import pyarrow as pa
+
+    known = df.where(F.col(target).isNotNull())
+    records = blocks(known, features, F.col(target) == 1)
+    rows = records.where("f = 0").agg(F.sum(F.length("codes")) / 2).first()[0]
+    cut = pieces(records, ranges(records, int(rows or 0)))
+    totals = RunTotals.of(cut)
+
+    def sums(table):
+        lengths, at, counts, twice = merged(table)
+        ones = np.zeros(len(counts), np.int64)
+        np.add.at(ones, at, np.concatenate([np.frombuffer(b, np.uint16) for b in table.column("n1").to_pylist()]).astype(np.int64))
+        f, k = table.column("f")[0].as_py(), table.column("range")[0].as_py()
+        r = twice / 2.0 + totals.before[0, f, k] - (totals.sizes[0, f] + 1) / 2.0  # the rank, less the mean of all
+        found = [counts.sum(), ones.sum(), (counts * r).sum(), (counts * r * r).sum(), (ones * r).sum()]
+        return pa.table([pa.array([f], pa.int32()), *[pa.array([float(v)]) for v in found]], ["f", "n", "n1", "s", "ss", "s1"])
+
+    each = (cut.select("f", "range", "x", "n", "n1").groupBy("f", "range")
+            .applyInArrow(sums, "f int, n double, n1 double, s double, ss double, s1 double"))
     n, n1 = F.col("n"), F.col("n1")
     share = n1 / n
     # the rank of the target is a line in the target: its slope cancels out
     spread = (F.col("ss") / n - (F.col("s") / n) * (F.col("s") / n)) * share * (1 - share)
     rho = F.when(spread > 0, (F.col("s1") / n - (F.col("s") / n) * share) / F.sqrt(spread))
     names = F.array(*[F.lit(c) for c in features])
-    return sums.select(F.get(names, F.col("f")).alias("feature"), rho.alias("rho")).withColumn("abs_rho", F.abs("rho"))
+    total = each.groupBy("f").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "s", "ss", "s1")])
+    return total.select(F.get(names, F.col("f")).alias("feature"), rho.alias("rho")).withColumn("abs_rho", F.abs("rho"))
 
 
 def correlated_pairs(corr: DataFrame, threshold: float = CORRELATION_THRESHOLD) -> DataFrame:

@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskfold.llm.common import join_groups, ship_package, stage, text_of
-from riskfold.llm.components import connected_components
+from riskfold.llm.components import connected_components, joined_components
 
 BANDS, ROWS = 20, 4
 AGREE = 50  # never more equal minima than these are asked for
@@ -304,7 +304,7 @@ def _judged(rows: DataFrame, words: int, percent: int) -> DataFrame:
         rest = verifier.sharing_rare_shingles(named.groupBy("node").agg(F.first("label").alias("label"), F.first("size").alias("size")))
         more = stage(verifier.links(rest), "last-links")
         if not more.isEmpty():
-            labels = stage(connected_components(links.unionByName(more)), "labels")
+            labels = stage(joined_components(labels, more), "labels")
 
     placed = nodes.join(labels, "node", "left").select("set_id", "first", "n_docs",
                                                        F.coalesce("label", "node").alias("label"))

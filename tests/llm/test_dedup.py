@@ -327,3 +327,17 @@ def test_minhash_subset_of_a_longer_text(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(docs, 3, 85).collect()}
     assert got == {k: 0 if k < 2 else k for k in range(152)}
+
+
+def test_components_that_are_stars_need_no_round(spark, monkeypatch):
+    names = []
+    monkeypatch.setattr(components, "stage", lambda df, name, *more, f=components.stage: names.append(name) or f(df, name, *more))
+    stars = spark.createDataFrame([(1, 4), (1, 5), (2, 7)], "a long, b long")
+    labels = components.connected_components(stars)
+    assert {r["node"]: r["label"] for r in labels.collect()} == {1: 1, 4: 1, 5: 1, 2: 2, 7: 2}
+    assert names == ["edges"]
+    # links between components, to a node without a label, and inside a component
+    more = spark.createDataFrame([(5, 7), (8, 9), (4, 5)], "a long, b long")
+    joined = components.joined_components(labels, more)
+    assert {r["node"]: r["label"] for r in joined.collect()} == {1: 1, 4: 1, 5: 1, 2: 1, 7: 1, 8: 8, 9: 8}
+    assert joined.count() == 7 and "large-star" not in names

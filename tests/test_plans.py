@@ -91,6 +91,33 @@ def test_leaderboard_needs_no_query_before_it(spark):
     assert catalog.run_leaderboard(spark, SF_SMALL).count() == 2
 
 
+def test_tree_model_is_whole(spark):
+    """The model behind run_leaderboard and zero_importance_features grows until 200 rounds have brought
+    no larger validation AUC (or 2000 are done), and ends with the best of them."""
+    import numpy as np
+    from riskfold.operators import trees as tr
+    from riskfold.operators.quantiles import as_array
+    catalog._TREES.clear()
+    model = catalog.tree_model(spark, SF_SMALL)
+    data = catalog._labelled(spark, SF_SMALL)
+    best = len(model.booster.trees)
+    whole = tr.fit_trees(data.where("split = 'train'"), model.features, "TARGET", catalog.TREE_PARAMS, min(best + 200, 2000))
+    rows = data.where("split = 'test'").select("TARGET", as_array(model.features)).collect()
+    bins = tr.to_bins(np.array([[np.nan if v is None else v for v in r["values"]] for r in rows]), whole.edges)
+    label, margin, aucs = np.array([r["TARGET"] for r in rows]), np.full(len(rows), whole.booster.base), []
+    for tree in whole.booster.trees:
+        margin = margin + tree.values(bins)
+        pos, neg = margin[label == 1][:, None], margin[label == 0][None, :]
+        aucs.append(((pos > neg) + (pos == neg) / 2).mean())
+    aucs = np.array(aucs).round(12)
+    assert len(aucs) == min(best + 200, 2000) and aucs.argmax() + 1 == best
+    used = {model.features[f] for t in whole.booster.trees[:best] for f in t.feature if f >= 0}
+    zero = {r["feature"] for r in catalog.zero_importance_features(spark, SF_SMALL).collect()}
+    assert zero == set(model.features) - used
+    board = {r["run_id"]: r for r in catalog.run_leaderboard(spark, SF_SMALL).collect()}
+    assert abs(float(board["trees"]["val_roc_auc"]) - aucs[best - 1]) < 1e-9
+
+
 def test_checkpoint_folder_is_asked_for_on_a_cluster():
     from types import SimpleNamespace as N
     from riskfold.session import checkpoint_dir

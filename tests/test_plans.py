@@ -118,6 +118,16 @@ def test_tree_model_is_whole(spark):
     assert abs(float(board["trees"]["val_roc_auc"]) - aucs[best - 1]) < 1e-9
 
 
+def test_leaderboard_scores_once(spark, monkeypatch):
+    """Every metric of a model reads stored probabilities, and does not score the wide rows again."""
+    seen, auc = [], catalog.ev.roc_auc
+    monkeypatch.setattr(catalog.ev, "roc_auc", lambda df, *a: seen.append(df) or auc(df, *a))
+    assert catalog.run_leaderboard(spark, SF_SMALL).count() == 2 and len(seen) == 2
+    for df in seen:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan and "Generate" not in plan and df.columns == ["TARGET", "probability"]
+
+
 def test_checkpoint_folder_is_asked_for_on_a_cluster():
     from types import SimpleNamespace as N
     from riskfold.session import checkpoint_dir
